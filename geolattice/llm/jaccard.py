@@ -225,10 +225,21 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
     clusters = clusters.unionByName(crowded.join(clusters, "head", "left_anti").select("head", F.col("head").alias("cluster")))
     clusters = materialize(clusters, "clusters")
     wanted = bound.select(F.col("a").alias("head")).union(bound.select(F.col("b").alias("head"))).union(clusters.select("head")).distinct()
-    chosen = materialize(distinct.join(wanted, "head", "left_semi").select("doc_id", "print", "head", "n"), "chosen")
+    chosen = distinct.join(wanted, "head", "left_semi").join(clusters, "head", "left").select("doc_id", "print", "head", "n", "cluster")
+    chosen = materialize(_blocks(materialize(chosen, "members")), "chosen")
     whole = materialize(_whole_sets(docs, chosen, k), "whole")
     direct = _verified(bound, whole, percent)
-    return direct.unionByName(_cluster_links(clusters, whole, percent))
+    return direct.unionByName(_cluster_links(whole, percent))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` with ``class`` and ``block``: a cluster of more than BLOCK_TOKENS tokens is cut by sizes and then by hash; ``class`` is null for one that is whole."""
+    own = members.where("cluster is not null")
+    large = own.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS).select("cluster")
+    step = F.floor(F.log2("n") * 4)
+    parts = own.join(large, "cluster", "left_semi").groupBy("cluster", step.alias("class")).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    out = members.withColumn("class", step).join(parts, ["cluster", "class"], "left")
+    return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("class", F.when(F.col("parts").isNotNull(), F.col("class"))).drop("parts")
 
 
 def _bounded(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +266,7 @@ def _bounded(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(head, print, doc_id, n, tokens) of the chosen representatives. A Bloom filter of fixed size keeps most other texts from being split again."""
+    """``chosen`` with ``tokens``, the whole set, of the chosen representatives. A Bloom filter of fixed size keeps most other texts from being split again."""
     spark = docs.sparkSession
     size = 1 << FILTER_BITS
 
@@ -311,15 +322,12 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("ida", "idb", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _cluster_links(clusters: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(a, b) as doc_ids: a spanning forest of the links inside each cluster, found block by block."""
-    inside = whole.join(clusters, "head").select("cluster", "doc_id", "n", "tokens")
-    # Members of a cluster are dealt to blocks of about BLOCK_TOKENS tokens, of like sizes.
-    total = inside.groupBy("cluster", F.floor(F.log2("n") * 4).alias("class")).agg(F.sum("n").alias("total"))
-    inside = inside.withColumn("class", F.floor(F.log2("n") * 4)).join(total, ["cluster", "class"])
-    many = F.ceil(F.col("total") / BLOCK_TOKENS)
-    inside = inside.withColumn("block", F.pmod(F.xxhash64("doc_id"), many))
-    packed = inside.groupBy("cluster", "class", "block").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+def _cluster_links(whole: DataFrame, percent: int) -> DataFrame:
+    """(a, b) as doc_ids: a spanning forest of the links inside each cluster; large ones are compared block by block."""
+    inside = whole.where("cluster is not null")
+    member = F.collect_list(F.struct("doc_id", "tokens")).alias("members")
+    small = inside.where("class is null").groupBy("cluster").agg(member).select(F.col("members").alias("ma"), F.lit(None).cast("array<struct<doc_id:bigint,tokens:binary>>").alias("mb"))
+    packed = inside.where("class is not null").groupBy("cluster", "class", "block").agg(member, F.min("n").alias("low"), F.max("n").alias("high"))
     packed = materialize(packed, "blocks")
     salts = 8
     left = packed.select("cluster", F.col("class").alias("ca"), F.col("block").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("members").alias("ma"), F.pmod(F.xxhash64("class", "block"), F.lit(salts)).alias("salt"))
@@ -327,7 +335,7 @@ def _cluster_links(clusters: DataFrame, whole: DataFrame, percent: int) -> DataF
     pairs = left.join(right, ["cluster", "salt"]).where(f"(ca < cb or (ca = cb and ba <= bb)) and {percent} * la <= 100 * hb and {percent} * lb <= 100 * ha")
 
     def members(value) -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.array([m["doc_id"] for m in value], np.int64), [np.frombuffer(m["tokens"], np.uint64) for m in value]
+        return np.array([m["doc_id"] for m in value or ()], np.int64), [np.frombuffer(m["tokens"], np.uint64) for m in value or ()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +343,7 @@ def _cluster_links(clusters: DataFrame, whole: DataFrame, percent: int) -> DataF
             out_a, out_b = [], []
             for i in range(batch.num_rows):
                 ids_a, a = members(one[i].as_py())
-                ids_b, b = members(two[i].as_py())
+                ids_b, b = members(two[i].as_py()) if two[i].is_valid else (ids_a, a)
                 ids = np.concatenate([ids_a, ids_b])
                 sizes = np.array([len(x) for x in a + b])
                 tokens = np.concatenate(a + b)
@@ -363,7 +371,7 @@ def _cluster_links(clusters: DataFrame, whole: DataFrame, percent: int) -> DataF
             a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return pairs.select("ma", "mb").mapInArrow(compare, "a long, b long")
+    return small.unionByName(pairs.select("ma", "mb")).mapInArrow(compare, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
