@@ -14,6 +14,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import HELD_OUT, fit, predict_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    out = predict_languages(docs.select("doc_id", "text"), fit(docs))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bytebpe import encode_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_documents
 

@@ -109,8 +109,8 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
-def chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, Words]]:
-    """(index of the first document, its and the next documents' words), a few MB of text at a time; a null text is empty."""
+def raw_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets), a few MB of whole texts at a time; a null text is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     if not n:
@@ -122,10 +122,16 @@ def chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, Words]]:
     while at < n:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK_BYTES, "right")) - 1)
         to = min(to, n)
-        yield at, split(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], lower)
+        yield at, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
 
 
+def chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, Words]]:
+    """(index of the first document, its and the next documents' words)."""
+    for at, data, offsets in raw_chunks(column):
+        yield at, split(data, offsets, lower)
+
+
 def bucket_rows(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """The columns' values of each bucket, as bytes."""
     if not len(bucket):
