@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .urlfilter import Rule
+
+#: The production rules of the URL filter.
+RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +65,46 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import fresh_folder, read_archives, write_archives
+
+    folder = fresh_folder(spark)
+    write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokencount import count_tokens, read_vocabulary
+
+    vocabulary = read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "n_tokens", "token_score")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+ORACLE_SQL = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        q AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+        m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS kept FROM q)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN kept = page_id THEN NULL ELSE kept END AS refers_to
+        FROM m
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express over whole tables."""
+    return dict(ORACLE_SQL)
