@@ -9,9 +9,9 @@
    the groups' prefix tokens are dealt out by token, packed in binary rows.
 4. Short lists of a token give group pairs that pass the size and position
    filters; a parity-bitmap bound on the overlap then drops most that fail.
-5. The groups of a long list are chained; each chained cluster is compared
-   block by block, as matrix products, so that no task holds a whole cluster
-   and no pair of its members becomes a row.
+5. The groups of a long list are chained; a large chained cluster is divided
+   by the same bound, and each cluster compared block by block, as matrix
+   products, so that no task holds a whole cluster and no pair becomes a row.
 6. Groups are expanded, and all remaining pairs verified on the whole sets.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -32,7 +32,7 @@ from .wordhash import U, Words, bucket_rows, chunks, mix
 SHINGLE, PERCENT = 5, 75
 FREQUENT = 1 << 16
 SHORT_LIST = 6
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 16, 512
 FILTER_BITS = 23
 
 
@@ -224,21 +224,79 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
     clusters = connected_components(met.where("chained")).select(F.col("node").alias("head"), F.col("component").alias("cluster"))
     clusters = clusters.unionByName(crowded.join(clusters, "head", "left_anti").select("head", F.col("head").alias("cluster")))
     clusters = materialize(clusters, "clusters")
-    wanted = bound.select(F.col("a").alias("head")).union(bound.select(F.col("b").alias("head"))).union(clusters.select("head")).distinct()
-    chosen = distinct.join(wanted, "head", "left_semi").join(clusters, "head", "left").select("doc_id", "print", "head", "n", "cluster")
-    chosen = materialize(_blocks(materialize(chosen, "members")), "chosen")
+    paired = bound.select(F.col("a").alias("head")).union(bound.select(F.col("b").alias("head"))).distinct().withColumn("paired", F.lit(True))
+    chosen = distinct.join(paired, "head", "left").join(clusters, "head", "left").where("paired or cluster is not null").select("doc_id", "print", "head", "n", "cluster", "paired", "bitmap")
+    chosen = _finer(materialize(chosen, "members"), percent).where("paired or cluster is not null").drop("paired")
+    chosen = materialize(_blocks(materialize(chosen, "finer"), percent), "chosen")
     whole = materialize(_whole_sets(docs, chosen, k), "whole")
     direct = _verified(bound, whole, percent)
     return direct.unionByName(_cluster_links(whole, percent))
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """``members`` with ``class`` and ``block``: a cluster of more than BLOCK_TOKENS tokens is cut by sizes and then by hash; ``class`` is null for one that is whole."""
-    own = members.where("cluster is not null")
-    large = own.groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS).select("cluster")
-    step = F.floor(F.log2("n") * 4)
-    parts = own.join(large, "cluster", "left_semi").groupBy("cluster", step.alias("class")).agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
-    out = members.withColumn("class", step).join(parts, ["cluster", "class"], "left")
+def _size_class(percent: int) -> Column:
+    """Sets that can link are of one class or of neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
+
+
+def _block_pairs(packed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of blocks of a cluster whose sets' sizes allow links: members ``ma`` and ``mb``. A block goes to two keys at most."""
+    left = packed.select("cluster", F.col("class").alias("ca"), F.col("block").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("members").alias("ma"), F.col("class").alias("at"))
+    right = packed.select("cluster", F.col("class").alias("cb"), F.col("block").alias("bb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("members").alias("mb"), F.explode(F.array("class", F.col("class") - 1)).alias("at"))
+    joined = left.join(right, ["cluster", "at"])
+    return joined.where(f"(ca < cb or ba <= bb) and {percent} * la <= 100 * hb and {percent} * lb <= 100 * ha").select("ma", "mb")
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """Clusters of more than BLOCK_TOKENS tokens."""
+    return members.where("cluster is not null").groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS).select("cluster")
+
+
+def _finer(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (without bitmap) with large clusters divided into the components that the bitmaps' bound allows; what is alone in one goes."""
+    large = materialize(_large(members), "large")
+    inside = members.join(large, "cluster", "left_semi").withColumn("class", _size_class(percent))
+    sizes = inside.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    inside = inside.join(sizes, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts"))
+    packed = inside.groupBy("cluster", "class", "block").agg(F.collect_list(F.struct("doc_id", "n", "bitmap")).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    pairs = _block_pairs(materialize(packed, "bitmaps"), percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_bitmap_links(one.as_py(), two.as_py(), percent) for one, two in zip(batch.column(0), batch.column(1))]
+            a, b = (np.concatenate([o[i] for o in out] + [np.zeros(0, np.int64)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    parts = connected_components(pairs.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    split = members.join(large.withColumn("_large", F.lit(True)), "cluster", "left").join(parts, "doc_id", "left").drop("bitmap")
+    return split.withColumn("cluster", F.when(F.col("_large"), F.col("part")).otherwise(F.col("cluster"))).drop("_large", "part")
+
+
+def _bitmap_links(one: list[dict], two: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs that the parity bitmaps' bound allows, as ids."""
+    width = min(len(m["bitmap"]) for m in one + two) // 8
+
+    def folded(rows: list[dict]) -> np.ndarray:
+        return np.stack([np.bitwise_xor.reduce(np.frombuffer(m["bitmap"], np.uint64).reshape(-1, width), axis=0) for m in rows])
+
+    a, b = folded(one), folded(two)
+    na, nb = (np.array([m["n"] for m in rows], np.int64) for rows in (one, two))
+    ids = np.array([m["doc_id"] for m in one + two], np.int64)
+    x, y = [], []
+    for i in range(len(one)):
+        differ = np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64)
+        hit = np.flatnonzero((na[i] + nb - differ) // 2 >= _need(na[i], nb, percent))
+        x.append(np.full(len(hit), i))
+        y.append(len(one) + hit)
+    nodes, index = np.unique(ids, return_inverse=True)
+    root = forest(len(nodes), index[np.concatenate(x)], index[np.concatenate(y)])
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[far]], nodes[far]
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with ``class`` and ``block``: a large cluster is cut by size classes and then by hash; ``class`` is null for one that stays whole."""
+    parts = members.join(_large(members), "cluster", "left_semi").withColumn("class", _size_class(percent)).groupBy("cluster", "class").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    out = members.withColumn("class", _size_class(percent)).join(parts, ["cluster", "class"], "left")
     return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("class", F.when(F.col("parts").isNotNull(), F.col("class"))).drop("parts")
 
 
@@ -329,10 +387,7 @@ def _cluster_links(whole: DataFrame, percent: int) -> DataFrame:
     small = inside.where("class is null").groupBy("cluster").agg(member).select(F.col("members").alias("ma"), F.lit(None).cast("array<struct<doc_id:bigint,tokens:binary>>").alias("mb"))
     packed = inside.where("class is not null").groupBy("cluster", "class", "block").agg(member, F.min("n").alias("low"), F.max("n").alias("high"))
     packed = materialize(packed, "blocks")
-    salts = 8
-    left = packed.select("cluster", F.col("class").alias("ca"), F.col("block").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("members").alias("ma"), F.pmod(F.xxhash64("class", "block"), F.lit(salts)).alias("salt"))
-    right = packed.select("cluster", F.col("class").alias("cb"), F.col("block").alias("bb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("members").alias("mb"), F.explode(F.array([F.lit(s).cast("long") for s in range(salts)])).alias("salt"))
-    pairs = left.join(right, ["cluster", "salt"]).where(f"(ca < cb or (ca = cb and ba <= bb)) and {percent} * la <= 100 * hb and {percent} * lb <= 100 * ha")
+    pairs = _block_pairs(packed, percent)
 
     def members(value) -> tuple[np.ndarray, list[np.ndarray]]:
         return np.array([m["doc_id"] for m in value or ()], np.int64), [np.frombuffer(m["tokens"], np.uint64) for m in value or ()]
@@ -371,7 +426,7 @@ def _cluster_links(whole: DataFrame, percent: int) -> DataFrame:
             a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return small.unionByName(pairs.select("ma", "mb")).mapInArrow(compare, "a long, b long")
+    return small.unionByName(pairs).mapInArrow(compare, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
