@@ -195,7 +195,8 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Size and digest of a response are taken from its payload, those of a revisit from its headers.
     """
-    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file").repartition("file")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("file").repartition(tasks, "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
