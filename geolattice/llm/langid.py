@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import hashed_sample
+
 BITS = 14
 SAMPLE = 4000
 EPOCHS = 3
@@ -137,7 +139,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from ``learnable(docs)``: frequencies from all of it, weights from its first ``sample`` rows by hash of doc_id."""
+    """Learn from ``learnable(docs)``: frequencies from all of it, weights from ``sample`` rows at most, chosen by hash of doc_id."""
     rows = learnable(docs)
     size = 1 << BITS
 
@@ -160,9 +162,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             df[r["bucket"]] = r["df"]
     idf = np.log((n + 1) / (df + 1)) + 0.1
 
-    at = F.xxhash64("doc_id", F.lit(2))
-    limit = rows.select(at.alias("at")).orderBy("at").limit(sample).agg(F.max("at").alias("at")).first()["at"]
-    if limit is None:
+    if not n:
         return Model(idf=idf)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             where = [np.flatnonzero(c) for c in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.astype(np.int32).tobytes() for w in where], pa.binary()), pa.array([c[w].astype(np.int32).tobytes() for c, w in zip(got, where)], pa.binary())], ["at", "lang", "buckets", "counts"])
 
-    chosen = rows.where(at <= limit).select(at.alias("at"), "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary")
+    chosen = hashed_sample(rows, F.col("doc_id"), sample, n).select(F.xxhash64("doc_id", F.lit(2)).alias("at"), "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary")
     got = chosen.orderBy("at", "lang", "buckets", "counts").limit(sample).collect()  # ``sample`` rows of at most 2**BITS counts
     return learn(idf, [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got], [r["lang"] for r in got])
 

@@ -6,7 +6,8 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,16 @@ def bucket_bits(spark: SparkSession) -> int:
     """log2 of the number of hash buckets: at least four a shuffle partition, so that buckets even out over tasks."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(5, min(16, math.ceil(math.log2(4 * parts))))
+
+
+def hashed_sample(df: DataFrame, key: Column, limit: int, rows: int | None = None) -> DataFrame:
+    """About ``limit`` rows (a few per cent more, never all tasks' shares) with the smallest hashes of ``key``; a bounded sample of labelled rows.
+
+    The share to keep follows from the number of rows, so that tasks send what is
+    needed and no more.
+    """
+    rows = df.count() if rows is None else rows
+    if rows <= limit:
+        return df
+    share = min(1.0, (limit + 4 * math.sqrt(limit)) / rows)
+    return df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit(77)), 1) <= int(share * ((1 << 63) - 1)))

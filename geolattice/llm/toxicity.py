@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .boosting import Booster, Isotonic
+from .session import hashed_sample
 from .wordhash import U, mix
 
 SAMPLE = 8000
@@ -224,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Null labels, ids and texts are left out; of several labels of an id the largest counts.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).collect()  # at most ``sample`` pairs
+    rows = hashed_sample(known, F.col("doc_id"), sample).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).collect()  # at most ``sample`` pairs
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     got = found.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", F.xxhash64("text")).limit(sample).collect()
