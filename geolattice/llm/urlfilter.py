@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Booster
+from .session import hashed_sample
 
 SAMPLE = 5000
 SUFFIXES = 5000
@@ -127,7 +128,7 @@ def learn(rows: Sequence[tuple[str, str, str, int]]) -> Model:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labelled`` (url, host, path, verdict): the first ``sample`` rows by hash of the url. Null urls and verdicts are left out."""
     known = labelled.where("url is not null and verdict is not null").select("url", "host", "path", F.expr("int(verdict = 'block')").alias("bad"))
-    rows = known.orderBy(F.xxhash64("url"), "url", "bad").limit(sample).collect()  # a bounded sample
+    rows = hashed_sample(known, F.col("url"), sample).orderBy(F.xxhash64("url"), "url", "bad").limit(sample).collect()  # a bounded sample
     return learn([tuple(r) for r in rows])
 
 
