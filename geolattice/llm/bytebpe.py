@@ -20,7 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 300_000
+from .session import schema_of
+
+CACHE = 600_000
+STATES, STATE_LENGTHS = 100_000, (8, 5)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,6 +49,10 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self._ending = [0] * 256  # longest token that ends in each byte
+        for token in ranks:
+            self._ending[token[-1]] = max(self._ending[token[-1]], len(token))
+        self._states: dict[bytes, list[int]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._follows: dict[tuple[int, int], bool] = {}
 
@@ -72,6 +79,38 @@ class Vocabulary:
             known = self._follows[key] = self._clean_seam(a, b)
         return known
 
+    def encode(self, piece: bytes) -> list[int]:
+        """Tokens of a piece, by the same steps as PrefixEncoder; last tokens of common beginnings are kept and appended to."""
+        ranks, ending, known, states = self.ranks.get, self._ending, self._follows, self._states
+        n, done, last = len(piece), 0, [-1]
+        for k in STATE_LENGTHS:
+            if n > k and (state := states.get(piece[:k])) is not None:
+                done, last = k, state[:]
+                break
+        for to in range(done + 1, n + 1):
+            token = None
+            for at in range(max(0, to - ending[piece[to - 1]]), to):
+                token = ranks(piece[at:to])
+                if token is not None:
+                    if not at:
+                        break
+                    follows = known.get((last[at], token))
+                    if follows if follows is not None else self.follows(last[at], token):
+                        break
+            if token is None:
+                raise ValueError(f"byte {piece[to - 1]} is not in the vocabulary")
+            last.append(token)
+        for k in STATE_LENGTHS:
+            if n > k > done:
+                if len(states) > STATES:
+                    states.clear()
+                states[piece[:k]] = last[: k + 1]
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= len(self.tokens[last[at]])
+        return out[::-1]
+
     def _clean_seam(self, a: int, b: int) -> bool:
         tokens, ranks = self.tokens, self.ranks
         limit = float("inf")  # merges at the seam of this rank or more come too late
@@ -182,7 +221,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).tokens()
+        ids = [whole] if whole is not None else self.vocabulary.encode(data)
         out = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = out
@@ -213,7 +252,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, column: str
     shared = docs.sparkSession.sparkContext.broadcast(data)  # a vocabulary file, not data
     new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>"]
     names = [c for c in docs.columns if c not in {x.split()[0] for x in new}]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, pattern, shared.value)
@@ -233,7 +271,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, column: str
                 out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]))))
             yield pa.RecordBatch.from_arrays(out, [*names, *(x.split()[0] for x in new)])
 
-    return docs.mapInArrow(run, ", ".join(fields + new))
+    return docs.mapInArrow(run, schema_of(docs, names, ", ".join(new)))
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -242,7 +280,6 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", output:
     name = hashlib.sha256(data).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(data)
     names = [c for c in docs.columns if c != output]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, ".", shared.value)
@@ -250,4 +287,4 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", output:
             texts = [own.decode(np.array(x.as_py() or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(batch.schema.get_field_index(ids))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(texts, pa.string())], [*names, output])
 
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{output}` string"]))
+    return docs.mapInArrow(run, schema_of(docs, names, f"`{output}` string"))

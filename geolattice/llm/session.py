@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +56,8 @@ def hashed_sample(df: DataFrame, key: Column, limit: int, rows: int | None = Non
         return df
     share = min(1.0, (limit + 4 * math.sqrt(limit)) / rows)
     return df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit(77)), 1) <= int(share * ((1 << 63) - 1)))
+
+
+def schema_of(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of the named columns of ``df`` followed by ``more``, in DDL."""
+    return T.StructType([*(df.schema[c] for c in names), *T.StructType.fromDDL(more).fields])
