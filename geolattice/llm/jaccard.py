@@ -145,6 +145,10 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     distinct = sets.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap"))
     distinct = materialize(distinct, "distinct")
     links = _set_links(docs, distinct, often, k, percent)
+    # An id of several texts joins their sets.
+    several = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("doc_id")
+    own = sets.select("doc_id", "print").where("n_shingles > 0").join(several, "doc_id", "left_semi").join(distinct.select("print", F.col("doc_id").alias("b")), "print")
+    links = links.unionByName(own.select(F.col("doc_id").alias("a"), "b"))
     names = connected_components(links)
     least = distinct.select("print", F.col("doc_id").alias("node")).join(names, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     own = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print"))
