@@ -63,11 +63,11 @@ def _items(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, length, own: distinct shingles with weights, all shingles, fingerprint, part) of each item that has words."""
     items = benchmark.select("item_id", "text").where("text is not null").withColumn("all", shingles(words(F.col("text")))).where(F.size("all") > 0)
     items = items.groupBy("item_id", "all").agg(F.count("*").alias("copies")).withColumn("item", F.xxhash64("item_id", "all"))
-    total = items.agg(F.count("*").alias("items"))
+    total = float(items.count())
     weight = items.select("item", F.explode(F.array_distinct("all")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
-    weighed = items.select("item", F.explode(F.array_distinct("all")).alias("shingle")).join(weight, "shingle").join(F.broadcast(total))
-    own = weighed.groupBy("item").agg(F.collect_list(F.struct("shingle", (F.log1p(F.col("items") / F.col("df"))).alias("weight"))).alias("own"), F.first(F.log1p("items")).alias("most"))
-    return items.join(own, "item").select("item", "item_id", "all", "own", "most", simhash(F.col("all")).alias("item_print"))
+    weighed = items.select("item", F.explode(F.array_distinct("all")).alias("shingle")).join(weight, "shingle")
+    own = weighed.groupBy("item").agg(F.collect_list(F.struct("shingle", F.log1p(total / F.col("df")).alias("weight"))).alias("own"))
+    return items.join(own, "item").withColumn("most", F.lit(math.log1p(total))).select("item", "item_id", "all", "own", "most", simhash(F.col("all")).alias("item_print"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, set_bound: int = SET_BOUND) -> DataFrame:
@@ -112,7 +112,7 @@ def _part(docs: DataFrame, items: DataFrame, threshold: float, radius: int) -> D
     filed = items.select("item", "item_print", blocks.alias("b")).select("item", "item_print", "b.block", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("b.own")))).alias("key"))
     keys = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("key")) for b in range(BLOCKS)]))
     asked = window.select("row_key", "start", "length", "print", keys.alias("b")).select("row_key", "start", "length", "print", "b.block", "b.key")
-    close = asked.join(filed, ["block", "key"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    close = asked.join(filed.hint("merge"), ["block", "key"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     close = close.select("row_key", "start", "length", "item").distinct()
 
     pairs = close.join(window.drop("print"), ["row_key", "start", "length"]).join(items.select("item", "item_id", "own", "most"), "item")
@@ -127,5 +127,6 @@ def _part(docs: DataFrame, items: DataFrame, threshold: float, radius: int) -> D
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage like a benchmark item."""
-    gone = contaminated(docs.select("doc_id", "text"), benchmark).select("row_key").distinct()
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).join(gone, "row_key", "left_anti").select(docs.columns)
+    gone = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("row_key").alias("_geolattice_row")).distinct()
+    keyed = docs.withColumn("_geolattice_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(gone, "_geolattice_row", "left_anti").select(docs.columns)
