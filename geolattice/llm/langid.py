@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import hashed_sample
+from .session import hashed_sample, schema_of
 
 BITS = 14
 SAMPLE = 4000
@@ -184,7 +184,6 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a language
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -194,4 +193,4 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
             out = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*out, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.mapInArrow(run, schema_of(docs, names, "lang_pred string, score double"))

@@ -20,7 +20,6 @@ Edges of the trees are compared by 64-bit hashes of words.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bucket_bits, discard, materialize
+from .session import bucket_bits, materialize, schema_of
 from .wordhash import U, Words, bucket_rows, chunks, mix
 
 WINDOW, PREFIX = 35, 8
 FILTER_BITS = 26
-_ROW = "row_key"
+_ROW, _SPANS = "_geolattice_row", "_geolattice_spans"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -116,7 +115,7 @@ def _places(value: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(row_key, spans) of rows with ``row_key`` and ``text``: first word and number of the windows that occur again elsewhere, as pairs of 32-bit integers. A key may have several rows."""
+    """(key, spans) of rows (key, text): first word and number of the windows that occur again elsewhere, as pairs of 32-bit integers. A key may have several rows."""
     spark = docs.sparkSession
     bits = bucket_bits(spark)
     twice = spark.sparkContext.broadcast(_seen_twice(docs, window, prefix, bits, filter_bits))  # 2**filter_bits bits
@@ -217,19 +216,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     if its ``window`` words also start anywhere else, the same document included;
     a repeated row is another document. A null or empty text has no words and
     keeps the empty text; a document of fewer than ``window`` words keeps all.
-    Other columns go through unchanged, and ``doc_id`` may be null or repeated.
+    Other columns go through unchanged (those of the new names are replaced), and
+    ``doc_id`` may be null or repeated.
     """
     keyed = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
     spans = materialize(repeated_spans(keyed.select(_ROW, "text"), window, prefix, filter_bits), "spans")
-    spans = spans.groupBy(_ROW).agg(F.collect_list("spans").alias("_spans"))
+    spans = spans.groupBy(_ROW).agg(F.collect_list("spans").alias(_SPANS))
     joined = keyed.join(spans.hint("shuffle_hash"), _ROW, "left").drop(_ROW)
-    names = docs.columns
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("n_words", "n_removed", "kept")]
-    names = [c for c in names if c not in ("n_words", "n_removed", "kept")]
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at_text, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            at_text, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index(_SPANS)).to_pylist()
             kept, n_words, n_removed = [], [], []
             for at, words in chunks(batch.column(at_text), False):
                 total = len(words.hashes)
@@ -262,4 +260,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             out |= {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "n_removed": pa.array(np.concatenate(n_removed) if n_removed else [], pa.int64()), "kept": pa.array(kept, pa.string())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return joined.mapInArrow(cut, ", ".join([*fields, "n_words long, n_removed long, kept string"]))
+    return joined.mapInArrow(cut, schema_of(docs, names, "n_words long, n_removed long, kept string"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .session import schema_of
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 300_000
@@ -120,7 +122,6 @@ def count_tokens(docs: DataFrame, vocabulary: UnigramVocabulary, column: str = "
     """``docs`` with ``n_tokens`` and ``token_score`` of each whole text (0 and 0 if null or empty). Other columns pass; of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, not data
     names = [c for c in docs.columns if c not in ("n_tokens", "token_score")]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(shared.value)
@@ -130,4 +131,4 @@ def count_tokens(docs: DataFrame, vocabulary: UnigramVocabulary, column: str = "
             out = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*out, pa.array(n, pa.int64()), pa.array(scores, pa.float64())], [*names, "n_tokens", "token_score"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "n_tokens long, token_score double"]))
+    return docs.mapInArrow(run, schema_of(docs, names, "n_tokens long, token_score double"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .boosting import Booster, Isotonic
-from .session import hashed_sample
+from .session import hashed_sample, schema_of
 from .wordhash import U, mix
 
 SAMPLE = 8000
@@ -240,7 +240,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees, of bounded size
     names = [c for c in docs.columns if c not in ("score", "predicted")]
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -249,7 +248,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             out = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*out, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    return docs.mapInArrow(run, schema_of(docs, names, "score double, predicted int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

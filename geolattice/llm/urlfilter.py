@@ -78,14 +78,14 @@ class Model:
     suffixes: dict[str, tuple[int, int]] = field(default_factory=dict)
     booster: Booster = field(default_factory=Booster)
 
-    def features(self, url: str | None, host: str, path: str, own: int | None = None) -> list[float]:
-        """``own``: the row's label, left out of the suffix statistics while learning."""
+    def features(self, url: str | None, host: str, path: str, own: int | None = None, seen: bool = True) -> list[float]:
+        """``own``: the row's label, left out of the suffix statistics while learning. ``seen``: whether to use these statistics."""
         url = url or ""
         query = url.partition("?")[2].partition("#")[0]
         segments = [s for s in path.split("/") if s]
         shares = []
         for s in _suffixes(host)[:3]:
-            n, bad = self.suffixes.get(s, (0, 0))
+            n, bad = self.suffixes.get(s, (0, 0)) if seen else (0, 0)
             if own is not None and n:
                 n, bad = n - 1, bad - own
             shares.append((bad + 4 * self.share) / (n + 4))
@@ -120,7 +120,8 @@ def learn(rows: Sequence[tuple[str, str, str, int]]) -> Model:
             count[s] += 1
             bad[s] += label
     model = Model(float(y.mean()) if len(y) else 0.0, {s: (n, bad[s]) for s, n in count.most_common(SUFFIXES)})
-    x = np.array([model.features(u, h, p, label) for u, h, p, label in rows]) if rows else np.zeros((0, 1))
+    # Half of the rows go without statistics, so that the trees can judge hosts never seen.
+    x = np.array([model.features(u, h, p, label, k % 2 > 0) for k, (u, h, p, label) in enumerate(rows)]) if rows else np.zeros((0, 1))
     model.booster = Booster(rounds=40, leaves=8, rate=0.2, least=10).fit(x, y)
     return model
 
