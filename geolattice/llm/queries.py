@@ -106,7 +106,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_WORDS = r"""list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SHINGLES = """CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END"""
+
 ORACLE_SQL = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents),
+        ds AS (SELECT r, doc_id, {_SHINGLES} AS s FROM d),
+        dp AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g, unnest(range(len(s))) AS p FROM ds),
+        b AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
+        bs AS (SELECT item_id, {_SHINGLES} AS s FROM b WHERE len(w) > 0),
+        bp AS (SELECT item_id, len(s) AS n, unnest(s) AS g, unnest(range(len(s))) AS p FROM bs),
+        own AS (SELECT DISTINCT item_id, g FROM bp),
+        total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM bs),
+        weight AS (SELECT g, ln(1 + (SELECT n FROM total) / count(*)) AS x FROM own GROUP BY g),
+        whole AS (SELECT item_id, sum(x) AS x FROM own JOIN weight USING (g) GROUP BY item_id),
+        win AS (SELECT DISTINCT dp.r, dp.doc_id, bp.item_id, bp.n, greatest(0, least(dp.p - bp.p, dp.n - bp.n)) AS start FROM dp JOIN bp USING (g)),
+        inside AS (SELECT DISTINCT win.*, dp.g FROM win JOIN dp ON dp.r = win.r AND dp.p >= win.start AND dp.p < win.start + win.n),
+        score AS (SELECT i.r, i.doc_id, i.item_id, i.start,
+                  sum(CASE WHEN own.g IS NOT NULL THEN weight.x ELSE 0 END) / (any_value(whole.x) + ln(1 + (SELECT n FROM total)) * count(*) FILTER (own.g IS NULL)) AS similarity
+                  FROM inside i JOIN whole USING (item_id) LEFT JOIN own ON own.item_id = i.item_id AND own.g = i.g LEFT JOIN weight ON weight.g = i.g GROUP BY i.r, i.doc_id, i.item_id, i.start),
+        best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start) AS k FROM score WHERE similarity >= 0.75)
+        SELECT doc_id, item_id, round(similarity, 6) AS similarity, CAST(start AS INTEGER) AS start_word FROM best WHERE k = 1
+    """,
+    "op5_vector_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND list_dot_product(e, e) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+        reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.vec_id),
+        names AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id),
+        counts AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT v.vec_id, coalesce(counts.n, 0) AS n_links, names.c AS component_id, names.c = v.vec_id AS kept
+        FROM v JOIN names USING (vec_id) LEFT JOIN counts ON counts.a = v.vec_id
+    """,
+    "op6_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct({_SHINGLES}) AS s FROM d),
+        n AS (SELECT doc_id, len(s) AS n FROM s),
+        g AS (SELECT doc_id, unnest(s) AS g FROM s),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        half AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        link AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+        reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.doc_id)
+        SELECT n.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(reach.c) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id
+    """,
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+        win AS (SELECT r, unnest(range(len(w) - 34)) AS p, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' '))) AS t FROM d WHERE len(w) >= 35),
+        again AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+        hit AS (SELECT r, p FROM win SEMI JOIN again USING (t)),
+        cover AS (SELECT p.r, p.word, p.p, max(CASE WHEN hit.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.r ORDER BY p.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+                  FROM p LEFT JOIN hit ON hit.r = p.r AND hit.p = p.p),
+        kept AS (SELECT r, count(*) FILTER (gone = 1) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone = 0), '') AS t FROM cover GROUP BY r)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(kept.n_removed, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
     "op8_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         q AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
