@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; it outlives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a Parquet table in the shared folder; it outlives lost executors.
+
+    Unlike a checkpoint it states its real size: in a loop of joins the optimizer's
+    estimates would else be multiplied round by round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_points(spark: SparkSession, path: str, id_column: str, vector: str) -> DataFrame:
