@@ -16,23 +16,22 @@ from pyspark.sql import functions as F
 from geolattice.llm.bytebpe import encode_documents
 from geolattice.llm.decontaminate import keep_uncontaminated
 from geolattice.llm.jaccard import keep_one_of_each
-from geolattice.llm.session import materialize
+from geolattice.llm.session import materialize, prepare
 from geolattice.llm.substring import remove_repeats
 from geolattice.llm.toxicity import keep_clean
-from geolattice.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled ones among them, does not predict toxic."""
-    ship(spark)
+    prepare(spark)
     return keep_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    ship(spark)
+    prepare(spark)
     return keep_one_of_each(docs.select(*COLUMNS))
 
 
@@ -41,7 +40,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without such a passage stay as they are, spaces included.
     """
-    ship(spark)
+    prepare(spark)
     out = remove_repeats(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -49,13 +48,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage like a benchmark item."""
-    ship(spark)
+    prepare(spark)
     return keep_uncontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
-    ship(spark)
+    prepare(spark)
     out = encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -74,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .session import schema_of
 
-CACHE = 600_000
-STATES, STATE_LENGTHS = 100_000, (8, 5)
+CACHE, SEAMS = 250_000, 150_000
+STATES, STATE_LENGTHS = 30_000, (8, 5)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -54,7 +54,7 @@ class Vocabulary:
             self._ending[token[-1]] = max(self._ending[token[-1]], len(token))
         self._states: dict[bytes, list[int]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}  # by a << 32 | b
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a single byte."""
@@ -71,10 +71,10 @@ class Vocabulary:
         tokens at the seam have a merge of lower rank than what undoing them
         restores, BPE would have made that merge instead.
         """
-        key = (a, b)
+        key = a << 32 | b
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > SEAMS:
                 self._follows.clear()
             known = self._follows[key] = self._clean_seam(a, b)
         return known
@@ -94,7 +94,7 @@ class Vocabulary:
                 if token is not None:
                     if not at:
                         break
-                    follows = known.get((last[at], token))
+                    follows = known.get(last[at] << 32 | token)
                     if follows if follows is not None else self.follows(last[at], token):
                         break
             if token is None:
@@ -203,8 +203,8 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self._recent) > CACHE:
-            self._recent.clear()
+        if len(self._recent) > CACHE // 2:
+            self._recent.age()
         return b"".join(map(self._recent.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -212,13 +212,22 @@ class Codec:
 
 
 class _Pieces(dict):
-    """Ids of pieces, made when first asked for."""
+    """Ids of pieces, made when first asked for. Two generations: what is asked for again outlives what is not."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self._old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self._old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        old = self._old.get(piece)
+        if old is not None:
+            self[piece] = old
+            return old
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
         ids = [whole] if whole is not None else self.vocabulary.encode(data)

@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ship the package; and where the session still has Spark's own 10,000 rows an Arrow batch, take at most 2,000 rows or 8 MB: texts are long, and both sides hold whole batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return ship(spark)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one where none is named, as in tests."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import bucket_bits, materialize, schema_of
-from .wordhash import U, Words, bucket_rows, chunks, mix
+from .wordhash import U, Words, bucket_rows, chunks, mix, slices
 
 WINDOW, PREFIX = 35, 8
 FILTER_BITS = 26
@@ -76,7 +76,7 @@ def _seen_twice(docs: DataFrame, window: int, prefix: int, bits: int, filter_bit
     shift, each = U(64 - bits), filter_bits - bits
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got, twice = [], []
             for _, words in chunks(batch.column(0), False):
                 group, first, length = _groups(words, window, prefix)
@@ -124,7 +124,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = twice.value
-        for batch in batches:
+        for batch in slices(batches):
             prints, groups, keys, places = [], [], [], []
             key = np.asarray(batch.column(0))
             for at, words in chunks(batch.column(1), False):
@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at_text, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index(_SPANS)).to_pylist()
             kept, n_words, n_removed = [], [], []
             for at, words in chunks(batch.column(at_text), False):

@@ -24,7 +24,7 @@ from .session import schema_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 250_000
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, SLICE_ROWS = (1 << 20) - 4096, 4096
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -109,6 +109,14 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows: what a task holds beside its input follows this, not the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def raw_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets), a few MB of whole texts at a time; a null text is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
