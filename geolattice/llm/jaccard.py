@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .forest import forest
 from .session import bucket_bits, materialize
-from .wordhash import U, Words, bucket_rows, chunks, mix
+from .wordhash import U, Words, bucket_rows, chunks, mix, slices
 
 SHINGLE, PERCENT = 5, 75
 FREQUENT = 1 << 16
 SHORT_LIST = 6
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 16, 512
 FILTER_BITS = 23
+DENSE = 1 << 21
 
 
 def _sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -80,7 +81,7 @@ def shingle_sets(docs: DataFrame, often, k: int = SHINGLE, percent: int = PERCEN
 
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = often.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [(len(x), _print(x), _head(x, tokens, ranks, percent)[1], _bitmap(x)) if len(x) else (0, 0, 0, b"") for _, words in chunks(batch.column(1), True) for x in _sets(words, k)]
             n, prints, heads, bitmap = zip(*got) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(heads, pa.int64()), pa.array(bitmap, pa.binary())], ["doc_id", "n_shingles", "print", "head", "bitmap"])
@@ -89,10 +90,10 @@ def shingle_sets(docs: DataFrame, often, k: int = SHINGLE, percent: int = PERCEN
 
 
 def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> np.ndarray:
-    """At most ``most`` of the tokens that most sets have, rarest first; counted within each task, then over all."""
+    """At most ``most`` of the tokens that most sets have, rarest first; counted within each slice of rows (what is there once is left out), then over all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [x for _, words in chunks(batch.column(0), True) for x in _sets(words, k)]
             if not got:
                 continue
@@ -100,7 +101,7 @@ def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) ->
             x.sort()
             cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
             n = np.diff(np.r_[cuts, len(x)])
-            many = np.flatnonzero(n > 2)
+            many = np.flatnonzero(n > 1)
             many = many[np.argsort(-n[many], kind="stable")[:most]]
             yield pa.RecordBatch.from_arrays([pa.array(x[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], ["token", "n"])
 
@@ -164,7 +165,7 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = often.value
-        for batch in batches:
+        for batch in slices(batches):
             own: dict[int, int] = {}
             parts = []
             for _, words in chunks(batch.column(0), True):
@@ -251,8 +252,9 @@ def _block_pairs(packed: DataFrame, percent: int) -> DataFrame:
 
 
 def _large(members: DataFrame) -> DataFrame:
-    """Clusters of more than BLOCK_TOKENS tokens."""
-    return members.where("cluster is not null").groupBy("cluster").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS).select("cluster")
+    """Clusters of more than BLOCK_TOKENS tokens or BLOCK_ROWS sets."""
+    totals = members.where("cluster is not null").groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
+    return totals.where((F.col("total") > BLOCK_TOKENS) | (F.col("m") > BLOCK_ROWS)).select("cluster")
 
 
 def _finer(members: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +301,7 @@ def _bitmap_links(one: list[dict], two: list[dict], percent: int) -> tuple[np.nd
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """``members`` with ``class`` and ``block``: a large cluster is cut by size classes and then by hash; ``class`` is null for one that stays whole."""
-    parts = members.join(_large(members), "cluster", "left_semi").withColumn("class", _size_class(percent)).groupBy("cluster", "class").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts"))
+    parts = members.join(_large(members), "cluster", "left_semi").withColumn("class", _size_class(percent)).groupBy("cluster", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_ROWS)).alias("parts"))
     out = members.withColumn("class", _size_class(percent)).join(parts, ["cluster", "class"], "left")
     return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("class", F.when(F.col("parts").isNotNull(), F.col("class"))).drop("parts")
 
@@ -352,7 +354,7 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = seen.value
-        for batch in batches:
+        for batch in slices(batches):
             at = (mix(np.asarray(batch.column(0)).view(np.uint64)) & U(size - 1)).astype(np.int64)
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1) > 0))
             got = [(_print(x), x.tobytes()) for _, words in chunks(batch.column(1), True) for x in _sets(words, k)]
@@ -415,9 +417,10 @@ def _cluster_links(whole: DataFrame, percent: int) -> DataFrame:
                 column = np.repeat(np.cumsum(runs > 1) - 1, runs)[shared]
                 common = np.zeros((len(a), len(b)), np.float32)
                 owner = owner[shared]
-                for at in range(0, int((runs > 1).sum()), 4096):
-                    part = (column >= at) & (column < at + 4096)
-                    dense = np.zeros((len(ids), 4096), np.float32)
+                width = max(64, DENSE // max(len(ids), 1))
+                for at in range(0, int((runs > 1).sum()), width):
+                    part = (column >= at) & (column < at + width)
+                    dense = np.zeros((len(ids), width), np.float32)
                     dense[owner[part], column[part] - at] = 1
                     common += dense[: len(a)] @ dense[len(a) :].T
                 union = sizes[: len(a), None] + sizes[None, len(a) :] - common
