@@ -23,7 +23,7 @@ from .boosting import Booster, Isotonic
 from .session import hashed_sample, schema_of
 from .wordhash import U, mix
 
-SAMPLE = 8000
+SAMPLE = 5000
 LEXICON = 2000
 NEAR = 6
 # Second-person words of the corpora's languages, and the characters that often stand for letters.
@@ -187,11 +187,12 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     marks = [m for i in range(len(texts)) for m in _all_marks(pa.array(texts[i : i + 1], pa.string()))]
     bags = [np.unique(m.hashes) for m in marks]
     fold = np.arange(len(texts)) % 3
+    original = _originals(bags)
 
     def lexicon(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sides = []
         for side in (1, 0):
-            rows = np.flatnonzero(keep & (toxic == side))
+            rows = np.flatnonzero(keep & original & (toxic == side))
             found = np.unique(np.concatenate([bags[i] for i in rows] or [np.zeros(0, np.uint64)]), return_counts=True)
             sides.append((*found, len(rows)))
         (word, bad, n_bad), (other, good, n_good) = sides
@@ -215,6 +216,23 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(*lexicon(np.ones(len(texts), bool)), _trees().fit(x, toxic), Isotonic().fit(scores, toxic.astype(float)))
 
 
+def _originals(bags: list[np.ndarray]) -> np.ndarray:
+    """Marks the texts that are no near copies of earlier ones, so that a word counts once for a group of copies."""
+    word, count = np.unique(np.concatenate(bags), return_counts=True)
+    common = word[count > max(8, len(bags) // 20)]
+    seen: dict[tuple[int, int], list[int]] = {}
+    keep = np.zeros(len(bags), bool)
+    for i, bag in enumerate(bags):
+        rare = bag[~_member(bag, common)]
+        places = [(k, int(mix(rare ^ U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min())) for k in range(6)] if len(rare) else [(0, 0)]
+        near = {j for p in places for j in seen.get(p, ())}
+        keep[i] = not any(2 * len(np.intersect1d(bag, bags[j], assume_unique=True)) >= len(bag) + len(bags[j]) - len(np.intersect1d(bag, bags[j], assume_unique=True)) for j in near)
+        if keep[i]:
+            for p in places:
+                seen.setdefault(p, []).append(i)
+    return keep
+
+
 def _trees() -> Booster:
     return Booster(rounds=40, leaves=8, rate=0.2, least=20, ridge=5.0)
 
