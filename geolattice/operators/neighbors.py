@@ -184,17 +184,20 @@ def grid_neighbors(points: DataFrame, radius: float | None = None, n_neighbors:
         return block_neighbors(points, radius, n_neighbors)
     dim = points.select(F.size("v").alias("d")).first()
     dim = dim["d"] if dim else 0
+    if not dim:
+        return block_neighbors(points, radius)
     if dim > 3:
         raise InvalidInput("the grid method takes three dimensions at most")
-    cube = F.transform("v", lambda x: F.floor(x / radius))
+    axes = range(dim)
+    cube = [F.floor(F.col("v")[k] / radius) for k in axes]
     shifts = [[]]
-    for _ in range(dim):
+    for _ in axes:
         shifts = [[*s, x] for s in shifts for x in (-1, 0, 1)]
-    near = F.array(*[F.array(*[F.lit(x) for x in s]) for s in shifts])
-    left = points.select(F.col("id").alias("i"), F.col("v").alias("a"), F.explode(F.transform(near, lambda s: F.zip_with(cube, s, lambda c, x: (c + x).cast("long")))).alias("cube"))
-    right = points.select(F.col("id").alias("j"), F.col("v").alias("b"), F.transform(cube, lambda c: c.cast("long")).alias("cube"))
-    d = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return left.join(right, "cube").select("i", "j", d.alias("d")).where(F.col("d") <= radius)
+    near = F.array(*[F.struct(*[(cube[k] + s[k]).alias(f"c{k}") for k in axes]) for s in shifts])
+    left = points.select(F.col("id").alias("i"), *[F.col("v")[k].alias(f"a{k}") for k in axes], F.explode(near).alias("c")).select("i", *[f"a{k}" for k in axes], "c.*")
+    right = points.select(F.col("id").alias("j"), *[F.col("v")[k].alias(f"b{k}") for k in axes], *[cube[k].alias(f"c{k}") for k in axes])
+    square = sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in axes), F.lit(0.0))
+    return left.join(right, [f"c{k}" for k in axes]).select("i", "j", F.sqrt(square).alias("d")).where(F.col("d") <= radius)
 
 
 @adjacencies.register("lsh")
