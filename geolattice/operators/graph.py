@@ -13,6 +13,26 @@ from pyspark.sql import functions as F
 from ..sources.storage import cut
 
 MOST_DENSE = 20_000
+FINISH = 100_000
+
+
+def _smallest_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) of a bounded number of links: each end and the smallest id it reaches."""
+    ends = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if not ends:
+        return
+    a, b = (np.concatenate(e) for e in zip(*ends))
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    low, high = at[: len(a)], at[len(a) :]  # a < b
+    root = np.arange(len(ids))
+    while len(low):
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root[root], root):
+            root = root[root]
+        p, q = root[low], root[high]
+        keep = p != q
+        low, high = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], ["x", "y"])
 
 
 def connected_components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -25,7 +45,10 @@ def connected_components(edges: DataFrame, ids: DataFrame | None = None) -> Data
     nodes = (ids.select("id") if ids is not None else edges.select(F.col("i").alias("id"))).union(edges.select("i")).union(edges.select("j")).distinct()
     links = cut(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
     names = cut(nodes.select("id", F.col("id").alias("component")))
-    while not links.isEmpty():
+    while count := links.count():
+        if count <= FINISH:
+            last = cut(links.coalesce(1).mapInArrow(_smallest_reachable, "x long, y long"))
+            return names.join(last.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("y", "component").alias("component"))
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = cut(ends.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y")))
         for _ in range(2):

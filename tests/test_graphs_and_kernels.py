@@ -198,7 +198,9 @@ def test_sparse_algebra(spark):
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------------
-def test_components(spark):
+@pytest.mark.parametrize("finish", [100_000, 0])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH", finish)
     e = spark.createDataFrame([(3, 4, 1.0), (4, 9, 1.0), (1, 2, 1.0), (5, 5, 0.0)], "i long, j long, d double")
     ids = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 9, 11)], "id long")
     got = {r["id"]: r["component"] for r in graph.connected_components(e, ids).collect()}
