@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .session import schema_of
 
-CACHE, SEAMS = 250_000, 150_000
-STATES, STATE_LENGTHS = 30_000, (8, 5)
+CACHE, SEAMS = 500_000, 600_000
+STATES, STATE_LENGTHS = 60_000, (8, 5)
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
