@@ -3,12 +3,12 @@
 1. Texts become arrays of 5-word shingle hashes. A window as long as a benchmark
    item can only be similar to one if it shares a shingle with it, so windows are
    cut where a shingle of the benchmark stands, aligned with its item.
-2. Each window and item gets a 64-bit SimHash. Fingerprints are cut into four
-   blocks; of two within RADIUS bits, some block is within a quarter of RADIUS.
-   Items are filed under all keys that close to theirs, so that an equi-join on
-   (block, key) meets every pair within the radius.
-3. Pairs within the radius are verified by the exact weighted similarity of
-   their shingle sets; a shingle weighs less the more items hold it.
+2. A window that reaches the threshold misses at most a known share of an item's
+   weight, so it holds one of the item's rarest shingles: of those sorted by weight
+   and heavier together than that share. Windows meet items by an equi-join on
+   these shingles and the length; no pair that reaches the threshold is lost.
+3. Pairs are verified by the exact weighted similarity of their shingle sets; a
+   shingle weighs less the more items hold it.
 
 Texts never leave their rows: one scan, and only windows are shuffled. The
 benchmark's shingles are handed to the scan as a set of bounded size; a larger
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .session import materialize
 
 SHINGLE, THRESHOLD = 5, 0.75
-RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
 SET_BOUND = 1 << 16
 SPACES = " \t\n\x0b\f\r"
 
@@ -44,33 +43,28 @@ def shingles(word: Column, k: int = SHINGLE) -> Column:
     return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(word))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(shingle: Column) -> Column:
-    """64-bit fingerprint: each bit is the majority of the shingles' bits."""
-    n = F.size(shingle)
+def _total(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0.0), lambda s, e: s + e["weight"])
 
-    def bit(i: int) -> Column:
-        ones = F.aggregate(shingle, F.lit(0), lambda a, x: a + F.getbit(x, F.lit(i)).cast("int"))
-        return F.when(2 * ones > n, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
 
-    return reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)])
+def _items(benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(item, item_id, all shingles, own: distinct shingles with weights, heaviest first, most, lead) of each item that has words.
 
-
-def _block(fingerprint: Column, block: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, block * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-
-
-def _items(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, length, own: distinct shingles with weights, all shingles, fingerprint, part) of each item that has words."""
+    A window that holds none of the ``lead`` first of ``own`` is below the threshold.
+    """
     items = benchmark.select("item_id", "text").where("text is not null").withColumn("all", shingles(words(F.col("text")))).where(F.size("all") > 0)
     items = items.groupBy("item_id", "all").agg(F.count("*").alias("copies")).withColumn("item", F.xxhash64("item_id", "all"))
     total = float(items.count())
     weight = items.select("item", F.explode(F.array_distinct("all")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
     weighed = items.select("item", F.explode(F.array_distinct("all")).alias("shingle")).join(weight, "shingle")
-    own = weighed.groupBy("item").agg(F.collect_list(F.struct("shingle", F.log1p(total / F.col("df")).alias("weight"))).alias("own"))
-    return items.join(own, "item").withColumn("most", F.lit(math.log1p(total))).select("item", "item_id", "all", "own", "most", simhash(F.col("all")).alias("item_print"))
+    own = weighed.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.log1p(total / F.col("df")).alias("weight"), "shingle")), asc=False).alias("own"))
+    own = own.withColumn("spare", _total(F.col("own")) * ((1 - threshold) * (1 + 1e-9)))  # the weight that a window may miss, and room for rounding
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"))
+    lead = F.aggregate("own", start, lambda a, e: F.struct((a["before"] + e["weight"]).alias("before"), (a["n"] + (a["before"] <= F.col("spare")).cast("int")).alias("n")), lambda a: a["n"])
+    return items.join(own, "item").withColumn("most", F.lit(math.log1p(total))).select("item", "item_id", "all", "own", "most", lead.alias("lead"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, set_bound: int = SET_BOUND) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, set_bound: int = SET_BOUND) -> DataFrame:
     """(doc_id, row_key, item_id, similarity, start_word): documents with a passage like a benchmark item, best window of each item.
 
     A row of ``docs`` (doc_id, text) is known by ``row_key``, the hash of its id
@@ -78,14 +72,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items match nothing. An item of fewer than five words matches only a document
     that is this item; a document shorter than an item is one window.
     """
-    items = materialize(_items(benchmark), "items")
+    items = materialize(_items(benchmark, threshold), "items")
     total = items.agg(F.sum(F.size("all"))).first()[0] or 0
     parts = max(1, math.ceil(total / set_bound))
-    found = [_part(docs, items.where(F.pmod("item", F.lit(parts)) == p) if parts > 1 else items, threshold, radius) for p in range(parts)]
+    found = [_part(docs, items.where(F.pmod("item", F.lit(parts)) == p) if parts > 1 else items, threshold) for p in range(parts)]
     return reduce(DataFrame.unionByName, found)
 
 
-def _part(docs: DataFrame, items: DataFrame, threshold: float, radius: int) -> DataFrame:
+def _part(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     index = items.select("item", F.size("all").alias("length"), F.posexplode("all").alias("place", "shingle"))
     known = [r[0] for r in items.select(F.explode("all").alias("s")).distinct().collect()]  # about set_bound numbers at most
     index = index.groupBy("shingle", "length", "place").agg(F.count("*").alias("n")).drop("n")
@@ -100,31 +94,34 @@ def _part(docs: DataFrame, items: DataFrame, threshold: float, radius: int) -> D
     seeds = rows.select("doc_id", "row_key", "all", F.explode("hits").alias("at")).withColumn("shingle", F.get("all", F.col("at")))
     cut = seeds.join(F.broadcast(index), "shingle")  # as many rows as the set has shingles, at most set_bound
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("all") - F.col("length")))
-    window = cut.select("doc_id", "row_key", start.alias("start"), "length", F.slice("all", start + 1, F.col("length")).alias("window"))
-    window = window.groupBy("doc_id", "row_key", "start", "length").agg(F.first("window").alias("window"))
-    window = window.withColumn("print", simhash(F.col("window")))
-    window = materialize(window, "windows")
-
-    near = radius // BLOCKS
-    mask = docs.sparkSession.range(1 << BLOCK_BITS).where(F.bit_count("id") <= near).select(F.col("id").alias("mask"))
-    blocks = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("item_print"), b).alias("own")) for b in range(BLOCKS)]))
-    masks = [r["mask"] for r in mask.collect()]  # a fixed number, by radius
-    filed = items.select("item", "item_print", blocks.alias("b")).select("item", "item_print", "b.block", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(F.col("b.own")))).alias("key"))
-    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("print"), b).alias("key")) for b in range(BLOCKS)]))
-    asked = window.select("row_key", "start", "length", "print", keys.alias("b")).select("row_key", "start", "length", "print", "b.block", "b.key")
-    close = asked.join(filed.hint("merge"), ["block", "key"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    close = close.select("row_key", "start", "length", "item").distinct()
-
-    pairs = close.join(window.drop("print"), ["row_key", "start", "length"]).join(items.select("item", "item_id", "own", "most"), "item")
+    window = cut.select("doc_id", "row_key", start.alias("start"), "length", (F.size("all") - F.col("length")).alias("final"), F.slice("all", start + 1, F.col("length")).alias("window"))
+    window = window.groupBy("doc_id", "row_key", "start", "length").agg(F.first("final").alias("final"), F.first("window").alias("window"))
+
+    # Both sides of the broadcasts have at most as many rows as the set has shingles.
+    lead = items.select("item", F.size("all").alias("length"), F.posexplode(F.slice("own.shingle", 1, F.col("lead"))).alias("rank", "shingle"))
+    asked = window.withColumn("shingle", F.explode(F.array_distinct("window")))
+    pairs = asked.join(F.broadcast(lead), ["shingle", "length"]).join(F.broadcast(items.select("item", "item_id", "all", "own", "most")), "item")
+    pairs = pairs.where(~F.arrays_overlap("window", F.slice("own.shingle", 1, F.col("rank"))))  # a pair counts at the first shingle it shares
+
     common = F.filter("own", lambda e: F.array_contains(F.col("window"), e["shingle"]))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, e: s + e["weight"])
-    other = F.size(F.array_except("window", F.transform("own", lambda e: e["shingle"])))
-    similarity = total(common) / (total(F.col("own")) + F.col("most") * other)
-    pairs = pairs.select("doc_id", "row_key", "item_id", "start", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    other = F.size(F.array_except("window", "own.shingle"))
+    similarity = _total(common) / (_total(F.col("own")) + F.col("most") * other)
+    pairs = pairs.select("doc_id", "row_key", "item_id", "start", "final", "window", "all", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = pairs.where(_aligned())
     best = pairs.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "row_key", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start_word"))
 
 
+def _aligned() -> Column:
+    """Whether a shingle of ``window`` stands where it does in the item (``all``), or the window is at the text's first or last place and the item sticks out."""
+    places = F.sequence(F.lit(0), F.size("window") - 1)
+    at = lambda i: F.get("window", i)
+    inside = F.exists(places, lambda i: at(i) == F.get("all", i))
+    before = F.exists(places, lambda i: F.array_contains(F.slice("all", i + 1, F.size("all")), at(i)))
+    after = F.exists(places, lambda i: F.array_contains(F.slice("all", 1, i + 1), at(i)))
+    return inside | ((F.col("start") == 0) & before) | ((F.col("start") >= F.col("final")) & after)
+
+
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage like a benchmark item."""
     gone = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("row_key").alias("_geolattice_row")).distinct()
