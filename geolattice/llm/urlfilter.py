@@ -4,7 +4,8 @@ A rule names a host and a path prefix and fits the host and its subdomains; of
 the fitting rules the longest decides. URLs that no rule fits are judged by trees
 over length, depth, digit ratio, entropy, parameter counts and statistics of the
 host's suffixes. The labelled URLs to learn from are those that rules decide,
-unless others are given.
+unless others are given: the statistics count all of them, the trees are fitted on
+a sample.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Booster
-from .session import hashed_sample
+from .session import hashed_sample, materialize
 
 SAMPLE = 5000
-SUFFIXES = 5000
+LEVELS = 3
+_COUNTS = "_geolattice_counts"
 
 
 @dataclass(frozen=True)
@@ -60,9 +62,24 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return text, verdict
 
 
-def _suffixes(host: str) -> list[str]:
-    labels = host.split(".")
-    return [".".join(labels[-i:]) for i in range(1, min(len(labels), 4) + 1)]
+def _suffixes(host: Column) -> Column:
+    """The last one, two and three labels of a host; null where it has fewer."""
+    labels = F.split(host, r"\.")
+    return F.array(*[F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), ".")) for k in range(1, LEVELS + 1)])
+
+
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """(suffix, n, bad): URLs and blocked URLs by host suffix, over all rows of (host, bad)."""
+    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    each = hosts.select(F.explode(_suffixes(F.col("host"))).alias("suffix"), "n", "bad").where("suffix is not null")
+    return each.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+
+
+def host_counts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, counts: n and bad of each of its suffixes, shortest first) of the hosts of ``rows`` that have any."""
+    asked = rows.select("host").distinct().select("host", F.posexplode(_suffixes(F.col("host"))).alias("level", "suffix")).where("suffix is not null")
+    of = [F.coalesce(F.sum(F.when(F.col("level") == k, F.col(c))), F.lit(0)) for k in range(LEVELS) for c in ("n", "bad")]
+    return asked.join(counts, "suffix").groupBy("host").agg(F.array(*of).alias(_COUNTS))
 
 
 def _entropy(text: str) -> float:
@@ -72,24 +89,22 @@ def _entropy(text: str) -> float:
 
 @dataclass
 class Model:
-    """Share of blocked URLs by host suffix (the most frequent suffixes only) and the trees."""
+    """Share of blocked URLs among all labelled ones, and the trees."""
 
     share: float = 0.0
-    suffixes: dict[str, tuple[int, int]] = field(default_factory=dict)
     booster: Booster = field(default_factory=Booster)
 
-    def features(self, url: str | None, host: str, path: str, own: int | None = None, seen: bool = True) -> list[float]:
-        """``own``: the row's label, left out of the suffix statistics while learning. ``seen``: whether to use these statistics."""
+    def features(self, url: str | None, host: str, path: str, counts: Sequence[int] | None, own: int | None = None) -> list[float]:
+        """``counts``: of the host's suffixes, as in ``host_counts``; none for a host never seen. ``own``: the row's label, left out of them while learning."""
         url = url or ""
         query = url.partition("?")[2].partition("#")[0]
         segments = [s for s in path.split("/") if s]
         shares = []
-        for s in _suffixes(host)[:3]:
-            n, bad = self.suffixes.get(s, (0, 0)) if seen else (0, 0)
+        for k in range(LEVELS):
+            n, bad = (0, 0) if counts is None else (int(counts[2 * k]), int(counts[2 * k + 1]))
             if own is not None and n:
                 n, bad = n - 1, bad - own
             shares.append((bad + 4 * self.share) / (n + 4))
-        shares += [self.share] * (3 - len(shares))
         digits = sum(c.isdigit() for c in url)
         return [
             float(len(url)),
@@ -111,26 +126,28 @@ class Model:
         ]
 
 
-def learn(rows: Sequence[tuple[str, str, str, int]]) -> Model:
-    """From (url, host, path, 1 if blocked)."""
+def learn(rows: Sequence[tuple[str, str, str, int, Sequence[int] | None]], share: float) -> Model:
+    """From (url, host, path, 1 if blocked, counts of the host's suffixes) and the share of blocked URLs."""
     y = np.array([r[3] for r in rows], np.int64)
-    count, bad = Counter(), Counter()
-    for _, host, _, label in rows:
-        for s in _suffixes(host):
-            count[s] += 1
-            bad[s] += label
-    model = Model(float(y.mean()) if len(y) else 0.0, {s: (n, bad[s]) for s, n in count.most_common(SUFFIXES)})
+    model = Model(share)
     # Half of the rows go without statistics, so that the trees can judge hosts never seen.
-    x = np.array([model.features(u, h, p, label, k % 2 > 0) for k, (u, h, p, label) in enumerate(rows)]) if rows else np.zeros((0, 1))
+    x = np.array([model.features(u, h, p, c if k % 2 else None, label) for k, (u, h, p, label, c) in enumerate(rows)]) if rows else np.zeros((0, 1))
     model.booster = Booster(rounds=40, leaves=8, rate=0.2, least=10).fit(x, y)
     return model
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from ``labelled`` (url, host, path, verdict): the first ``sample`` rows by hash of the url. Null urls and verdicts are left out."""
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+    """The model and the suffix counts of ``labelled`` (url, host, path, verdict). Null urls and verdicts are left out.
+
+    Counts are over all rows; the trees learn from the first ``sample`` rows by hash of the url.
+    """
     known = labelled.where("url is not null and verdict is not null").select("url", "host", "path", F.expr("int(verdict = 'block')").alias("bad"))
-    rows = hashed_sample(known, F.col("url"), sample).orderBy(F.xxhash64("url"), "url", "bad").limit(sample).collect()  # a bounded sample
-    return learn([tuple(r) for r in rows])
+    counts = materialize(suffix_counts(known), "suffixes")
+    n, bad = known.agg(F.count("*"), F.sum("bad")).first()
+    rows = hashed_sample(known, F.col("url"), sample, n).orderBy(F.xxhash64("url"), "url", "bad").limit(sample).collect()  # a bounded sample
+    hosts = known.sparkSession.createDataFrame([(h,) for h in sorted({r["host"] for r in rows})], "host string")
+    of = {r["host"]: r[_COUNTS] for r in host_counts(hosts, counts).collect()}  # as many as the sample has hosts
+    return learn([(*r, of.get(r["host"])) for r in rows], bad / n if n else 0.0), counts
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -149,19 +166,21 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | N
         source = judged
     else:
         source = labelled.select("url", "verdict", host.alias("host"), path.alias("path"))
-    model = fit(source, sample)
+    model, counts = fit(source, sample)
     shared = pages.sparkSession.sparkContext.broadcast(model)  # of bounded size
+    hosts = materialize(host_counts(judged.where("rule is null"), counts), "hosts")  # of known size, so that few hosts go to all tasks
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own = shared.value
-        for url, host, path, rule in batches:
+        for url, host, path, rule, counts in batches:
             out = np.full(len(url), np.nan)
             free = np.flatnonzero(rule.isna())
             if len(free):
-                x = np.array([own.features(url.iloc[i], host.iloc[i], path.iloc[i]) for i in free])
+                x = np.array([own.features(url.iloc[i], host.iloc[i], path.iloc[i], counts.iloc[i]) for i in free])
                 out[free] = 1 / (1 + np.exp(-own.booster.log_odds(x)))
             yield pd.Series(out)
 
-    out = judged.withColumn("score", F.nanvl(score("url", "host", "path", "rule"), F.lit(None)))
+    joined = judged.join(hosts, "host", "left").select(*judged.columns, _COUNTS)
+    out = joined.withColumn("score", F.nanvl(score("url", "host", "path", "rule", _COUNTS), F.lit(None))).drop(_COUNTS)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))

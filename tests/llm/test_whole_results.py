@@ -8,6 +8,7 @@ from samples import prose
 
 from geolattice.llm.decontaminate import contaminated
 from geolattice.llm.queries import ORACLE_SQL
+from geolattice.llm.urlfilter import filter_urls
 
 
 def test_decontamination_equals_its_sql_near_the_threshold(spark):
@@ -39,3 +40,14 @@ def test_decontamination_equals_its_sql_near_the_threshold(spark):
     assert {(a, b, d) for a, b, _, d in found} == {(a, b, d) for a, b, _, d in expected}
     similarity = {(a, b): s for a, b, s, _ in expected}
     assert all(abs(similarity[a, b] - s) < 2e-6 for a, b, s, _ in found)
+
+
+def test_url_statistics_count_labels_beyond_the_sample(spark):
+    """Hosts told apart by their labels alone, more of them than the sample holds."""
+    r = random.Random(3)
+    blocked = {f"h{r.randrange(10**5, 10**6)}.test": k % 2 > 0 for k in range(1000)}
+    rows = [(f"http://{h}/{r.randrange(1000, 10000)}", "block" if bad else "allow") for h, bad in blocked.items() for _ in range(3)]
+    fresh = spark.createDataFrame([(f"http://{h}/{r.randrange(1000, 10000)}",) for h in blocked], "url string")
+    got = filter_urls(fresh, [], spark.createDataFrame(rows, "url string, verdict string"), sample=300).collect()
+    assert len(got) == len(blocked)
+    assert sum((x["verdict"] == "block") == blocked[x["host"]] for x in got) > 0.98 * len(got)
