@@ -51,3 +51,15 @@ def test_url_statistics_count_labels_beyond_the_sample(spark):
     got = filter_urls(fresh, [], spark.createDataFrame(rows, "url string, verdict string"), sample=300).collect()
     assert len(got) == len(blocked)
     assert sum((x["verdict"] == "block") == blocked[x["host"]] for x in got) > 0.98 * len(got)
+
+
+def test_decontamination_finds_copies_with_far_fingerprints(spark):
+    """One word of forty changed, similarity 0.756, SimHash 20 or 21 bits away."""
+    item = prose(3000, 40, 10**6)
+    texts = []
+    for k, at in ((170, 20), (1734, 24), (3346, 16), (7321, 11)):
+        w = item.split(" ")
+        w[at] = f"new{k}"
+        texts.append((k, " ".join(w)))
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((x["doc_id"], round(x["similarity"], 6)) for x in got.collect()) == [(k, 0.756098) for k, _ in texts]
