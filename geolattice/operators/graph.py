@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import Scratch, cut
 
 MOST_DENSE = 20_000
-FINISH = 100_000
+FINISH = 50_000
 
 
 def _smallest_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,22 +42,29 @@ def connected_components(edges: DataFrame, ids: DataFrame | None = None) -> Data
     renamed, until no edge joins two names; the rounds grow with the logarithm
     of the largest component.
     """
-    nodes = (ids.select("id") if ids is not None else edges.select(F.col("i").alias("id"))).union(edges.select("i")).union(edges.select("j")).distinct()
-    links = cut(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
-    names = cut(nodes.select("id", F.col("id").alias("component")))
-    while count := links.count():
-        if count <= FINISH:
-            last = cut(links.coalesce(1).mapInArrow(_smallest_reachable, "x long, y long"))
-            return names.join(last.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("y", "component").alias("component"))
-        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = cut(ends.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y")))
-        for _ in range(2):
-            hook = hook.join(hook.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
-        hook = cut(hook)
-        names = cut(names.join(hook.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("y", "component").alias("component")))
-        one, two = hook.select(F.col("x").alias("a"), F.col("y").alias("p")), hook.select(F.col("x").alias("b"), F.col("y").alias("q"))
-        links = cut(links.join(one, "a").join(two, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct())
-    return names
+    if ids is None:
+        nodes = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+    else:
+        nodes = ids.select("id").union(edges.select(F.explode(F.array("i", "j")).alias("id"))).distinct()
+    with Scratch(edges.sparkSession, "components") as scratch:
+        links = scratch.cut(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
+        names = scratch.cut(nodes.select("id", F.col("id").alias("component")))
+        while count := links.count():
+            if count <= FINISH:
+                hook = links.coalesce(1).mapInArrow(_smallest_reachable, "x long, y long")
+            else:
+                ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                hook = scratch.cut(ends.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).select("x", F.least("x", "y").alias("y")))
+                for _ in range(2):
+                    hook = hook.join(hook.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
+            hook = scratch.cut(hook)
+            names = names.join(hook.withColumnRenamed("x", "component"), "component", "left").select("id", F.coalesce("y", "component").alias("component"))
+            if count <= FINISH:
+                break
+            names = scratch.cut(names)
+            one, two = hook.select(F.col("x").alias("a"), F.col("y").alias("p")), hook.select(F.col("x").alias("b"), F.col("y").alias("q"))
+            links = scratch.cut(links.join(one, "a").join(two, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a < b").distinct())
+        return cut(names, "components")
 
 
 def component_of(edges: DataFrame, node: int, ids: DataFrame | None = None) -> DataFrame:
