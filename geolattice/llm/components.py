@@ -1,36 +1,11 @@
-"""Connected components of a link table, by repeated contraction.
-
-Each round hooks every node to the smallest of itself and its neighbours, jumps
-twice along these pointers, and renames the ends of all links. A node never
-gets a larger name, so that the last name is the smallest id reachable. All
-state is in DataFrames; a hub's rows meet only in a partial minimum or on the
-many side of a join with a unique key. Once no more than FINISH links are left,
-a single task, which they fit by their number, names what remains.
-"""
+"""Connected components of a link table whose ends may be null or equal."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .forest import forest
-from .session import materialize
-
-FINISH = 50_000
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, to) of a few links: the smallest node reachable."""
-    ends = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if ends:
-        a, b = (np.concatenate(x) for x in zip(*ends))
-        nodes, index = np.unique(np.r_[a, b], return_inverse=True)
-        root = forest(len(nodes), index[: len(a)], index[len(a) :])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], ["node", "to"])
+from ..operators import graph
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,33 +13,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Null ends and self links are ignored; repeated links count once.
     """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = links.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
-    edges = materialize(edges, "links")
-    names = None
-    while count := edges.count():
-        if count <= FINISH:
-            hook = materialize(edges.coalesce(1).mapInArrow(_finish, "node long, to long"), "jumps")
-        else:
-            ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            hook = ends.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to"))
-            hook = materialize(hook, "hooks")
-            for _ in range(2):
-                far = hook.select(F.col("node").alias("to"), F.col("to").alias("far"))
-                hook = hook.join(far, "to").select("node", F.col("far").alias("to"))
-            hook = materialize(hook, "jumps")
-        if names is None:
-            names = hook.select("node", F.col("to").alias("component"))
-        else:
-            step = hook.select(F.col("node").alias("component"), "to")
-            names = names.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-            names = materialize(names, "names")
-        if count <= FINISH:
-            break
-        at_a = hook.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        at_b = hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = edges.join(at_a, "a").join(at_b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = materialize(edges.where("a < b").distinct(), "links")
-    if names is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return names
+    edges = links.select(F.col(a).cast("long").alias("i"), F.col(b).cast("long").alias("j")).where("i <> j")
+    return graph.connected_components(edges).select(F.col("id").alias("node"), "component")

@@ -113,23 +113,24 @@ _SHINGLES = """CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), l
 
 ORACLE_SQL = {
     "op1_decontamination": f"""
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents),
-        ds AS (SELECT r, doc_id, {_SHINGLES} AS s FROM d),
-        dp AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g, unnest(range(len(s))) AS p FROM ds),
-        b AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
-        bs AS (SELECT item_id, {_SHINGLES} AS s FROM b WHERE len(w) > 0),
-        bp AS (SELECT item_id, len(s) AS n, unnest(s) AS g, unnest(range(len(s))) AS p FROM bs),
-        own AS (SELECT DISTINCT item_id, g FROM bp),
-        total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM bs),
-        weight AS (SELECT g, ln(1 + (SELECT n FROM total) / count(*)) AS x FROM own GROUP BY g),
-        whole AS (SELECT item_id, sum(x) AS x FROM own JOIN weight USING (g) GROUP BY item_id),
-        win AS (SELECT DISTINCT dp.r, dp.doc_id, bp.item_id, bp.n, greatest(0, least(dp.p - bp.p, dp.n - bp.n)) AS start FROM dp JOIN bp USING (g)),
-        inside AS (SELECT DISTINCT win.*, dp.g FROM win JOIN dp ON dp.r = win.r AND dp.p >= win.start AND dp.p < win.start + win.n),
-        score AS (SELECT i.r, i.doc_id, i.item_id, i.start,
-                  sum(CASE WHEN own.g IS NOT NULL THEN weight.x ELSE 0 END) / (any_value(whole.x) + ln(1 + (SELECT n FROM total)) * count(*) FILTER (own.g IS NULL)) AS similarity
-                  FROM inside i JOIN whole USING (item_id) LEFT JOIN own ON own.item_id = i.item_id AND own.g = i.g LEFT JOIN weight ON weight.g = i.g GROUP BY i.r, i.doc_id, i.item_id, i.start),
-        best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, start) AS k FROM score WHERE similarity >= 0.75)
-        SELECT doc_id, item_id, round(similarity, 6) AS similarity, CAST(start AS INTEGER) AS start_word FROM best WHERE k = 1
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT DISTINCT doc_id, text, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM documents)),
+        b AS (SELECT row_number() OVER () AS item, item_id, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS n
+              FROM (SELECT DISTINCT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark) WHERE len(w) > 0),
+        bp AS (SELECT DISTINCT item, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM b),
+        total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM b),
+        weight AS (SELECT g, ln(1 + (SELECT n FROM total) / count(*)) AS x FROM bp GROUP BY g),
+        whole AS (SELECT item, sum(x) AS x FROM bp JOIN weight USING (g) GROUP BY item),
+        kinds AS (SELECT DISTINCT k FROM b),
+        dp AS (SELECT r, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g, unnest(range(len(w) - k + 1)) AS p FROM d, kinds WHERE len(w) >= k),
+        size AS (SELECT r, k, count(*) AS n FROM dp GROUP BY r, k),
+        shared AS (SELECT dp.r, b.item, b.k, b.n AS length, size.n, dp.p FROM dp JOIN bp USING (g) JOIN b ON b.item = bp.item AND b.k = dp.k JOIN size ON size.r = dp.r AND size.k = dp.k),
+        win AS (SELECT DISTINCT r, item, k, length, start FROM (SELECT *, unnest(range(greatest(0, p - length + 1), greatest(0, least(p, n - length)) + 1)) AS start FROM shared)),
+        inside AS (SELECT DISTINCT win.*, dp.g FROM win JOIN dp ON dp.r = win.r AND dp.k = win.k AND dp.p >= win.start AND dp.p < win.start + win.length),
+        score AS (SELECT i.r, i.item, i.start,
+                  round(sum(CASE WHEN bp.g IS NOT NULL THEN weight.x ELSE 0 END) / (any_value(whole.x) + ln(1 + (SELECT n FROM total)) * count(*) FILTER (bp.g IS NULL)), 9) AS similarity
+                  FROM inside i JOIN whole USING (item) LEFT JOIN bp ON bp.item = i.item AND bp.g = i.g LEFT JOIN weight ON weight.g = i.g GROUP BY i.r, i.item, i.start),
+        best AS (SELECT *, row_number() OVER (PARTITION BY r, item ORDER BY similarity DESC, start) AS c FROM score WHERE similarity >= 0.75)
+        SELECT d.doc_id, b.item_id, round(similarity, 6) AS similarity, CAST(start AS INTEGER) AS start_word FROM best JOIN d USING (r) JOIN b USING (item) WHERE c = 1
     """,
     "op5_vector_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -1,16 +1,15 @@
-"""Session helpers: the folder all executors share, and lineage cuts."""
+"""Session helpers: settings, lineage cuts, samples and columns' names."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..sources.storage import Scratch, cut
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -21,32 +20,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="geolattice-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def materialize(df: DataFrame, label: str, scratch: Scratch | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (in ``scratch``, if it is only needed there) and read it back: a lineage cut that survives lost executors."""
+    return scratch.cut(df, label) if scratch else cut(df, label)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as set it apart from the columns of ``df``; Spark does not tell case apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
 
 
 def bucket_bits(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import shared_dir
+from ..sources.storage import shared_folder
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 16 << 20
@@ -230,5 +230,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def fresh_folder(spark: SparkSession, label: str = "warc") -> str:
     """A new folder in the cluster's shared one."""
-    base = shared_dir(spark)
+    base = shared_folder(spark)
     return f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/{label}-{uuid.uuid4().hex}"

@@ -8,10 +8,10 @@ import pytest
 from samples import SCHEMA, prose
 from test_word_operators import components, cut, shingles
 
-from geolattice.llm import components as components_module
 from geolattice.llm import vectordedup
 from geolattice.llm.components import connected_components
 from geolattice.llm.vectordedup import near_duplicates
+from geolattice.operators import graph
 
 VECTORS = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -74,7 +74,7 @@ def test_vectors_without_rows_and_repeated_rows(spark):
 
 @pytest.mark.parametrize("finish", [50_000, 0, 30])
 def test_components_of_chains_and_stars(spark, monkeypatch, finish):
-    monkeypatch.setattr(components_module, "FINISH", finish)
+    monkeypatch.setattr(graph, "FINISH", finish)
     r = random.Random(4)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 200)] + [(300, 300), (None, 5), (7, 8), (8, 7)]
     r.shuffle(pairs)

@@ -1,12 +1,15 @@
 """Results near limits, where less than the whole job would show."""
 
+import math
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from samples import prose
 
-from geolattice.llm.decontaminate import contaminated
+from geolattice.llm.decontaminate import contaminated, keep_uncontaminated
 from geolattice.llm.queries import ORACLE_SQL
 from geolattice.llm.urlfilter import filter_urls
 
@@ -63,3 +66,62 @@ def test_decontamination_finds_copies_with_far_fingerprints(spark):
         texts.append((k, " ".join(w)))
     got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted((x["doc_id"], round(x["similarity"], 6)) for x in got.collect()) == [(k, 0.756098) for k, _ in texts]
+
+
+def brute_windows(texts, items, threshold=0.75):
+    """Best window of each text and item over all starts, by definition."""
+    items = {i: t.lower().split() for i, t in items.items() if t and t.split()}
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    own = {i: set(grams(w, min(5, len(w)))) for i, w in items.items()}
+    df = Counter(g for s in own.values() for g in s)
+    weight = lambda g: math.log1p(len(own) / df[g]) if g in df else math.log1p(len(own))
+    out = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            k, n = min(5, len(item)), len(item) - min(5, len(item)) + 1
+            have = grams((text or "").lower().split(), k)
+            for s in range(max(1, len(have) - n + 1)):
+                window = set(have[s : s + n])
+                if window & own[i]:
+                    x = round(sum(map(weight, window & own[i])) / (sum(map(weight, own[i])) + math.log1p(len(own)) * len(window - own[i])), 9)
+                    if x >= threshold and x > out.get((d, i), (0, 0))[0]:
+                        out[d, i] = (x, s)
+    return out
+
+
+def test_decontamination_equals_brute_force_over_all_starts(spark):
+    """Texts of few words with many partial repeats, short items, words put in, and texts shorter than an item."""
+    r = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(30)]
+    items = {k: " ".join(r.choices(vocabulary, k=r.choice((6, 9, 14, 20)))) for k in range(12)}
+    items |= {20: "too few words", 21: "w1", 22: "w2 w3 w4 w5", 23: items[3], 24: "", 25: None, 26: "one two three four five six"}
+    texts = {}
+    for k in range(250):
+        w = (items[r.randrange(12)]).split()
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = r.choices(vocabulary, k=r.randrange(3))
+            w = w or ["w0"]
+        texts[k] = " ".join([*r.choices(vocabulary, k=r.randrange(5)), *w, *r.choices(vocabulary, k=r.randrange(5)), *(w if k % 9 == 0 else [])])
+    texts |= {300: None, 301: "", 302: "too few words in a longer text TOO few words", 303: "w1", 304: "zzz two three four five six", 305: "one two three four five", 306: "w2 w3 w4 w5 " * 300}
+    got = contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    found = {(x["doc_id"], x["item_id"]): (x["similarity"], x["start_word"]) for x in got.collect()}
+    expected = brute_windows(texts, items)
+    assert found.keys() == expected.keys() and len(found) > 150
+    assert all(abs(found[k][0] - expected[k][0]) < 2e-9 for k in found)
+    assert sum(found[k][1] != expected[k][1] for k in found) <= 2  # similarities that differ in the last digit only
+
+
+def test_decontamination_finds_windows_that_stand_nowhere_aligned(spark):
+    """Words put into a copy between a shared head and tail: only a window that starts inside reaches the threshold."""
+    head, tail = prose(50, 6, 10**6), prose(51, 6, 10**6)
+    middles = {k: prose(100 + k, 38, 10**6).split(" ") for k in range(300)}
+    items = {k: f"{head} {' '.join(m)} {tail}" for k, m in middles.items()}
+    m = middles[7]
+    texts = {1: f"{head} {' '.join(m[:15])} four new words here {' '.join(m[15:])} {tail}", 2: items[9], 3: f"{head} {tail}"}
+    expected = brute_windows(texts, items)
+    assert expected[1, 7][1] == 2
+    docs = spark.createDataFrame([*texts.items(), (2, items[9])], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert sorted((x["doc_id"], x["item_id"], x["start_word"]) for x in got.collect()) == sorted((*k, s) for k, (_, s) in expected.items())  # equal rows are one
+    assert keep_uncontaminated(docs.withColumn("ROW_KEY", F.lit(1)), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect() == [(3, texts[3], 1)]
