@@ -15,15 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .boosting import Booster, Isotonic
-from .session import hashed_sample, schema_of
+from .session import hashed_sample, others, schema_of, unused
 from .wordhash import U, mix
 
-SAMPLE = 5000
+SAMPLE, SAMPLE_BYTES = 5000, 64 << 20
 LEXICON = 2000
 NEAR = 6
 # Second-person words of the corpora's languages, and the characters that often stand for letters.
@@ -96,14 +96,15 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> _Marks:
     letter, stand = _LETTER[data], _STAND[data]
     mixed, stretched = np.zeros(n, bool), np.zeros(n, bool)
     if n > 2:
-        mixed[1:-1] = letter[:-2] & stand[1:-1] & letter[2:]
-        stretched[2:] = letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2]) & (data[2:] < 128)
+        mixed[1:-1] = letter[:-2] & stand[1:-1] & letter[2:] & ~edge[1 : n - 1] & ~edge[2:n]  # not across texts
+        stretched[2:] = letter[2:] & (folded[2:] == folded[1:-1]) & (folded[1:-1] == folded[:-2]) & (data[2:] < 128) & ~edge[1 : n - 1] & ~edge[2:n]
     single = width == 1
     single &= letter[starts]
     spelled = np.zeros(len(starts), bool)
     if len(starts) > 3:
         close = np.zeros(len(starts), bool)
         close[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1)
+        close[first[:-1][first[:-1] < len(starts)]] = False
         spelled[3:] = close[3:] & close[2:-1] & close[1:-2]
     rates = np.stack(
         [
@@ -142,12 +143,13 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Everything that scoring needs; of bounded size."""
+    """Everything that scoring needs; of bounded size. One that has not seen both labels gives every text 0."""
 
     strong: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weak: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     booster: Booster = field(default_factory=Booster)
     calibration: Isotonic = field(default_factory=Isotonic)
+    learned: bool = False
 
     def features(self, marks: _Marks) -> np.ndarray:
         words = np.maximum(marks.counts, 1)
@@ -171,6 +173,8 @@ class Model:
         return np.column_stack([hits / words, hits, distinct, weak / words, near / words, near, marks.rates])
 
     def score(self, column: pa.Array) -> np.ndarray:
+        if not self.learned:
+            return np.zeros(len(column))
         parts = [self.booster.log_odds(self.features(m)) for m in _all_marks(column)]
         return np.clip(self.calibration.map(np.concatenate(parts)), 0, 1) if parts else np.zeros(0)
 
@@ -181,9 +185,7 @@ _PERSON = hash_words(SECOND_PERSON)
 def learn(texts: list[str], toxic: np.ndarray) -> Model:
     """Lexicon and trees by folds, so that neither the trees' features nor the calibration see a row's own label."""
     if not len(toxic) or toxic.min() == toxic.max():
-        model = Model()
-        model.booster.fit(np.zeros((len(toxic), 1)), toxic)
-        return model
+        return Model()
     marks = [m for i in range(len(texts)) for m in _all_marks(pa.array(texts[i : i + 1], pa.string()))]
     bags = [np.unique(m.hashes) for m in marks]
     fold = np.arange(len(texts)) % 3
@@ -213,7 +215,7 @@ def learn(texts: list[str], toxic: np.ndarray) -> Model:
     for k in range(3):
         own = fold == k
         scores[own] = _trees().fit(x[~own], toxic[~own]).log_odds(x[own])
-    return Model(*lexicon(np.ones(len(texts), bool)), _trees().fit(x, toxic), Isotonic().fit(scores, toxic.astype(float)))
+    return Model(*lexicon(np.ones(len(texts), bool)), _trees().fit(x, toxic), Isotonic().fit(scores, toxic.astype(float)), True)
 
 
 def _originals(bags: list[np.ndarray]) -> np.ndarray:
@@ -237,38 +239,49 @@ def _trees() -> Booster:
     return Booster(rounds=40, leaves=8, rate=0.2, least=20, ridge=5.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled rows whose crc32(doc_id) mod 5 is not 0, the first by hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from at most ``sample`` labelled rows, and ``sample_bytes`` of their texts, whose crc32(doc_id) mod 5 is not 0, the first by hash of the id.
 
-    Null labels, ids and texts are left out; of several labels of an id the largest counts.
+    Null labels, ids and texts are left out; of several labels of an id the largest
+    counts. Without rows of both labels there is nothing to tell apart: all scores are 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = hashed_sample(known, F.col("doc_id"), sample).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).collect()  # at most ``sample`` pairs
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = found.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", F.xxhash64("text")).limit(sample).collect()
+    order = (F.xxhash64("doc_id", F.lit(4)), F.col("doc_id"), F.xxhash64("text"))
+    first = found.withColumn("size", F.octet_length("text")).where(F.col("size") <= sample_bytes).orderBy(*order).limit(sample)
+    got = first.withColumn("size", F.sum("size").over(Window.orderBy(*order))).where(F.col("size") <= sample_bytes).collect()  # bounded in rows and bytes
     return learn([r["text"] for r in got], np.array([r["toxic"] > 0 for r in got], np.int64))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with ``score`` (0 to 1; higher means toxic is likelier) and ``predicted`` (1 from 0.5 on), of whole texts.
 
-    A null text counts as empty and gets the score of no words; other columns
-    are passed through, columns of these two names replaced.
+    A null text counts as empty and gets the score of no words; a model that
+    learned nothing gives all 0. Rows are judged one by one, repeated ones alike.
+    Other columns are passed through, columns of these two names, in any case,
+    replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees, of bounded size
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    names = others(docs, score, predicted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            score = own.score(batch.column(batch.schema.get_field_index("text")))
+            values = own.score(batch.column(batch.schema.get_field_index("text")))
             out = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32))], [*names, score, predicted])
 
-    return docs.mapInArrow(run, schema_of(docs, names, "score double, predicted int"))
+    return docs.mapInArrow(run, schema_of(docs, names, f"`{score}` double, `{predicted}` int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier predicts toxic."""
-    return score_documents(docs, fit(docs, labels)).where("predicted = 0").drop("score", "predicted")
+    """``docs`` without the documents that the classifier predicts toxic.
+
+    All columns pass, whatever their names. Null and empty texts are judged as texts
+    without words; repeated rows go or stay together. Without labels of both kinds
+    nothing can be told, and all documents stay.
+    """
+    score, predicted = unused(docs, "toxic_score"), unused(docs, "toxic_predicted")
+    return score_documents(docs, fit(docs, labels), score, predicted).where(F.col(predicted) == 0).select(docs.columns)
