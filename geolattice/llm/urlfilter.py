@@ -89,10 +89,11 @@ def _entropy(text: str) -> float:
 
 @dataclass
 class Model:
-    """Share of blocked URLs among all labelled ones, and the trees."""
+    """Share of blocked URLs among all labelled ones, and the trees. One that has not seen both verdicts gives every URL 0."""
 
     share: float = 0.0
     booster: Booster = field(default_factory=Booster)
+    learned: bool = False
 
     def features(self, url: str | None, host: str, path: str, counts: Sequence[int] | None, own: int | None = None) -> list[float]:
         """``counts``: of the host's suffixes, as in ``host_counts``; none for a host never seen. ``own``: the row's label, left out of them while learning."""
@@ -132,6 +133,7 @@ def learn(rows: Sequence[tuple[str, str, str, int, Sequence[int] | None]], share
     model = Model(share)
     # Half of the rows go without statistics, so that the trees can judge hosts never seen.
     x = np.array([model.features(u, h, p, c if k % 2 else None, label) for k, (u, h, p, label, c) in enumerate(rows)]) if rows else np.zeros((0, 1))
+    model.learned = len(y) > 0 and y.min() < y.max()
     model.booster = Booster(rounds=40, leaves=8, rate=0.2, least=10).fit(x, y)
     return model
 
@@ -154,8 +156,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | N
     """``pages`` with host, path, rule, verdict and ``score`` (0 to 1, higher: block; null where a rule decides).
 
     A null, empty or malformed url has an empty host and path; no rule fits it
-    unless its host and path are empty, and the trees judge it. Columns of these
-    names are replaced, all others pass. Rows are judged one by one.
+    unless its host and path are empty, and the trees judge it. If the labelled
+    URLs are not of both verdicts, there is nothing to learn: what no rule decides
+    is allowed, with score 0. Columns of these names, in any case, are replaced,
+    all others pass. Rows are judged one by one, repeated ones alike.
     """
     names = ("host", "path", "rule", "verdict", "score")
     host, path = host_and_path(F.col("url"))
@@ -176,7 +180,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | N
         for url, host, path, rule, counts in batches:
             out = np.full(len(url), np.nan)
             free = np.flatnonzero(rule.isna())
-            if len(free):
+            out[free] = 0.0
+            if len(free) and own.learned:
                 x = np.array([own.features(url.iloc[i], host.iloc[i], path.iloc[i], counts.iloc[i]) for i in free])
                 out[free] = 1 / (1 + np.exp(-own.booster.log_odds(x)))
             yield pd.Series(out)
