@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import hashed_sample, schema_of
+from .session import others, schema_of
 
 BITS = 14
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES, MOST_LANGUAGES = 4000, 64 << 20, 256
 EPOCHS = 3
 HELD_OUT = 2
 PIECE = 1 << 20
@@ -138,8 +138,19 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null and lang is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from ``learnable(docs)``: frequencies from all of it, weights from ``sample`` rows at most, chosen by hash of doc_id."""
+def shares(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to take of each language: half of the sample in equal parts, as far as there are rows, the rest by size."""
+    floor = {x: min(n, max(1, sample // (2 * len(sizes)))) for x, n in sizes.items()}
+    spare, total = sample - sum(floor.values()), sum(sizes.values())
+    return {x: min(n, floor[x] + spare * n // total) for x, n in sizes.items()}
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from ``learnable(docs)``: frequencies from all of it, weights from ``sample`` rows and ``sample_bytes`` of their counts at most.
+
+    Rows are chosen by hash of doc_id within each language, so that rare ones are
+    learned too; of more than MOST_LANGUAGES values of lang the most common are.
+    """
     rows = learnable(docs)
     size = 1 << BITS
 
@@ -171,8 +182,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             where = [np.flatnonzero(c) for c in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.astype(np.int32).tobytes() for w in where], pa.binary()), pa.array([c[w].astype(np.int32).tobytes() for c, w in zip(got, where)], pa.binary())], ["at", "lang", "buckets", "counts"])
 
-    chosen = hashed_sample(rows, F.col("doc_id"), sample, n).select(F.xxhash64("doc_id", F.lit(2)).alias("at"), "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary")
-    got = chosen.orderBy("at", "lang", "buckets", "counts").limit(sample).collect()  # ``sample`` rows of at most 2**BITS counts
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()  # a bounded list
+    wanted = shares({r["lang"]: r["n"] for r in sizes}, sample)
+    of = {r["lang"]: min(1.0, (wanted[r["lang"]] + 4 * wanted[r["lang"]] ** 0.5 + 4) / r["n"]) for r in sizes}
+    table = docs.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int(of[x] * (1 << 63))), wanted[x]) for x in wanted], "lang string, below long, wanted int")
+    # Tasks keep little more than is wanted, by the hash's size; then the first of each language count.
+    own = rows.select(F.xxhash64("doc_id", F.lit(2)).alias("at"), "lang", "text").join(F.broadcast(table), "lang").where(F.shiftrightunsigned("at", 1) <= F.col("below"))  # MOST_LANGUAGES rows
+    chosen = own.select("at", "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary").join(F.broadcast(table.select("lang", "wanted")), "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "buckets", "counts"))
+    chosen = chosen.withColumn("place", place).where("place <= wanted").orderBy("at", "lang", "buckets", "counts").limit(sample)
+    held = F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(Window.orderBy("at", "lang", "buckets", "counts"))
+    got = chosen.withColumn("held", held).where(F.col("held") <= sample_bytes).collect()  # bounded in rows and bytes
     return learn(idf, [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got], [r["lang"] for r in got])
 
 
@@ -180,10 +200,11 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the language's calibrated probability) of each whole text.
 
     ``und`` and 0 if the text is null, empty or has no letter, or if no labelled
-    row could be learned from. Other columns pass; of these names are replaced.
+    row could be learned from. Rows are judged one by one, repeated ones alike.
+    Other columns pass; those of these names, in any case, are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights a language
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = others(docs, "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
