@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page id; each range is written by one task as files
-that roll over by compressed size. Headers, record ids and digests are made from
-the record alone, so that a task that runs again writes the same bytes. A file
+Records are range-sorted by page id; each range (its ends follow from exact counts
+of ids, not from a sample) is written by one task as files that roll over by
+compressed size. Headers, record ids and digests are made from the records alone,
+so that a task or a job that runs again writes the same bytes. A file
 gets its name only when it is whole, and the manifest, written last, names the
 files that count. Of equal payloads from MIN_REVISIT bytes on, the one with the
 largest page id is kept as a response and the others become revisits to it.
@@ -19,7 +20,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import shared_folder
@@ -37,12 +38,12 @@ def _digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page_id}/{digest}')}>"
+def _record_id(page_id: int | None, digest: str, more: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE_OF_IDS, f'{page_id}/{digest}{more}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    """One uncompressed record; a revisit (``refers_to`` is given) has no payload but states its size and digest."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, more: str = "") -> bytes:
+    """One uncompressed record; a revisit (``refers_to`` is given) has no payload but states its size and digest. ``more`` tells records of equal id and payload apart."""
     digest = _digest(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if refers_to is None:
@@ -50,7 +51,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", _record_id(page_id, digest)),
+        ("WARC-Record-ID", _record_id(page_id, digest, more)),
         ("WARC-Date", date),
         ("WARC-Target-URI", target),
         ("Content-Type", "application/http; msgtype=response"),
@@ -106,16 +107,61 @@ class _Roll:
 
 
 _MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
+_SPLIT = 256
+
+
+def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
+    """First ids of all shards but the first, so that shards hold about equally many of the ``id``s; the same for equal ids in any order.
+
+    Ranges with more than a quarter of a shard are divided into 256 and counted
+    again, until none is left or a single id is; at most 1024 counts a shard come
+    to the driver each time.
+    """
+    low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if not total:
+        return []
+    most = max(1, total // (4 * shards))
+    ranges = [(low, high, total)]
+    while True:
+        large = [r for r in ranges if r[2] > most and r[1] > r[0]]
+        if not large:
+            break
+        starts, steps = [a for a, _, _ in large], [max(1, -(-(b - a + 1) // _SPLIT)) for a, b, _ in large]
+        at = _place(F.col("id"), starts)
+        own = ids.where(F.col("id").isNotNull()).withColumn("at", at).where("at >= 0")
+        first = F.get(F.lit(starts), F.col("at"))
+        own = own.where(F.col("id") <= F.get(F.lit([b for _, b, _ in large]), F.col("at")))
+        # Differences may pass the largest long, so they are taken as decimals.
+        part = F.floor((F.col("id").cast("decimal(20,0)") - first.cast("decimal(20,0)")) / F.get(F.lit(steps), F.col("at")).cast("decimal(20,0)")).cast("int")
+        counts = own.select("at", part.alias("part")).groupBy("at", "part").agg(F.count("*").alias("n")).collect()
+        ranges = [r for r in ranges if r not in large] + [(starts[r["at"]] + r["part"] * steps[r["at"]], min(large[r["at"]][1], starts[r["at"]] + (r["part"] + 1) * steps[r["at"]] - 1), r["n"]) for r in counts]
+    bounds, before = [], 0
+    for a, _, n in sorted(ranges):
+        if before * shards >= total * (len(bounds) + 1):
+            bounds.append(a)
+        before += n
+    return bounds[: shards - 1]
+
+
+def _place(value: Column, sorted_: list[int]) -> Column:
+    """Index of the last of ``sorted_`` that is not above ``value``, by bisection; -1 if none is."""
+    if not sorted_:
+        return F.lit(-1)
+    steps = [1 << k for k in reversed(range(len(sorted_).bit_length()))]
+    own = F.lit(sorted_)
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(sorted_)) & (F.get(own, at + step - 1) <= value), at + step).otherwise(at))
+    return found - 1
 
 
 def write_archives(pages: DataFrame, folder: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, date: str = "1970-01-01T00:00:00Z", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to ``folder``, a URI that all executors reach; returns the manifest.
 
     A null html is an empty payload, a null url an empty target. Rows without
-    page_id are responses and never referred to. Of repeated rows with the
-    largest page_id of their payload one is the response and the others revisit
-    it. Other columns are ignored. The manifest is a Parquet table in
-    ``folder``/manifest, written after all files are in place.
+    page_id are responses and never referred to; they are dealt to the shards by
+    hash. Of repeated rows with the largest page_id of their payload one is the
+    response and the others revisit it. Other columns are ignored. The manifest
+    is a Parquet table in ``folder``/manifest, written after all files are in
+    place; files of attempts that failed go then.
     """
     spark = pages.sparkSession
     datetime.fromisoformat(date.replace("Z", "+00:00")).astimezone(timezone.utc)
@@ -131,34 +177,39 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
     both = own.select("page_id", F.lit(1).alias("kind"), "url", "html", none.alias("sha"), F.lit(None).cast("long").alias("kept"))
     both = both.unionByName(orders.select("page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha", "kept"))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    bounds = shard_bounds(own.select(F.col("page_id").alias("id")), shards)
+    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(shards))).otherwise(_place(F.col("page_id"), bounds) + 1).cast("int")
+    sorted_ = both.repartitionById(shards, shard).sortWithinPartitions("page_id", "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         roll = _Roll(folder, TaskContext.get().partitionId(), roll_bytes)
         done: list[dict] = []
-        current, known, written = object(), {}, set()
+        current, known, seen = object(), {}, {}
         for batch in batches:
             for page_id, kind, url, html, sha, kept in zip(*(c.to_pylist() for c in batch.columns)):
-                if page_id != current:
-                    current, known, written = page_id, {}, set()
+                one = page_id if page_id is not None else (url, html)
+                if one != current:
+                    current, known, seen = one, {}, {}
                 if kind == 0:
                     known[sha] = kept
                     continue
                 payload = html.encode("utf-8", "surrogatepass")
-                refers_to = None
-                if known:
-                    own_sha = hashlib.sha1(payload).hexdigest()
-                    refers_to = known.get(own_sha)
-                    if refers_to == page_id and own_sha not in written:
-                        refers_to = None
-                        written.add(own_sha)
-                done.append(roll.add(_zipped(record(page_id, url, payload, refers_to, date)), page_id))
+                own_sha = hashlib.sha1(payload).hexdigest()
+                again = seen[own_sha] = seen.get(own_sha, -1) + 1
+                refers_to = known.get(own_sha)
+                if refers_to == page_id and not again:
+                    refers_to = None
+                more = ("" if page_id is not None else f"/{url}") + (f"/{again}" if again else "")
+                done.append(roll.add(_zipped(record(page_id, url, payload, refers_to, date, more)), page_id))
         done.append(roll.close())
         yield pa.RecordBatch.from_pylist([d for d in done if d], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
     sorted_.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    for left in fs.get_file_info(pafs.FileSelector(path)):
+        if left.base_name.startswith(".shard-"):
+            fs.delete_file(left.path)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
