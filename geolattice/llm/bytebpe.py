@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .session import schema_of
+from .session import others, schema_of
 
 CACHE, SEAMS = 500_000, 600_000
 STATES, STATE_LENGTHS = 60_000, (8, 5)
@@ -203,8 +203,6 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self._recent) > CACHE // 2:
-            self._recent.age()
         return b"".join(map(self._recent.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
@@ -233,6 +231,8 @@ class _Pieces(dict):
         ids = [whole] if whole is not None else self.vocabulary.encode(data)
         out = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
+            if len(self) > CACHE // 2:
+                self.age()
             self[piece] = out
         return out
 
@@ -254,13 +254,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, column: str
     text counts as empty and has no tokens. With ``digests``: n_tokens,
     ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256
     (of the bytes that decoding gives). Rows are handled one by one, whatever the
-    other columns hold; columns of the same names are replaced.
+    other columns hold, repeated ones alike; columns of the same names, in any
+    case, are replaced.
     """
     data = Path(vocabulary).read_bytes()
     name = hashlib.sha256(data).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(data)  # a vocabulary file, not data
     new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["ids array<int>"]
-    names = [c for c in docs.columns if c not in {x.split()[0] for x in new}]
+    names = others(docs, *(x.split()[0] for x in new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, pattern, shared.value)
@@ -288,7 +289,7 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", output:
     data = Path(vocabulary).read_bytes()
     name = hashlib.sha256(data).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    names = [c for c in docs.columns if c != output]
+    names = others(docs, output)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(name, ".", shared.value)
