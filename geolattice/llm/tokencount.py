@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .session import schema_of
+from .session import others, schema_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -59,9 +59,11 @@ class Counter:
             self.automaton.make_automaton()
         self.single = {p for p, _ in vocabulary.pieces if len(p) == 1}
         self.unknown = min((s for _, s in vocabulary.pieces), default=0.0) - UNKNOWN_PENALTY
-        # No token crosses from other characters to a space mark: words can be solved one by one.
+        # Where no token crosses from other characters to a space mark, words can be solved one by one. Sums of
+        # other than whole numbers would round differently, so that ties could be decided otherwise: whole texts then.
+        exact = all(float(s).is_integer() for _, s in vocabulary.pieces)
         inner = regex.compile(f"[^{SPACE}]{SPACE}")
-        self.words = None if any(inner.search(p) for p, _ in vocabulary.pieces) else regex.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+").findall
+        self.words = None if not exact or any(inner.search(p) for p, _ in vocabulary.pieces) else regex.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+").findall
         self._recent: dict[str, tuple[float, int]] = {}
 
     def solve(self, text: str) -> tuple[float, int]:
@@ -94,13 +96,13 @@ class Counter:
             score, number = self.solve(text)
             return number, score
         recent, total, number = self._recent, 0.0, 0
-        if len(recent) > CACHE:
-            recent.clear()
         for word in self.words(text):
             got = recent.get(word)
             if got is None:
                 got = self.solve(word)
                 if len(word) <= 64:
+                    if len(recent) >= CACHE:
+                        recent.clear()
                     recent[word] = got
             total += got[0]
             number += got[1]
@@ -119,9 +121,13 @@ def counter(vocabulary: UnigramVocabulary) -> Counter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: UnigramVocabulary, column: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``token_score`` of each whole text (0 and 0 if null or empty). Other columns pass; of these names are replaced."""
+    """``docs`` with ``n_tokens`` and ``token_score`` of each whole text (0 and 0 if null or empty; a blank text is counted like any other).
+
+    Rows are counted one by one, repeated ones alike. Other columns pass; those of
+    these names, in any case, are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary file, not data
-    names = [c for c in docs.columns if c not in ("n_tokens", "token_score")]
+    names = others(docs, "n_tokens", "token_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(shared.value)
