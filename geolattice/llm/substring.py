@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import bucket_bits, materialize, schema_of
+from .session import bucket_bits, materialize, others, schema_of, unused
 from .wordhash import U, Words, bucket_rows, chunks, mix, slices
 
 WINDOW, PREFIX = 35, 8
@@ -219,15 +219,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     Other columns go through unchanged (those of the new names are replaced), and
     ``doc_id`` may be null or repeated.
     """
-    keyed = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(keyed.select(_ROW, "text"), window, prefix, filter_bits), "spans")
-    spans = spans.groupBy(_ROW).agg(F.collect_list("spans").alias(_SPANS))
-    joined = keyed.join(spans.hint("shuffle_hash"), _ROW, "left").drop(_ROW)
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    key, held = unused(docs, _ROW), unused(docs, _SPANS)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    spans = materialize(repeated_spans(keyed.select(F.col(key).alias(_ROW), "text"), window, prefix, filter_bits), "spans")
+    spans = spans.groupBy(F.col(_ROW).alias(key)).agg(F.collect_list("spans").alias(held))
+    joined = keyed.join(spans.hint("shuffle_hash"), key, "left").drop(key)
+    names = others(docs, "n_words", "n_removed", "kept")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at_text, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index(_SPANS)).to_pylist()
+            at_text, spans = batch.schema.get_field_index("text"), batch.column(batch.schema.get_field_index(held)).to_pylist()
             kept, n_words, n_removed = [], [], []
             for at, words in chunks(batch.column(at_text), False):
                 total = len(words.hashes)

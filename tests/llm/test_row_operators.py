@@ -1,9 +1,14 @@
 """Classifiers, tokenizers, archives and URL rules."""
 
+import functools
 import gzip
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter as Counted
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +20,10 @@ from samples import prose
 from geolattice.llm import langid, toxicity
 from geolattice.llm.boosting import Booster, Isotonic
 from geolattice.llm.bytebpe import Codec, PrefixEncoder, Vocabulary, decode_documents, encode_documents, load_ranks, merge_all
+from geolattice.llm.substring import remove_repeats
 from geolattice.llm.tokencount import SPACE, Counter, UnigramVocabulary, count_tokens, read_vocabulary
-from geolattice.llm.urlfilter import Rule, filter_urls
-from geolattice.llm.warc import fresh_folder, parse_records, read_archives, record, write_archives
+from geolattice.llm.urlfilter import Model, Rule, filter_urls
+from geolattice.llm.warc import fresh_folder, parse_records, read_archives, record, shard_bounds, write_archives
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = load_ranks(open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
@@ -88,7 +94,86 @@ def test_toxicity_by_held_out_rows(spark, docs, empty):
     got = toxicity.score_documents(docs, model)
     assert got.count() == docs.count() and set(docs.columns) <= set(got.columns)
     assert toxicity.score_documents(empty, toxicity.fit(empty, marks.limit(0))).count() == 0
-    assert toxicity.keep_clean(docs, marks).columns == [c for c in docs.columns if c != "score"]
+    assert toxicity.keep_clean(docs, marks).columns == docs.columns
+
+
+def test_toxicity_without_labels_of_both_kinds_keeps_all(spark, docs):
+    for rows in ([], [(k, 1) for k in range(60)], [(k, 0) for k in range(60)], [(1, None), (None, 1)]):
+        marks = spark.createDataFrame(rows, "doc_id long, toxic int")
+        out = toxicity.score_documents(docs, toxicity.fit(docs, marks))
+        assert {(r["score"], r["predicted"]) for r in out.select("score", "predicted").distinct().collect()} == {(0.0, 0)}
+        assert toxicity.keep_clean(docs, marks).count() == docs.count()
+
+
+def test_no_column_of_the_caller_is_lost(spark):
+    """Names that differ from those of results in case only, and those that operators use themselves."""
+    rows = [(k, prose(k, 60), 7, "own", "mine") for k in range(8)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, Score int, Predicted string, _geolattice_row string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(table, marks)
+    assert kept.columns == table.columns and set(kept.collect()) <= set(table.collect())
+    out = remove_repeats(table)
+    assert out.columns[:5] == table.columns and {r["_geolattice_row"] for r in out.collect()} == {"mine"}
+    scored = toxicity.score_documents(table, toxicity.fit(table, marks))
+    assert scored.columns == ["doc_id", "text", "_geolattice_row", "score", "predicted"]
+    assert langid.predict_languages(table, langid.Model()).columns == ["doc_id", "text", "Predicted", "_geolattice_row", "lang_pred", "score"]
+
+
+def plain_features(text, strong, weak):
+    """The features of one text of ASCII words, by definition."""
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9@$*]+", text)]
+    fold = lambda w: w.lower().translate(str.maketrans(toxicity.LOOKALIKES))
+    letters, n, size = max(1, sum(c.isalpha() for c in text)), max(1, len(words)), max(1, len(text))
+    hit = [fold(w) in strong for w, _, _ in words]
+    person = [k for k, (w, _, _) in enumerate(words) if fold(w) in {fold(p) for p in toxicity.SECOND_PERSON}]
+    near = sum(h and any(abs(k - p) <= toxicity.NEAR for p in person) for k, h in enumerate(hit))
+    folded = fold(text)
+    single = [len(w) == 1 and w.isalpha() for w, _, _ in words]
+    close = [k > 0 and single[k] and single[k - 1] and words[k][1] - words[k - 1][2] == 1 for k in range(len(words))]
+    stands = "0123456789@$*"
+    return [
+        sum(hit) / n, sum(hit), len({fold(w) for (w, _, _), h in zip(words, hit) if h}), sum(fold(w) in weak for w, _, _ in words) / n, near / n, near,
+        sum(c.isupper() for c in text) / letters,
+        sum(len(w) >= 3 and sum(c.isupper() for c in w) >= len(w) - (len(w) > 3) for w, _, _ in words) / n,
+        text.count("!") / size, text.count("?") / size,
+        sum(not (c.isalpha() or c in stands or c in " \t\n\v\f\r") for c in text) / size,
+        sum(text[k - 1].isalpha() and text[k] in stands and text[k + 1].isalpha() for k in range(1, len(text) - 1)) / n,
+        sum(text[k].isalpha() and folded[k] == folded[k - 1] == folded[k - 2] for k in range(2, len(text))) / n,
+        sum(close[k] and close[k - 1] and close[k - 2] for k in range(3, len(words))) / n,
+        sum(c.isdigit() for c in text) / size, np.log1p(n),
+    ]
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(list("abIDOTyou  .!?$014\n"), max_size=60), min_size=1, max_size=4))
+def test_toxicity_features_equal_plain_ones(texts):
+    strong, weak = ["idiot", "tot", "dodo"], ["you", "a", "bot"]
+    model = toxicity.Model(toxicity.hash_words(strong), toxicity.hash_words(weak))
+    fold = lambda w: w.lower().translate(str.maketrans(toxicity.LOOKALIKES))
+    got = np.concatenate([model.features(m) for m in toxicity._all_marks(pa.array(texts))])
+    assert np.allclose(got, [plain_features(t, set(map(fold, strong)), set(map(fold, weak))) for t in texts])
+
+
+def test_language_of_few_rows_is_learned():
+    assert langid.shares({"en": 10**6, "de": 1000, "xx": 3}, 400) == {"en": 66 + 264, "de": 66, "xx": 3}
+    assert langid.shares({"en": 5}, 400) == {"en": 5}
+
+
+def test_language_vector_equals_plain_counts():
+    text = "Ab a😀é"
+    counts = langid.ngram_counts(text)
+    padded = [ord(c) for c in " " + text.lower() + " "]
+    hashed = lambda *x: (functools.reduce(lambda h, y: y[0] if h is None else (h * y[1] + y[0]) % 2**32, zip(x, (0, 0x85EBCA6B, 0xC2B2AE35)), None) * 0x9E3779B1 % 2**32) >> (32 - langid.BITS)
+    plain = Counted(hashed(*padded[k : k + n]) for n in (1, 2, 3) for k in range(len(padded) - n + 1))
+    assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == plain
+    idf = np.linspace(1, 2, 1 << langid.BITS)
+    model = langid.Model(["de", "en"], idf, np.random.default_rng(1).standard_normal((1 << langid.BITS, 2)), np.array([0.1, -0.1]), 0.7)
+    x = {k: math.log1p(n) * idf[k] for k, n in plain.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    z = [(sum(v / length * model.weights[k][c] for k, v in x.items()) + model.bias[c]) / 0.7 for c in range(2)]
+    want = math.exp(max(z)) / sum(map(math.exp, z))
+    lang, score = model.predict(text)
+    assert lang == ["de", "en"][int(z[1] > z[0])] and abs(score - want) < 1e-9
 
 
 def test_lookalikes_and_case_share_a_hash():
@@ -212,6 +297,38 @@ def test_archives(spark, tmp_path):
     assert read_archives(spark, nothing).count() == 0
 
 
+def test_archives_of_many_rows_are_the_same_each_time(spark):
+    """More rows than a sampled range sort would take as they are, dealt anew each time."""
+    pages = spark.range(60_000).selectExpr("id * id - 1000 AS page_id", "'http://a/' || id AS url", "repeat(string(id % 50), 20) AS html")
+    made = []
+    for parts in (3, 7):
+        folder = fresh_folder(spark)
+        made.append(sorted(map(tuple, write_archives(pages.repartition(parts), folder, shards=4).collect())))
+    assert made[0] == made[1] and max(r[1] for r in made[0]) < 20_000
+
+
+def test_record_ids_are_unique_for_repeated_rows(spark):
+    long = "<p>" + "x" * 1500
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (2, "u", long), (2, "u", long), (None, "u", long), (None, "u", long), (None, "v", long), (3, "u", "s"), (3, "u", "s"), (None, None, None), (None, None, None)]
+    folder = fresh_folder(spark)
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, shards=2)
+    found = []
+    for name in Path(folder.removeprefix("file:")).glob("*.warc.gz"):
+        found += [h for h, _ in parse_records(iter([name.read_bytes()]))]
+    ids = {h["WARC-Record-ID"]: h for h in found}
+    assert len(ids) == len(found) == len(rows)
+    assert all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["X-Page-ID"] == "2" for h in found if h["WARC-Type"] == "revisit")
+
+
+@pytest.mark.parametrize("ids", [[0], [5] * 100, list(range(1000)), [-(2**63), 2**63 - 1, *range(100)], [k**9 for k in range(128)], [], [None, 3]])
+def test_shard_bounds_are_even(spark, ids):
+    bounds = shard_bounds(spark.createDataFrame([(i,) for i in ids], "id long"), 8)
+    assert bounds == sorted(set(bounds)) and len(bounds) < 8
+    known = [i for i in ids if i is not None]
+    counts = np.bincount(np.searchsorted(bounds, known, "right")) if known else np.zeros(1)
+    assert counts.max() <= max(len(known) / 8 * 1.3 + 1, max(Counted(known).values(), default=0))
+
+
 # --- urls ------------------------------------------------------------------------------------------------------------------------
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
@@ -242,3 +359,18 @@ def test_url_trees_learn_from_labels(spark):
     labelled = spark.createDataFrame(rows, "url string, verdict string")
     fresh = spark.createDataFrame([(1, "http://win-casino99.test/5000?a=1"), (2, "http://news99.test/5001?a=1")], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in filter_urls(fresh, [], labelled).collect()} == {1: "block", 2: "allow"}
+
+
+@pytest.mark.parametrize("verdict", [None, "block", "allow"])
+def test_urls_without_labels_of_both_kinds_are_allowed(spark, verdict):
+    pages = spark.createDataFrame([(k, f"http://h{k}.net/{k}", "x") for k in range(30)], "page_id long, url string, VERDICT string")
+    labelled = spark.createDataFrame([(f"http://h{k}.net/", verdict) for k in range(30) if verdict], "url string, verdict string")
+    got = filter_urls(pages, [], labelled).collect() if verdict else filter_urls(pages, [Rule("block", "org", "/")]).collect()
+    assert {(r["verdict"], r["score"]) for r in got} == {("allow", 0.0)} and len(got) == 30
+
+
+def test_url_features_equal_plain_ones():
+    url = "https://a-b.c9.example.org/x/yy//zzz/?q=1&&r=22#f"
+    entropy = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counted(t).values())
+    got = Model(share=0.25).features(url, "a-b.c9.example.org", "/x/yy//zzz/", [10, 3, 4, 4, 0, 0], own=1)
+    assert np.allclose(got, [len(url), 18, 11, 3, 3, 1, 4 / len(url), 1 / 18, entropy(url), entropy("a-b.c9.example.org"), 2, 9, 1, 1, 3, (2 + 1) / 13, (3 + 1) / 7, 1 / 4])
