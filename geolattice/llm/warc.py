@@ -123,7 +123,7 @@ def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
     most = max(1, total // (4 * shards))
     ranges = [(low, high, total)]
     while True:
-        large = [r for r in ranges if r[2] > most and r[1] > r[0]]
+        large = sorted(r for r in ranges if r[2] > most and r[1] > r[0])
         if not large:
             break
         starts, steps = [a for a, _, _ in large], [max(1, -(-(b - a + 1) // _SPLIT)) for a, b, _ in large]

@@ -304,7 +304,7 @@ def test_archives_of_many_rows_are_the_same_each_time(spark):
     for parts in (3, 7):
         folder = fresh_folder(spark)
         made.append(sorted(map(tuple, write_archives(pages.repartition(parts), folder, shards=4).collect())))
-    assert made[0] == made[1] and max(r[1] for r in made[0]) < 20_000
+    assert made[0] == made[1] and max(r[1] for r in made[0]) < 18_000
 
 
 def test_record_ids_are_unique_for_repeated_rows(spark):
@@ -320,7 +320,7 @@ def test_record_ids_are_unique_for_repeated_rows(spark):
     assert all(ids[h["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[h["WARC-Refers-To"]]["X-Page-ID"] == "2" for h in found if h["WARC-Type"] == "revisit")
 
 
-@pytest.mark.parametrize("ids", [[0], [5] * 100, list(range(1000)), [-(2**63), 2**63 - 1, *range(100)], [k**9 for k in range(128)], [], [None, 3]])
+@pytest.mark.parametrize("ids", [[0], [5] * 100, list(range(1000)), list(range(20_000)), [-(2**63), 2**63 - 1, *range(100)], [k**9 for k in range(128)], [], [None, 3]])
 def test_shard_bounds_are_even(spark, ids):
     bounds = shard_bounds(spark.createDataFrame([(i,) for i in ids], "id long"), 8)
     assert bounds == sorted(set(bounds)) and len(bounds) < 8
