@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +62,30 @@ class Words:
 
     @property
     def docs(self) -> int:
-        return len(self.offsets) - 1
+        return len(self.first) - 1
+
+    @cached_property
+    def total(self) -> np.ndarray:
+        """Running sums of the words' hashes by powers of the base."""
+        n = len(self.hashes)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hashes * _powers(_WORD_BASE, n + 1)[0][:n], out=total[1:])
+        return total
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k - 1 of a document are meaningless."""
-        h = self.hashes
-        n = len(h)
-        if n < k:
-            return np.zeros(n, np.uint64)
-        up, down = _powers(_WORD_BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * up[:n], out=total[1:])
+        n = len(self.hashes)
         out = np.zeros(n, np.uint64)
-        out[: n - k + 1] = mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1] + U(k))
+        if n >= k:
+            down = _powers(_WORD_BASE, n + 1)[1]
+            out[: n - k + 1] = mix((self.total[k:] - self.total[: n - k + 1]) * down[: n - k + 1] + U(k))
         return out
 
+    def spans(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Hash of ``length`` words from each ``start`` on, as ``grams`` has it."""
+        down = _powers(_WORD_BASE, len(self.hashes) + 1)[1]
+        return mix((self.total[start + length] - self.total[start]) * down[start] + np.asarray(length, np.uint64))
+
     def starts_of(self, k: int) -> np.ndarray:
         """Marks each word from which k words of its document follow."""
         ok = np.zeros(len(self.hashes) + 1, np.int64)

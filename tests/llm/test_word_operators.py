@@ -1,12 +1,14 @@
 """Substring dedup, Jaccard join and decontamination against brute force."""
 
+import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from samples import prose
 
-from geolattice.llm import jaccard
+from geolattice.llm import jaccard, substring
 from geolattice.llm.decontaminate import contaminated, keep_uncontaminated
 from geolattice.llm.jaccard import keep_one_of_each, similar_documents
 from geolattice.llm.substring import remove_repeats
@@ -57,13 +59,37 @@ def test_substring_equals_brute_force(docs):
     assert {r["row_key"] for r in out.select("row_key").distinct().collect()} == {"mine", "k", None}
 
 
-def test_substring_small_window_and_full_filter(docs):
+@pytest.mark.parametrize("filter_bits, group_words", [(9, 1 << 16), (None, 40), (9, 1)])
+def test_substring_small_window_full_filter_and_long_prefixes(docs, filter_bits, group_words):
     rows = docs.where("doc_id < 70").collect()
     expected = Counter(zip((r["doc_id"] for r in rows), cut([r["text"] for r in rows], 12)))
-    out = remove_repeats(docs.where("doc_id < 70").select("doc_id", "text"), window=12, prefix=3, filter_bits=9)
+    out = remove_repeats(docs.where("doc_id < 70").select("doc_id", "text"), window=12, prefix=3, filter_bits=filter_bits, group_words=group_words)
     assert Counter((r["doc_id"], (r["n_words"], r["n_removed"], r["kept"])) for r in out.collect()) == expected
 
 
+@pytest.mark.parametrize("group_words", [1 << 16, 300, 20])
+def test_substring_of_few_different_words(spark, group_words):
+    """Words from a small vocabulary, so that prefixes of all lengths repeat within and across texts and anchors tie."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abc", weights=(8, 1, 1), k=r.randrange(60))) for _ in range(150)] + ["a " * 100, "a b " * 40, "c"]
+    expected = Counter(zip(range(len(texts)), cut(texts, 9)))
+    out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), window=9, prefix=2, group_words=group_words)
+    assert Counter((x["doc_id"], (x["n_words"], x["n_removed"], x["kept"])) for x in out.collect()) == expected
+
+
+def test_groups_of_a_common_passage_are_divided(spark):
+    """One passage in every text among other words: no group keeps more than it may, and the result is that of whole groups."""
+    passage = prose(1, 60)
+    texts = [f"{prose(k, 20)} {passage} {prose(1000 + k, 20)}" for k in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    for group_words in (1 << 20, 2000):
+        got = remove_repeats(table, group_words=group_words).select("doc_id", "n_removed", "kept")
+        assert sorted(map(tuple, got.collect())) == [(k, n, t) for k, (_, n, t) in enumerate(cut(texts))]
+        keyed = table.select(F.col("doc_id").alias("_geolattice_row"), "text")
+        _, large = substring._count(keyed, 35, 8, substring.Sizes.of(table, None), group_words, None)
+        assert (large > 0) == (group_words == 2000)
+
+
 @pytest.mark.parametrize("short, block_tokens, block_rows", [(6, 1 << 16, 512), (2, 200, 2)])
 def test_jaccard_equals_brute_force(docs, monkeypatch, short, block_tokens, block_rows):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short)
