@@ -9,13 +9,14 @@ sampled rows that training did not see, calibrates the probabilities.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import others, schema_of
@@ -185,14 +186,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()  # a bounded list
     wanted = shares({r["lang"]: r["n"] for r in sizes}, sample)
     of = {r["lang"]: min(1.0, (wanted[r["lang"]] + 4 * wanted[r["lang"]] ** 0.5 + 4) / r["n"]) for r in sizes}
-    table = docs.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int(of[x] * (1 << 63))), wanted[x]) for x in wanted], "lang string, below long, wanted int")
+    table = docs.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int(of[x] * (1 << 63)))) for x in wanted], "lang string, below long")
     # Tasks keep little more than is wanted, by the hash's size; then the first of each language count.
     own = rows.select(F.xxhash64("doc_id", F.lit(2)).alias("at"), "lang", "text").join(F.broadcast(table), "lang").where(F.shiftrightunsigned("at", 1) <= F.col("below"))  # MOST_LANGUAGES rows
-    chosen = own.select("at", "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary").join(F.broadcast(table.select("lang", "wanted")), "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "buckets", "counts"))
-    chosen = chosen.withColumn("place", place).where("place <= wanted").orderBy("at", "lang", "buckets", "counts").limit(sample)
-    held = F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(Window.orderBy("at", "lang", "buckets", "counts"))
-    got = chosen.withColumn("held", held).where(F.col("held") <= sample_bytes).collect()  # bounded in rows and bytes
+    chosen = own.select("at", "lang", "text").mapInArrow(count, "at long, lang string, buckets binary, counts binary")
+    got, taken, held = [], Counter(), 0
+    for r in chosen.orderBy("at", "lang", "buckets", "counts").limit(2 * sample).toLocalIterator():  # bounded in rows, and below in bytes
+        held += len(r["buckets"]) + len(r["counts"])
+        if held > sample_bytes:
+            break
+        if taken[r["lang"]] < wanted[r["lang"]]:
+            taken[r["lang"]] += 1
+            got.append(r)
     return learn(idf, [(np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in got], [r["lang"] for r in got])
 
 

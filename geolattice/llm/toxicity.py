@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -250,8 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in rows], "doc_id long, toxic int")
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     order = (F.xxhash64("doc_id", F.lit(4)), F.col("doc_id"), F.xxhash64("text"))
-    first = found.withColumn("size", F.octet_length("text")).where(F.col("size") <= sample_bytes).orderBy(*order).limit(sample)
-    got = first.withColumn("size", F.sum("size").over(Window.orderBy(*order))).where(F.col("size") <= sample_bytes).collect()  # bounded in rows and bytes
+    got, held = [], 0
+    for r in found.where(F.octet_length("text") <= sample_bytes // 8).orderBy(*order).limit(sample).toLocalIterator():  # bounded in rows, and below in bytes
+        held += len(r["text"])
+        if held > sample_bytes:
+            break
+        got.append(r)
     return learn([r["text"] for r in got], np.array([r["toxic"] > 0 for r in got], np.int64))
 
 
