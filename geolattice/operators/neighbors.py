@@ -1,28 +1,38 @@
 """Neighbour joins: all pairs of points within a radius, or each point's nearest, by Euclidean distance.
 
-The exact methods cut space into the Voronoi cells of a bounded number of pivot
-points. Cells whose pivots are further apart than both cells' radii and the
-search radius hold no pair, so an equi-join on the remaining cell pairs meets all
-that count. Cells are packed in blocks of rows, and a numpy kernel finds the
-pairs of two blocks by a matrix product and states their distances by exact
-differences in double precision. No block grows with the data.
+The exact method cuts space into the Voronoi cells of pivot points, whose number
+grows with the data up to a bound. Cells whose pivots are further apart than both
+cells' radii and the search radius hold no pair (triangle inequality). Small
+neighbouring cells are packed into one tile of rows and large ones cut into
+several; each pair of tiles that may hold pairs is a unit of work of its own, so
+that neither a dense cell nor a hub is one task, and a point travels once for
+each tile that its own meets. In a unit a numpy kernel finds pairs by matrix
+products of allowed cells, and states distances by exact differences in double
+precision. Nothing but pivots, radii and sizes of cells comes to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from ..sources.storage import Scratch, cut, load_report, save_report
 from .checks import InvalidInput
+from .tiles import block_pairs, units
 
 adjacencies = Registry("adjacency")
-CELL, BLOCK, MOST_CELLS = 1024, 512, 1024
-EXACT_LIMIT = 50_000
+CELL, MOST_CELLS = 1024, 16_384
+TILE_BYTES, LEAST_TILE = 4 << 20, 256
+BLOCK = 1024
+GRID_FROM, DENSE_CUBE = 50_000, 2_000
+EDGES = "i long, j long, d double"
 
 
 def check_rule(radius: float | None, n_neighbors: int | None) -> None:
@@ -39,11 +49,19 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def pivots(points: DataFrame, n: int) -> np.ndarray:
-    """A bounded number of points, by hash of the id; one for each CELL rows."""
-    k = min(MOST_CELLS, max(1, -(-n // CELL)))
-    rows = points.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()
-    return np.array([r["v"] for r in rows], np.float64)
+def pivots(points: DataFrame, n: int, cells: int | None = None) -> np.ndarray:
+    """A bounded number of points, by hash of the id; one for each CELL rows by default."""
+    k = min(MOST_CELLS, max(1, cells or -(-n // CELL)), n)
+    rows = points
+    if n > 4 * k + 1000:  # tasks send little more than is wanted
+        rows = points.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= int((k + 8 * math.sqrt(k) + 8) / n * (1 << 63)))
+    got = rows.orderBy(F.xxhash64("id"), "id").limit(k).select("v").toArrow().column(0).combine_chunks()
+    return _vectors(got)
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, by products: exact to rounding only."""
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
 
 
 def with_cells(points: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -54,64 +72,153 @@ def with_cells(points: DataFrame, centres: np.ndarray) -> DataFrame:
         c = shared.value
         for batch in batches:
             x = _vectors(batch.column(1))
-            near = np.zeros(len(x), np.int64) if len(c) < 2 else np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+            near = np.concatenate([np.argmin(_squares(x[a : a + BLOCK], c), axis=1) for a in range(0, len(x), BLOCK)] or [np.zeros(0, np.int64)])
             reach = np.sqrt(((x - c[near]) ** 2).sum(1)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(reach)], ["id", "v", "cell", "reach"])
 
     return points.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int, reach double")
 
 
-def _packed(cells: DataFrame, extra: str | None = None) -> DataFrame:
-    """Blocks of at most about BLOCK rows of one cell: (cell, block, ids, data), and the largest ``extra`` of each."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    out = cells.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "parts"))  # MOST_CELLS rows at most
-    member = [F.collect_list(F.struct("id", "v")).alias("m")]
-    if extra:
-        member.append(F.max(extra).alias("bound"))
-    return out.groupBy("cell", "block").agg(*member)
-
-
-def _cell_pairs(points: DataFrame, others: DataFrame | None, centres: np.ndarray, radius: float | dict[int, float]) -> list[tuple[int, int]]:
-    reach = lambda df: {r["cell"]: r["r"] for r in df.groupBy("cell").agg(F.max("reach").alias("r")).collect()}  # noqa: E731  MOST_CELLS rows at most
-    a = reach(points)
-    b = a if others is None else reach(others)
-    out = []
-    for i, ra in a.items():
-        gap = np.sqrt(((centres - centres[i]) ** 2).sum(1))
-        r = radius if isinstance(radius, float) else radius[i]
-        out += [(i, j) for j, rb in b.items() if gap[j] <= (ra + rb + r) * (1 + 1e-12) + 1e-12]
-    return out
-
-
-def _near(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a and b at most ``limit`` apart, and their distances."""
-    sa, sb = (a * a).sum(1), (b * b).sum(1)
-    rough = sa[:, None] + sb[None] - 2 * a @ b.T
-    slack = 1e-9 * (sa.max(initial=0) + sb.max(initial=0)) + 1e-300
-    i, j = np.nonzero(rough <= limit * limit + slack)
+@dataclass
+class _Cells:
+    """Points dealt to cells, and cells packed into groups: one group of whole small cells, or a large one, which has several parts."""
+
+    points: DataFrame
+    centres: np.ndarray
+    size: np.ndarray
+    reach: np.ndarray
+    group: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, points: DataFrame, centres: np.ndarray, n: int, rows: int, scratch: Scratch) -> _Cells:
+        k = len(centres)
+        size, reach = np.zeros(k, np.int64), np.zeros(k)
+        if k > 1:
+            points = scratch.cut(with_cells(points, centres), "cells")
+            for r in points.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("r")).collect():  # a row a cell
+                size[r["cell"]], reach[r["cell"]] = r["n"], r["r"]
+        else:
+            points = points.select("id", "v", F.lit(0).alias("cell"))
+            size[:], reach[:] = n, np.inf
+        near = np.argmin(_squares(centres, centres[: math.isqrt(k)]), axis=1) if k > 3 else np.zeros(k, np.int64)
+        order = np.argsort(near, kind="stable")  # neighbouring cells follow each other
+        group, at, held = np.zeros(k, np.int64), -1, rows
+        for cell in order:
+            if held + size[cell] > rows:
+                at, held = at + 1, 0
+            group[cell] = at
+            held += size[cell]
+        total = np.bincount(group, size, at + 1)
+        return cls(points, centres, size, reach, group, np.maximum(1, np.ceil(total / rows)).astype(np.int64))
+
+    def tiles(self) -> DataFrame:
+        """(group, part, m: points of a tile by cell)."""
+        spark = self.points.sparkSession
+        table = spark.createDataFrame(pa.table({"cell": pa.array(np.arange(len(self.size)), pa.int32()), "group": pa.array(self.group), "parts": pa.array(self.parts[self.group])}))
+        placed = self.points.join(F.broadcast(table), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))  # a row a cell, MOST_CELLS at most
+        return placed.groupBy("group", "part").agg(F.collect_list(F.struct(*[c for c in ("cell", "id", "v", "bound") if c in self.points.columns])).alias("m"))
+
+
+def _allowed(a: _Cells, b: _Cells, limit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each cell of ``a`` those of ``b`` that may hold points within its ``limit``."""
+    filled = np.flatnonzero(b.size)
+    for i in np.flatnonzero(a.size):
+        gap = np.sqrt(((b.centres[filled] - a.centres[i]) ** 2).sum(1))
+        yield i, filled[gap <= (a.reach[i] + b.reach[filled] + limit[i]) * (1 + 1e-12) + 1e-12]
+
+
+def _tile_units(a: _Cells, b: _Cells, limit: np.ndarray, folded: bool, scratch: Scratch) -> DataFrame:
+    """(unit, side, m): a row for each tile of each pair of tiles to compare. ``folded``: b is a, and pairs count both ways."""
+    groups = len(a.parts)
+    meets = np.zeros((groups, len(b.parts)), bool)
+    for i, cells in _allowed(a, b, limit):
+        meets[a.group[i], b.group[cells]] = True
+    if folded:
+        meets = np.triu(meets | meets.T)
+    spark = a.points.sparkSession
+    # A row a group, with the groups it meets: bounded by the number of cells.
+    table = spark.createDataFrame(pa.table({"g": pa.array(np.arange(groups)), "n": pa.array(a.parts), "other": pa.array([np.flatnonzero(x) for x in meets], pa.list_(pa.int64())), "parts": pa.array([b.parts[np.flatnonzero(x)] for x in meets], pa.list_(pa.int64()))}))
+    each = table.repartition(min(groups, 200)).select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1).cast("array<bigint>")).alias("p"), F.arrays_zip("other", "parts").alias("z"))
+    each = each.select("g", "p", F.explode("z").alias("z")).select("g", "p", F.col("z.other").alias("h"), F.explode(F.sequence(F.lit(0), F.col("z.parts") - 1).cast("array<bigint>")).alias("q"))
+    if folded:
+        each = each.where("g < h or p <= q")
+    each = each.withColumn("unit", F.xxhash64("g", "p", "h", "q"))
+    one = F.struct(F.lit(0).alias("side"), F.col("g").alias("group"), F.col("p").alias("part"))
+    two = F.struct(F.lit(1).alias("side"), F.col("h").alias("group"), F.col("q").alias("part"))
+    same = (F.col("g") == F.col("h")) & (F.col("p") == F.col("q")) & F.lit(folded)
+    asked = each.select("unit", F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two))).alias("x")).select("unit", "x.*")
+    if folded:
+        return asked.join(scratch.cut(a.tiles(), "tiles"), ["group", "part"]).select("unit", "side", "m")
+    left = asked.where("side = 0").join(scratch.cut(a.tiles(), "tiles"), ["group", "part"])
+    right = asked.where("side = 1").join(scratch.cut(b.tiles(), "tiles"), ["group", "part"])
+    return left.unionByName(right).select("unit", "side", "m")
+
+
+def _tile(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of a tile by cell, and the cells."""
+    m = value.values
+    cell = np.asarray(m.field("cell"))
+    order = np.argsort(cell, kind="stable")
+    return np.asarray(m.field("id"))[order], _vectors(m.field("v"))[order], cell[order]
+
+
+def _cell_blocks(cell_a: np.ndarray, cell_b: np.ndarray, ok) -> Iterator[tuple[slice, np.ndarray]]:
+    """Blocks of rows of one cell, and the rows of the other tile that they may be near to."""
+    cells = np.unique(cell_b)
+    for c in np.unique(cell_a):
+        lo, hi = np.searchsorted(cell_a, (c, c + 1))
+        rows = np.flatnonzero(np.isin(cell_b, cells[ok(int(c), cells)]))
+        for at in range(lo, hi, BLOCK):
+            for far in range(0, len(rows), 4 * BLOCK):
+                yield slice(at, min(hi, at + BLOCK)), rows[far : far + 4 * BLOCK]
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and b at most ``limit`` (of all, or of each row of a) apart, and their distances."""
+    limit = np.broadcast_to(np.asarray(limit, np.float64), (len(a),))
+    slack = 1e-9 * ((a * a).sum(1).max(initial=0) + (b * b).sum(1).max(initial=0)) + 1e-300
+    i, j = np.nonzero(_squares(a, b) <= (limit * limit + slack)[:, None])
     d = np.empty(len(i))
     for at in range(0, len(i), 1 << 15):
         part = slice(at, at + (1 << 15))
         d[part] = np.sqrt(((a[i[part]] - b[j[part]]) ** 2).sum(1))
-    keep = d <= limit
+    keep = d <= limit[i]
     return i[keep], j[keep], d[keep]
 
 
-def _unpack(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    members = value.values
-    return np.asarray(members.field("id")), _vectors(members.field("v"))
+def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    i, j, d = (np.concatenate([p[c] for p in parts] or [np.zeros(0)]) for c in range(3))
+    return pa.table({"i": pa.array(i.astype(np.int64)), "j": pa.array(j.astype(np.int64)), "d": pa.array(d.astype(np.float64))})
+
+
+def _reader(a: _Cells, b: _Cells, limit: np.ndarray):
+    """Whether cells of b may be near to a cell of a: (cell of a, cells of b) -> mask."""
+    shared = a.points.sparkSession.sparkContext.broadcast((a.centres, a.reach, b.centres, b.reach, limit))  # MOST_CELLS rows at most
+
+    def ok(c: int, cells: np.ndarray) -> np.ndarray:
+        centres, reach, others, theirs, far = shared.value
+        gap = np.sqrt(((others[cells] - centres[c]) ** 2).sum(1))
+        return gap <= (reach[c] + theirs[cells] + far[c]) * (1 + 1e-12) + 1e-12
+
+    return ok
 
 
-def _join(left: DataFrame, right: DataFrame, pairs: list[tuple[int, int]], centres: np.ndarray) -> DataFrame:
-    spark = left.sparkSession
-    table = spark.createDataFrame(pairs or [(-1, -1)], "cell int, other int")
-    a = left.join(table, "cell").withColumnRenamed("m", "ma")
-    b = right.select(F.col("cell").alias("other"), F.col("m").alias("mb"))
-    return a.join(b, "other")
+def tile_rows(n: int, dims: int, cores: int) -> int:
+    """Rows a tile: at most TILE_BYTES, and so few that all cores have several units."""
+    return max(LEAST_TILE, min(TILE_BYTES // (8 * max(1, dims)), -(-n // math.isqrt(8 * cores + 1))))
 
 
-def _edges(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(d, pa.float64())], ["i", "j", "d"])
+def _prepared(points: DataFrame, others: DataFrame | None, scratch: Scratch) -> tuple[_Cells, _Cells] | None:
+    """Cells of both tables by the same pivots; nothing if one is empty."""
+    n, dims = points.agg(F.count("*"), F.max(F.size("v"))).first()
+    m = n if others is None else others.count()
+    if not n or not m:
+        return None
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    centres = pivots(points, n) if max(n, m) > 4 * CELL else np.zeros((1, dims))  # pruning does not pay for few points
+    own = _Cells.of(points, centres, n, tile_rows(n, dims, cores), scratch)
+    return own, own if others is None else _Cells.of(others, centres, m, tile_rows(m, dims, cores), scratch)
 
 
 @adjacencies.register("brute")
@@ -122,63 +229,132 @@ def block_neighbors(points: DataFrame, radius: float | None = None, n_neighbors:
     With ``others``, j runs over that table.
     """
     check_rule(radius, n_neighbors)
-    n = points.count()
-    if not n:
-        return points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"))
-    centres = pivots(points, n)
-    own = with_cells(points, centres)
-    targets = own if others is None else with_cells(others, centres)
-    if radius is not None:
-        pairs = _cell_pairs(own, None if others is None else targets, centres, float(radius))
-        left = _packed(own)
-        right = left if others is None else _packed(targets)
-        joined = _join(left, right, pairs, centres).select("ma", "mb")
-
-        def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for one, two in zip(batch.column(0), batch.column(1)):
-                    (ia, a), (ib, b) = _unpack(one), _unpack(two)
-                    i, j, d = _near(a, b, radius)
-                    yield _edges(ia[i], ib[j], d)
-
-        return joined.mapInArrow(within, "i long, j long, d double")
-    return _nearest(own, targets, centres, n_neighbors)
+    with Scratch(points.sparkSession, "neighbours") as scratch:
+        prepared = _prepared(points, others, scratch)
+        if prepared is None:
+            return points.sparkSession.createDataFrame([], EDGES)
+        own, targets = prepared
+        if radius is not None:
+            return cut(_within(own, targets, float(radius), others is None, scratch), "edges")
+        return cut(_nearest(own, targets, n_neighbors, others is None, scratch), "edges")
+
+
+def _within(own: _Cells, targets: _Cells, radius: float, folded: bool, scratch: Scratch) -> DataFrame:
+    limit = np.full(len(own.size), radius)
+    ok = _reader(own, targets, limit)
+
+    def compare(table: pa.Table) -> pa.Table:
+        tiles = [_tile(m) for m in table["m"]]
+        out = []
+        for x, y in block_pairs(table["side"].to_pylist()):
+            (ia, a, ca), (ib, b, cb) = tiles[x], tiles[y]
+            for rows, far in _cell_blocks(ca, cb, ok):
+                i, j, d = _near(a[rows], b[far], radius)
+                out.append((ia[rows][i], ib[far][j], d))
+                if folded and x != y:
+                    out.append((ib[far][j], ia[rows][i], d))
+        return _edges(out)
+
+    return _tile_units(own, targets, limit, folded, scratch).groupBy("unit").applyInArrow(compare, EDGES)
+
+
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("i").orderBy("d", "j")
+    return edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def _top(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each point among pairs (row, j, d)."""
+    row, j, d = (np.concatenate([f[c] for f in found] or [np.zeros(0, np.int64)]) for c in range(3))
+    order = np.lexsort((j, d, row))
+    row, j, d = row[order], j[order], d[order]
+    start = np.searchsorted(row, np.arange(len(ids)))
+    keep = np.arange(len(row)) - start[row] < k if len(row) else np.zeros(0, bool)
+    return ids[row[keep]], j[keep], d[keep]
+
+
+def _kth(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """A bound on each row's k-th distance, rounding included; infinite if b has fewer rows."""
+    if len(b) < k:
+        return np.full(len(a), np.inf)
+    out = np.concatenate([np.partition(_squares(a[at : at + BLOCK], b), k - 1, axis=1)[:, k - 1] for at in range(0, len(a), BLOCK)])
+    slack = 1e-9 * ((a * a).sum(1).max(initial=0) + (b * b).sum(1).max(initial=0))
+    return np.sqrt(out + slack) * (1 + 1e-12)
+
+
+def _cell_limits(own: _Cells, targets: _Cells, k: int) -> np.ndarray:
+    """A bound on the k-th distance of every point of a cell, from the cells' sizes and radii."""
+    filled = np.flatnonzero(targets.size)
+    out = np.full(len(own.size), np.inf)
+    for i in np.flatnonzero(own.size):
+        far = np.sqrt(((targets.centres[filled] - own.centres[i]) ** 2).sum(1)) + targets.reach[filled]
+        order = np.argsort(far, kind="stable")
+        enough = np.flatnonzero(np.cumsum(targets.size[filled][order]) >= k)
+        if len(enough):
+            out[i] = own.reach[i] + far[order[enough[0]]]
+    return out
 
 
-def _nearest(own: DataFrame, targets: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
-    """Two passes: a bound on each point's k-th distance from its own cell, then all cells that may hold nearer ones."""
+def _nearest(own: _Cells, targets: _Cells, k: int, folded: bool, scratch: Scratch) -> DataFrame:
+    """Bounds on each point's k-th distance, from its own tile (or, over another table, from cells); then all tiles that may hold nearer ones, which keep what is within the bound."""
+    limit = _cell_limits(own, targets, k)
+    if folded and len(own.size) > 1:
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, two in zip(batch.column(0), batch.column(1)):
-                (ia, a), (ib, b) = _unpack(one), _unpack(two)
-                d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-                m = min(k, len(ib))
-                worst = np.partition(d, m - 1, axis=1)[:, m - 1]
-                slack = 1e-7 * (1 + np.abs(worst))
-                i, j = np.nonzero(d <= (worst + slack)[:, None])
-                yield _edges(ia[i], ib[j], np.sqrt(((a[i] - b[j]) ** 2).sum(1)))
-
-    def best(edges: DataFrame) -> DataFrame:
-        order = Window.partitionBy("i").orderBy("d", "j")
-        return edges.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
-
-    left, right = _packed(own), _packed(targets)
-    schema = "i long, j long, d double"
-    cells = [r["cell"] for r in own.select("cell").distinct().collect()]  # MOST_CELLS rows at most
-    if len(cells) < 2:
-        return best(_join(left, right, [(c, t) for c in cells for t in range(len(centres))], centres).select("ma", "mb").mapInArrow(top, schema))
-    first = best(_join(left, right, [(c, c) for c in cells], centres).select("ma", "mb").mapInArrow(top, schema))
-    bound = first.groupBy("i").agg(F.max("d").alias("b"), F.count("*").alias("m")).where(F.col("m") >= k)
-    cell_bound = own.select("id", "cell").join(bound.withColumnRenamed("i", "id"), "id", "left").groupBy("cell").agg(F.max("b").alias("b"), F.count_if(F.col("b").isNull()).alias("free"))
-    limits = {r["cell"]: float("inf") if r["free"] else r["b"] for r in cell_bound.collect()}
-    pairs = _cell_pairs(own, targets, centres, limits)
-    return best(_join(left, right, pairs, centres).select("ma", "mb").mapInArrow(top, schema))
+        def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m in batch.column(0):
+                    ids, x, cell = _tile(m)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.array(_kth(x, x, k))], ["id", "cell", "bound"])
+
+        home = scratch.cut(own.tiles().select("m").mapInArrow(bounds, "id long, cell int, bound double"), "bounds")
+        for r in home.groupBy("cell").agg(F.max("bound").alias("b")).collect():  # a row a cell
+            limit[r["cell"]] = min(limit[r["cell"]], r["b"])
+        own = targets = replace(own, points=own.points.join(home.select("id", "bound"), "id"))
+    ok = _reader(own, targets, limit)
+
+    def compare(table: pa.Table) -> pa.Table:
+        tiles = [_tile(m) for m in table["m"]]
+        limits = [_bounds(m) for m in table["m"]]
+        out = []
+        for x, y in block_pairs(table["side"].to_pylist()):
+            out.append(_search(tiles[x], tiles[y], limits[x], k, ok))
+            if folded and x != y:
+                out.append(_search(tiles[y], tiles[x], limits[y], k, ok))
+        return _edges(out)
+
+    return _best(_tile_units(own, targets, limit, folded, scratch).groupBy("unit").applyInArrow(compare, EDGES), k)
+
+
+def _bounds(value: pa.Scalar) -> np.ndarray:
+    m = value.values
+    if m.type.get_field_index("bound") < 0:
+        return np.full(len(m), np.inf)
+    return np.asarray(m.field("bound"))[np.argsort(np.asarray(m.field("cell")), kind="stable")]
+
+
+def _search(x: tuple, y: tuple, bound: np.ndarray, k: int, ok) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of y, within the bounds, of each row of x."""
+    (ia, a, ca), (ib, b, cb) = x, y
+    found = []
+    for rows, far in _cell_blocks(ca, cb, ok):
+        square = _squares(a[rows], b[far])
+        limit = bound[rows] ** 2
+        if len(far) > k:
+            limit = np.minimum(limit, np.partition(square, k - 1, axis=1)[:, k - 1])
+        slack = 1e-9 * ((a[rows] ** 2).sum(1).max(initial=0) + (b[far] ** 2).sum(1).max(initial=0)) + 1e-300
+        i, j = np.nonzero(square <= (limit + slack)[:, None])
+        d = np.sqrt(((a[rows][i] - b[far][j]) ** 2).sum(1))
+        found.append((i + rows.start, ib[far][j], d))
+    return _top(ia, found, k)
 
 
 @adjacencies.register("grid")
 def grid_neighbors(points: DataFrame, radius: float | None = None, n_neighbors: int | None = None) -> DataFrame:
-    """Exact radius search for up to three dimensions in Catalyst alone: an equi-join on cubes as wide as the radius. Nearest neighbours fall back to blocks."""
+    """Exact radius search for up to three dimensions in Catalyst alone: an equi-join on cubes as wide as the radius. Nearest neighbours fall back to blocks.
+
+    Each pair of neighbouring cubes meets once, and its pairs are turned afterwards;
+    the one side of a dense cube is dealt over several keys, to which the other goes.
+    """
     check_rule(radius, n_neighbors)
     if radius is None or radius == 0:
         return block_neighbors(points, radius, n_neighbors)
@@ -189,26 +365,108 @@ def grid_neighbors(points: DataFrame, radius: float | None = None, n_neighbors:
     if dim > 3:
         raise InvalidInput("the grid method takes three dimensions at most")
     axes = range(dim)
-    cube = [F.floor(F.col("v")[k] / radius) for k in axes]
-    shifts = [[]]
+    cubes = [f"c{k}" for k in axes]
+    at = points.select("id", *[F.col("v")[k].alias(f"x{k}") for k in axes], *[F.floor(F.col("v")[k] / radius).alias(c) for k, c in zip(axes, cubes)])
+    dense = at.groupBy(*cubes).agg(F.ceil(F.count("*") / DENSE_CUBE).cast("int").alias("parts")).where("parts > 1")
+    shifts: list[tuple[int, ...]] = [()]
     for _ in axes:
-        shifts = [[*s, x] for s in shifts for x in (-1, 0, 1)]
-    near = F.array(*[F.struct(*[(cube[k] + s[k]).alias(f"c{k}") for k in axes]) for s in shifts])
-    left = points.select(F.col("id").alias("i"), *[F.col("v")[k].alias(f"a{k}") for k in axes], F.explode(near).alias("c")).select("i", *[f"a{k}" for k in axes], "c.*")
-    right = points.select(F.col("id").alias("j"), *[F.col("v")[k].alias(f"b{k}") for k in axes], *[cube[k].alias(f"c{k}") for k in axes])
+        shifts = [(*s, x) for s in shifts for x in (-1, 0, 1)]
+    ahead = [s for s in shifts if s >= (0,) * dim]  # half of the neighbours, and the cube itself
+    near = F.array(*[F.struct(*[(F.col(c) + x).alias(c) for c, x in zip(cubes, s)], F.lit(not any(s)).alias("own")) for s in ahead])
+    left = at.select(F.col("id").alias("i"), *[F.col(f"x{k}").alias(f"a{k}") for k in axes], F.explode(near).alias("c")).select("i", *[f"a{k}" for k in axes], "c.*")
+    left = left.join(dense, cubes, "left").withColumn("salt", F.pmod(F.xxhash64("i"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    right = at.select(F.col("id").alias("j"), *[F.col(f"x{k}").alias(f"b{k}") for k in axes], *cubes)
+    right = right.join(dense, cubes, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     square = sum(((F.col(f"a{k}") - F.col(f"b{k}")) * (F.col(f"a{k}") - F.col(f"b{k}")) for k in axes), F.lit(0.0))
-    return left.join(right, [f"c{k}" for k in axes]).select("i", "j", F.sqrt(square).alias("d")).where(F.col("d") <= radius)
+    found = left.join(right, [*cubes, "salt"]).where("not own or i <= j").select("i", "j", F.sqrt(square).alias("d")).where(F.col("d") <= radius)
+    turned = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", "d"))).otherwise(F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d")))
+    return found.select(F.inline(turned))
+
+
+@dataclass
+class CellIndex:
+    """An inverted file: unit of search is the cell of the nearest pivot. Made once, saved and loaded, searched by radius or number.
+
+    A search looks into the ``probes`` cells whose pivots are nearest to a point:
+    all points are indexed and distances are exact, but pairs may be missed.
+    """
+
+    centres: np.ndarray
+    points: DataFrame
+
+    @classmethod
+    def build(cls, points: DataFrame, cells: int | None = None) -> CellIndex:
+        n = points.count()
+        centres = pivots(points, n, cells or max(1, math.isqrt(n))) if n else np.zeros((1, 1))
+        return cls(centres, cut(with_cells(points, centres), "index"))
+
+    def save(self, path: str) -> None:
+        """Cells as a Parquet table, pivots beside it."""
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        save_report(self.points.sparkSession, {"centres": self.centres.tolist()}, f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(np.array(load_report(spark, f"{path}/centres")["centres"], np.float64), spark.read.schema("id long, v array<double>, cell int, reach double").parquet(f"{path}/points"))
+
+    def search(self, radius: float | None = None, n_neighbors: int | None = None, probes: int = 4, queries: DataFrame | None = None) -> DataFrame:
+        """Edges (i, j, d) from ``queries`` (the indexed points by default) to indexed points; of n_neighbors, fewer where the cells hold fewer."""
+        check_rule(radius, n_neighbors)
+        centres, probes = self.points.sparkSession.sparkContext.broadcast(self.centres), min(probes, len(self.centres))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _vectors(batch.column(1))
+                near = np.argsort(_squares(x, centres.value), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["id", "v", "cells"])
+
+        asked = (queries if queries is not None else self.points).select("id", "v").mapInArrow(probe, "id long, v array<double>, cells array<int>")
+        asked = asked.select(F.explode("cells").alias("cell"), "id", "v", F.lit(0).alias("side"))
+        every = asked.unionByName(self.points.select("cell", "id", "v", F.lit(1).alias("side")))
+        parts = every.groupBy("cell", "side").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        placed = every.join(parts, ["cell", "side"]).withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
+        placed = placed.groupBy("cell", "side", "block").agg(F.collect_list(F.struct(F.lit(0).alias("cell"), "id", "v")).alias("m"))
+        # Sides are neighbouring classes: the tiles of one meet those of the other.
+        blocks = placed.select("cell", F.col("side").alias("class"), "block", F.lit(1).alias("low"), F.lit(1).alias("high"), "m")
+        every_cell = lambda c, cells: np.ones(len(cells), bool)
+
+        def compare(table: pa.Table) -> pa.Table:
+            tiles = [_tile(m) for m in table["m"]]
+            out = []
+            for x, y in block_pairs(table["side"].to_pylist()):
+                (ia, a, _), (ib, b, _) = tiles[x], tiles[y]
+                if radius is None:
+                    out.append(_search(tiles[x], tiles[y], np.full(len(ia), np.inf), n_neighbors, every_cell))
+                else:
+                    i, j, d = _near(a, b, radius)
+                    out.append((ia[i], ib[j], d))
+            return _edges(out)
+
+        found = units(blocks, ["cell"], ["m"], within=False).groupBy("unit").applyInArrow(compare, EDGES)
+        return found if radius is not None else _best(found, n_neighbors)
+
+
+@adjacencies.register("cells")
+def cell_neighbors(points: DataFrame, radius: float | None = None, n_neighbors: int | None = None, cells: int | None = None, probes: int = 4) -> DataFrame:
+    """Approximate search by the ``probes`` nearest of ``cells`` cells: see CellIndex."""
+    check_rule(radius, n_neighbors)
+    return CellIndex.build(points, cells).search(radius, n_neighbors, probes)
 
 
 @adjacencies.register("lsh")
 def lsh_neighbors(points: DataFrame, radius: float | None = None, n_neighbors: int | None = None, bucket_length: float | None = None, tables: int = 4, seed: int = 0) -> DataFrame:
-    """Approximate radius search by random projections (pyspark.ml): distances are exact, pairs may be missed. Self pairs are always there."""
+    """Approximate search by random projections (pyspark.ml): distances are exact, pairs may be missed. Self pairs are always there.
+
+    For n_neighbors the radius is a bound on the distance to that many neighbours,
+    from a search by cells; a point then has fewer where buckets miss some.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     check_rule(radius, n_neighbors)
     if radius is None:
-        raise InvalidInput("lsh searches by radius only")
+        reach = cell_neighbors(points, n_neighbors=n_neighbors).groupBy("i").agg(F.max("d").alias("d")).agg(F.max("d")).first()[0]
+        return _best(lsh_neighbors(points, float(reach or 0), None, bucket_length, tables, seed), n_neighbors)
     rows = points.select("id", array_to_vector("v").alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length or max(radius / 2, 1e-12), numHashTables=tables, seed=seed).fit(rows)
     found = model.approxSimilarityJoin(rows, rows, radius * (1 + 1e-12), "d")
@@ -217,7 +475,11 @@ def lsh_neighbors(points: DataFrame, radius: float | None = None, n_neighbors: i
 
 
 def adjacency(points: DataFrame, method: str = "auto", **parameters) -> DataFrame:
-    """Edges (i, j, d) by a registered method."""
+    """Edges (i, j, d) by a registered method. ``auto`` takes the grid for a radius search over many points of three dimensions at most, else blocks; both are exact."""
+    if method == "auto" and set(parameters) == {"radius"}:
+        some = points.limit(GRID_FROM).agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+        if some["n"] >= GRID_FROM and some["d"] <= 3:
+            method = "grid"
     return adjacencies.get(method)(points, **parameters)
 
 
@@ -228,8 +490,6 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def complete_adjacency(train: DataFrame, test: DataFrame, radius: float, offset: int) -> DataFrame:
-    """Edges over training points and test points, these with ids from ``offset`` on: within, across and among."""
+    """Edges over training points and test points, these with ids from ``offset`` on: within, across and among, by one join."""
     moved = test.select((F.col("id") + offset).alias("id"), "v")
-    across = block_neighbors(train, radius=radius, others=moved)
-    turned = across.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
-    return block_neighbors(train, radius=radius).unionByName(across).unionByName(turned).unionByName(block_neighbors(moved, radius=radius))
+    return block_neighbors(train.select("id", "v").unionByName(moved), radius=radius)

@@ -41,7 +41,7 @@ def test_radius_methods_equal_brute_force(spark, x, method, radius):
 @pytest.mark.parametrize("cell", [1024, 10])
 def test_nearest_equal_brute_force(spark, x, k, cell, monkeypatch):
     monkeypatch.setattr(neighbors, "CELL", cell)
-    monkeypatch.setattr(neighbors, "BLOCK", 7)
+    monkeypatch.setattr(neighbors, "LEAST_TILE", 7)
     d = distances(x)
     got = {}
     for r in neighbors.adjacency(cloud(spark, x), n_neighbors=k).collect():
@@ -53,7 +53,7 @@ def test_nearest_equal_brute_force(spark, x, k, cell, monkeypatch):
 
 def test_radius_by_many_cells(spark, x, monkeypatch):
     monkeypatch.setattr(neighbors, "CELL", 8)
-    monkeypatch.setattr(neighbors, "BLOCK", 5)
+    monkeypatch.setattr(neighbors, "LEAST_TILE", 5)
     d = distances(x)
     got = neighbors.adjacency(cloud(spark, x), radius=0.3)
     assert got.count() == (d <= 0.3).sum()
@@ -89,6 +89,57 @@ def test_own_methods(spark, x):
     assert "mine" not in neighbors.adjacencies.names()
 
 
+@pytest.mark.parametrize("cell", [1024, 10])
+def test_other_tables_equal_brute_force(spark, x, cell, monkeypatch):
+    monkeypatch.setattr(neighbors, "CELL", cell)
+    monkeypatch.setattr(neighbors, "LEAST_TILE", 7)
+    a, b = x[:70], np.concatenate([x[60:], x[:3] + 2])
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    got = neighbors.block_neighbors(cloud(spark, a), radius=0.4, others=cloud(spark, b)).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == sorted(map(tuple, np.argwhere(d <= 0.4).tolist()))
+    got = neighbors.block_neighbors(cloud(spark, a), n_neighbors=4, others=cloud(spark, b)).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == sorted((i, j) for i in range(70) for j in sorted(range(43), key=lambda j: (d[i, j], j))[:4])
+    assert neighbors.block_neighbors(cloud(spark, a), radius=1.0, others=cloud(spark, b[:0])).count() == 0
+
+
+def test_grid_splits_dense_cubes(spark, x, monkeypatch):
+    monkeypatch.setattr(neighbors, "DENSE_CUBE", 3)
+    for dims in (1, 2, 3):
+        d = distances(x[:, :dims])
+        got = sorted((r["i"], r["j"]) for r in neighbors.adjacency(cloud(spark, x[:, :dims]), "grid", radius=0.3).collect())
+        assert got == sorted(map(tuple, np.argwhere(d <= 0.3).tolist()))
+
+
+def test_cell_index_is_saved_and_finds_most(spark, x, tmp_path):
+    p = cloud(spark, x)
+    index = neighbors.CellIndex.build(p, 8)
+    index.save(f"file://{tmp_path}/index")
+    loaded = neighbors.CellIndex.load(spark, f"file://{tmp_path}/index")
+    read = lambda df: sorted((r["i"], r["j"], r["d"]) for r in df.collect())
+    d = distances(x)
+    for found in ({"radius": 0.3}, {"n_neighbors": 5}):
+        exact = read(neighbors.adjacency(p, "blocks", **found))
+        assert read(loaded.search(probes=8, **found)) == exact  # all cells: exact
+        some = read(loaded.search(probes=3, **found))
+        assert some == read(index.search(probes=3, **found)) and len(set(some) & set(exact)) > 0.8 * len(exact)
+        assert all(abs(d[i, j] - v) < 1e-12 for i, j, v in some)
+    asked = cloud(spark, x[:2] + 0.01)
+    assert {r["i"] for r in loaded.search(n_neighbors=3, queries=asked).collect()} == {0, 1}
+    assert neighbors.adjacency(p, "cells", n_neighbors=4, cells=4, probes=4).count() == 400
+    near = neighbors.recall(neighbors.adjacency(p, "lsh", n_neighbors=5, tables=8), neighbors.adjacency(p, n_neighbors=5)).first()
+    assert near["recall"] > 0.8
+
+
+def test_auto_takes_the_grid_for_many_points_of_few_dimensions(spark, x, monkeypatch):
+    monkeypatch.setattr(neighbors, "GRID_FROM", 50)
+    called = []
+    monkeypatch.setitem(neighbors.adjacencies._methods, "grid", lambda p, **k: called.append(k) or p)
+    neighbors.adjacency(cloud(spark, x), radius=0.1)
+    neighbors.adjacency(cloud(spark, x[:40]), radius=0.1)
+    neighbors.adjacency(cloud(spark, np.ones((60, 4))), radius=0.1)
+    assert called == [{"radius": 0.1}]
+
+
 def test_lsh_finds_most(spark, x):
     p = cloud(spark, x)
     r = neighbors.recall(neighbors.adjacency(p, "lsh", radius=0.3, tables=8), neighbors.adjacency(p, radius=0.3)).first()
