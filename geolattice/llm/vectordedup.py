@@ -4,8 +4,8 @@ Vectors are compared within their label only. Equal ones collapse first. A label
 of more than CELL vectors is divided by unit centres (spherical k-means on a
 bounded sample); a vector goes to its best cell and to every other whose cosine
 is within SLACK of the best, so that most near pairs meet in some cell. Cells are
-cut into blocks of rows, pairs of blocks are multiplied as matrices in double
-precision, and only sums of links and spanning forests leave a task. A pair that
+cut into blocks of rows, pairs of blocks (dealt out over tasks) are multiplied as
+matrices in double precision, and only sums of links and spanning forests leave a task. A pair that
 shares several cells counts in the first of them. All vectors are indexed and
 cells have no cap; what is approximate is only that a near pair may share no
 cell (the README has measured recall).
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import Scratch
+from ..operators.tiles import block_pairs, units
 from .components import connected_components
 from .forest import forest
 from .session import materialize
@@ -27,7 +29,7 @@ from .session import materialize
 COSINE = 0.93
 CELL, BLOCK = 2048, 1024
 SLACK = 0.15
-SAMPLE, MOST_CELLS, ROUNDS = 20_000, 2048, 8
+SAMPLE, PER_CELL, MOST_CELLS, ROUNDS = 20_000, 10, 8192, 8
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -51,7 +53,7 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
 
 
 def fit_cells(distinct: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Centres by (label, size), for labels that need more than one cell; MOST_CELLS in all, fitted on SAMPLE vectors."""
+    """Centres by (label, size), for labels that need more than one cell; MOST_CELLS in all, fitted on PER_CELL vectors each, SAMPLE at least."""
     sizes = distinct.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     large = sizes.orderBy(F.desc("n"), "label", "size").limit(MOST_CELLS // 2).collect()  # a bounded number
     if not large:
@@ -59,9 +61,13 @@ def fit_cells(distinct: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     total = sum(r["n"] for r in large)
     scale = min(1.0, MOST_CELLS / sum(-(-r["n"] // CELL) for r in large))
     cells = {(r["label"], r["size"]): max(2, int(scale * -(-r["n"] // CELL))) for r in large}
-    wanted = sizes.select("label", "size")
-    rows = distinct.join(F.broadcast(wanted.limit(MOST_CELLS)), ["label", "size"]) if total > SAMPLE else distinct
-    sample = rows.select("vec_id", "label", "size", "vector").orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).collect()
+    most = max(SAMPLE, PER_CELL * sum(cells.values()))
+    wanted = sizes.orderBy(F.desc("n"), "label", "size").limit(MOST_CELLS // 2).select("label", "size")
+    rows = distinct.join(F.broadcast(wanted), ["label", "size"]) if total > most else distinct
+    hash_ = F.xxhash64("vec_id", F.lit(5))
+    if total > 2 * most:  # tasks send little more than is wanted
+        rows = rows.where(F.shiftrightunsigned(hash_, 1) <= int((most + 8 * most**0.5) / total * (1 << 63)))
+    sample = rows.select("vec_id", "label", "size", "vector").orderBy(hash_, "vec_id").limit(most).collect()  # a bounded number
     centres = {}
     for key, k in cells.items():
         x = np.array([r["vector"] for r in sample if (r["label"], r["size"]) == key], np.float64)
@@ -82,6 +88,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nothing, nor do vectors of different lengths. Rows repeated in id, label and
     vector count as one vector; a row without vec_id has no component and is kept.
     """
+    with Scratch(vectors.sparkSession, "vectors") as scratch:
+        return materialize(_classes(vectors, cosine, scratch), "classes")
+
+
+def _classes(vectors: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -91,7 +102,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     keys = rows.select("vec_id", F.when(F.col("ok"), one).alias("one"), F.when(F.col("ok"), two).alias("two"))
     single = rows.where("ok").groupBy("vec_id", one, two).agg(F.first("label").alias("label"), F.first("vector").alias("vector"))
     distinct = single.groupBy("one", "two").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    distinct = materialize(distinct.withColumn("size", F.size("vector")), "vectors")
+    distinct = materialize(distinct.withColumn("size", F.size("vector")), "vectors", scratch)
     shared = spark.sparkContext.broadcast(fit_cells(distinct))  # MOST_CELLS centres at most
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,21 +129,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     placed = distinct.select(F.col("label").cast("long").alias("label"), "size", "vec_id", "copies", "vector")
     placed = placed.mapInArrow(assign, "label long, size int, cell int, vec_id long, copies long, cells binary, unit binary")
-    placed = materialize(placed, "placed")
+    placed = materialize(placed, "placed", scratch)
     parts = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = placed.join(parts, ["label", "size", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), "parts"))
     blocks = blocks.groupBy("label", "size", "cell", "block").agg(F.collect_list(F.struct("vec_id", "copies", "cells", "unit")).alias("m"))
-    blocks = materialize(blocks, "blocks")
-    left = blocks.select("label", "size", "cell", F.col("block").alias("ba"), F.col("m").alias("ma"))
-    right = blocks.select("label", "size", "cell", F.col("block").alias("bb"), F.col("m").alias("mb"))
-    pairs = left.join(right, ["label", "size", "cell"]).where("ba <= bb").select("cell", (F.col("ba") == F.col("bb")).alias("same"), "ma", "mb")
+    blocks = blocks.select("*", F.lit(0).alias("class"), F.lit(1).alias("low"), F.lit(1).alias("high"))
+    pairs = units(materialize(blocks, "blocks", scratch), ["label", "size", "cell"], ["cell", "m"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell, same, one, two in zip(*batch.columns):
-                yield _compare(cell.as_py(), same.as_py(), one.as_py(), two.as_py(), cosine)
+    def compare(table: pa.Table) -> pa.Table:
+        cell, read = table["cell"][0].as_py(), [_read(x.as_py()) for x in table["m"]]
+        return pa.concat_tables([_compare(cell, i == j, read[i], read[j], cosine) for i, j in block_pairs(table["side"].to_pylist())])
 
-    found = materialize(pairs.mapInArrow(compare, "a long, b long, n long"), "links")
+    found = materialize(pairs.groupBy("unit").applyInArrow(compare, "a long, b long, n long"), "links", scratch)
     names = connected_components(found.where("b is not null"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     stats = distinct.select("one", "two", "vec_id", "copies").join(counts.withColumnRenamed("a", "vec_id"), "vec_id", "left").join(names.withColumnRenamed("node", "vec_id"), "vec_id", "left")
@@ -142,14 +150,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _compare(cell: int, same: bool, one: list[dict], two: list[dict], cosine: float) -> pa.RecordBatch:
-    """Links between two blocks of a cell: (vec_id, null, sum of copies linked) and, as a spanning forest, (vec_id, vec_id, null)."""
+def _read(rows: list[dict]) -> tuple:
+    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.stack([np.frombuffer(r["unit"]) for r in rows]), [np.frombuffer(r["cells"], np.int32) for r in rows]
 
-    def read(rows: list[dict]):
-        return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.stack([np.frombuffer(r["unit"]) for r in rows]), [np.frombuffer(r["cells"], np.int32) for r in rows]
 
-    ida, ca, a, la = read(one)
-    idb, cb, b, lb = read(two)
+def _compare(cell: int, same: bool, one: tuple, two: tuple, cosine: float) -> pa.Table:
+    """Links between two blocks of a cell: (vec_id, null, sum of copies linked) and, as a spanning forest, (vec_id, vec_id, null)."""
+    ida, ca, a, la = one
+    idb, cb, b, lb = two
     x, y = np.nonzero(a @ b.T >= cosine)
     if same:
         keep = x < y
@@ -178,7 +186,7 @@ def _compare(cell: int, same: bool, one: list[dict], two: list[dict], cosine: fl
     root = forest(len(ids), xa, yb)
     far, some = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(n)
     none = pa.nulls
-    return pa.RecordBatch.from_arrays(
+    return pa.Table.from_arrays(
         [
             pa.array(np.r_[ids[some], ids[root[far]]], pa.int64()),
             pa.concat_arrays([none(len(some), pa.int64()), pa.array(ids[far], pa.int64())]),
