@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import Scratch
+from ..operators.tiles import block_pairs, units
 from .components import connected_components
 from .forest import forest
 from .session import bucket_bits, materialize
 from .wordhash import U, Words, bucket_rows, chunks, mix, slices
 
 SHINGLE, PERCENT = 5, 75
-FREQUENT = 1 << 16
+FREQUENT, MOST_FREQUENT = 1 << 16, 1 << 20
 SHORT_LIST = 6
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 16, 512
-FILTER_BITS = 23
+LEAST_FILTER, MOST_FILTER = 16, 28
 DENSE = 1 << 21
 
 
@@ -89,8 +92,13 @@ def shingle_sets(docs: DataFrame, often, k: int = SHINGLE, percent: int = PERCEN
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, print long, head long, bitmap binary")
 
 
-def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) -> np.ndarray:
-    """At most ``most`` of the tokens that most sets have, rarest first; counted within each slice of rows (what is there once is left out), then over all."""
+def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int | None = None) -> np.ndarray:
+    """At most ``most`` of the tokens that most sets have, rarest first; counted within each slice of rows (what is there once is left out), then over all.
+
+    By default one for every eight rows, FREQUENT at least and MOST_FREQUENT at most.
+    Any list is right; a longer one keeps more common passages out of prefixes.
+    """
+    most = most or min(MOST_FREQUENT, max(FREQUENT, docs.count() // 8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -106,8 +114,8 @@ def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int = FREQUENT) ->
             yield pa.RecordBatch.from_arrays([pa.array(x[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], ["token", "n"])
 
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") > SHORT_LIST).orderBy(F.desc("n"), "token").limit(most).collect()  # a bounded list
-    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+    rows = rows.where(F.col("n") > SHORT_LIST).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()  # a bounded list
+    return np.asarray(rows.column(0), np.int64)[::-1].view(np.uint64)
 
 
 def _ordered(x: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -138,14 +146,19 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     smallest doc_id reachable. Repeated rows and repeated ids are kept as they
     are; rows without doc_id keep a null component and take no part.
     """
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        return materialize(_classes(docs, k, percent, scratch), "classes")
+
+
+def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     token = frequent_tokens(docs, k)
     order = np.argsort(token)
-    often = spark.sparkContext.broadcast((token[order], order))  # at most FREQUENT tokens
-    sets = materialize(shingle_sets(docs, often, k, percent), "sets")
+    often = spark.sparkContext.broadcast((token[order], order))  # at most MOST_FREQUENT tokens
+    sets = materialize(shingle_sets(docs, often, k, percent), "sets", scratch)
     distinct = sets.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap"))
-    distinct = materialize(distinct, "distinct")
-    links = _set_links(docs, distinct, often, k, percent)
+    distinct = materialize(distinct, "distinct", scratch)
+    links = _set_links(docs, distinct, often, k, percent, scratch)
     # An id of several texts joins their sets.
     several = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select("doc_id")
     own = sets.select("doc_id", "print").where("n_shingles > 0").join(several, "doc_id", "left_semi").join(distinct.select("print", F.col("doc_id").alias("b")), "print")
@@ -157,10 +170,11 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     return own
 
 
-def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int) -> DataFrame:
+def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between representatives' doc_ids, enough to give the components."""
     spark = docs.sparkSession
-    bits = bucket_bits(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bucket_bits(spark, size)  # what is dealt is about as large as the texts
     shift = U(64 - bits)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,24 +232,24 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
 
     rows = docs.select("text").mapInArrow(deal, "bucket int, token binary, head binary, size binary, place binary")
     met = rows.groupBy("bucket").applyInArrow(meet, "a long, b long, chained boolean").distinct()
-    met = materialize(met, "met")
+    met = materialize(met, "met", scratch)
     # Groups of several sets are compared as clusters, with all that their group pairs with.
     crowded = distinct.groupBy("head").agg(F.count("*").alias("m")).where("m > 1").select("head")
-    crowded = materialize(crowded, "crowded")
+    crowded = materialize(crowded, "crowded", scratch)
     for end in "ab":
         met = met.join(crowded.select(F.col("head").alias(end), F.lit(True).alias(f"crowded_{end}")), end, "left")
-    met = materialize(met.select("a", "b", (F.col("chained") | F.coalesce("crowded_a", "crowded_b", F.lit(False))).alias("chained")), "met")
-    bound = materialize(_bounded(met.where("not chained").select("a", "b"), distinct, percent), "pairs")
+    met = materialize(met.select("a", "b", (F.col("chained") | F.coalesce("crowded_a", "crowded_b", F.lit(False))).alias("chained")), "met", scratch)
+    bound = materialize(_bounded(met.where("not chained").select("a", "b"), distinct, percent), "pairs", scratch)
     clusters = connected_components(met.where("chained")).select(F.col("node").alias("head"), F.col("component").alias("cluster"))
     clusters = clusters.unionByName(crowded.join(clusters, "head", "left_anti").select("head", F.col("head").alias("cluster")))
-    clusters = materialize(clusters, "clusters")
+    clusters = materialize(clusters, "clusters", scratch)
     paired = bound.select(F.col("a").alias("head")).union(bound.select(F.col("b").alias("head"))).distinct().withColumn("paired", F.lit(True))
     chosen = distinct.join(paired, "head", "left").join(clusters, "head", "left").where("paired or cluster is not null").select("doc_id", "print", "head", "n", "cluster", "paired", "bitmap")
-    chosen = _finer(materialize(chosen, "members"), percent).where("paired or cluster is not null").drop("paired")
-    chosen = materialize(_blocks(materialize(chosen, "finer"), percent), "chosen")
-    whole = materialize(_whole_sets(docs, chosen, k), "whole")
+    chosen = _finer(materialize(chosen, "members", scratch), percent, scratch).where("paired or cluster is not null").drop("paired")
+    chosen = materialize(_blocks(materialize(chosen, "finer", scratch), percent), "chosen", scratch)
+    whole = materialize(_whole_sets(docs, chosen, k), "whole", scratch)
     direct = _verified(bound, whole, percent)
-    return direct.unionByName(_cluster_links(whole, percent))
+    return direct.unionByName(_cluster_links(whole, percent, scratch))
 
 
 def _size_class(percent: int) -> Column:
@@ -243,40 +257,35 @@ def _size_class(percent: int) -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
 
 
-def _block_pairs(packed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of blocks of a cluster whose sets' sizes allow links: members ``ma`` and ``mb``. A block goes to two keys at most."""
-    left = packed.select("cluster", F.col("class").alias("ca"), F.col("block").alias("ba"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("members").alias("ma"), F.col("class").alias("at"))
-    right = packed.select("cluster", F.col("class").alias("cb"), F.col("block").alias("bb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("members").alias("mb"), F.explode(F.array("class", F.col("class") - 1)).alias("at"))
-    joined = left.join(right, ["cluster", "at"])
-    return joined.where(f"(ca < cb or ba <= bb) and {percent} * la <= 100 * hb and {percent} * lb <= 100 * ha").select("ma", "mb")
-
-
 def _large(members: DataFrame) -> DataFrame:
     """Clusters of more than BLOCK_TOKENS tokens or BLOCK_ROWS sets."""
     totals = members.where("cluster is not null").groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
     return totals.where((F.col("total") > BLOCK_TOKENS) | (F.col("m") > BLOCK_ROWS)).select("cluster")
 
 
-def _finer(members: DataFrame, percent: int) -> DataFrame:
+def _finer(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``members`` (without bitmap) with large clusters divided into the components that the bitmaps' bound allows; what is alone in one goes."""
-    large = materialize(_large(members), "large")
+    large = materialize(_large(members), "large", scratch)
     inside = members.join(large, "cluster", "left_semi").withColumn("class", _size_class(percent))
     sizes = inside.groupBy("cluster", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
     inside = inside.join(sizes, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts"))
     packed = inside.groupBy("cluster", "class", "block").agg(F.collect_list(F.struct("doc_id", "n", "bitmap")).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    pairs = _block_pairs(materialize(packed, "bitmaps"), percent)
+    pairs = units(materialize(packed, "bitmaps", scratch), ["cluster"], ["members"], percent)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_bitmap_links(one.as_py(), two.as_py(), percent) for one, two in zip(batch.column(0), batch.column(1))]
-            a, b = (np.concatenate([o[i] for o in out] + [np.zeros(0, np.int64)]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def compare(table: pa.Table) -> pa.Table:
+        blocks = [x.as_py() for x in table["members"]]
+        return _pairs_table([_bitmap_links(blocks[i], blocks[j], percent) for i, j in block_pairs(table["side"].to_pylist())])
 
-    parts = connected_components(pairs.mapInArrow(compare, "a long, b long")).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    parts = connected_components(pairs.groupBy("unit").applyInArrow(compare, "a long, b long")).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
     split = members.join(large.withColumn("_large", F.lit(True)), "cluster", "left").join(parts, "doc_id", "left").drop("bitmap")
     return split.withColumn("cluster", F.when(F.col("_large"), F.col("part")).otherwise(F.col("cluster"))).drop("_large", "part")
 
 
+def _pairs_table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    a, b = (np.concatenate([f[i] for f in found] + [np.zeros(0, np.int64)]) for i in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _bitmap_links(one: list[dict], two: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the pairs that the parity bitmaps' bound allows, as ids."""
     width = min(len(m["bitmap"]) for m in one + two) // 8
@@ -330,9 +339,9 @@ def _bounded(pairs: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """``chosen`` with ``tokens``, the whole set, of the chosen representatives. A Bloom filter of fixed size keeps most other texts from being split again."""
+    """``chosen`` with ``tokens``, the whole set, of the chosen representatives. A bit set, sixteen bits a representative up to a bound, keeps most other texts from being split again."""
     spark = docs.sparkSession
-    size = 1 << FILTER_BITS
+    size = 1 << min(MOST_FILTER, max(LEAST_FILTER, math.ceil(math.log2(16 * chosen.count() + 1))))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
@@ -348,7 +357,7 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         return pa.table({"slice": table["slice"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
 
     bits = np.zeros((256, size >> 11), np.uint8)
-    for row in chosen.select("doc_id").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():  # 2**FILTER_BITS bits in all
+    for row in chosen.select("doc_id").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():  # ``size`` bits in all
         bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     seen = spark.sparkContext.broadcast(bits.reshape(-1))
 
@@ -386,54 +395,58 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("ida", "idb", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _cluster_links(whole: DataFrame, percent: int) -> DataFrame:
+def _cluster_links(whole: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) as doc_ids: a spanning forest of the links inside each cluster; large ones are compared block by block."""
     inside = whole.where("cluster is not null")
     member = F.collect_list(F.struct("doc_id", "tokens")).alias("members")
-    small = inside.where("class is null").groupBy("cluster").agg(member).select(F.col("members").alias("ma"), F.lit(None).cast("array<struct<doc_id:bigint,tokens:binary>>").alias("mb"))
+    small = inside.where("class is null").groupBy("cluster").agg(member).select("members")
     packed = inside.where("class is not null").groupBy("cluster", "class", "block").agg(member, F.min("n").alias("low"), F.max("n").alias("high"))
-    packed = materialize(packed, "blocks")
-    pairs = _block_pairs(packed, percent)
-
-    def members(value) -> tuple[np.ndarray, list[np.ndarray]]:
-        return np.array([m["doc_id"] for m in value or ()], np.int64), [np.frombuffer(m["tokens"], np.uint64) for m in value or ()]
+    pairs = units(materialize(packed, "blocks", scratch), ["cluster"], ["members"], percent)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (batch.column(batch.schema.get_field_index(c)) for c in ("ma", "mb"))
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                ids_a, a = members(one[i].as_py())
-                ids_b, b = members(two[i].as_py()) if two[i].is_valid else (ids_a, a)
-                ids = np.concatenate([ids_a, ids_b])
-                sizes = np.array([len(x) for x in a + b])
-                tokens = np.concatenate(a + b)
-                owner = np.repeat(np.arange(len(ids)), sizes)
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
-                cuts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-                runs = np.diff(np.r_[cuts, len(tokens)])
-                shared = np.repeat(runs > 1, runs)
-                column = np.repeat(np.cumsum(runs > 1) - 1, runs)[shared]
-                common = np.zeros((len(a), len(b)), np.float32)
-                owner = owner[shared]
-                width = max(64, DENSE // max(len(ids), 1))
-                for at in range(0, int((runs > 1).sum()), width):
-                    part = (column >= at) & (column < at + width)
-                    dense = np.zeros((len(ids), width), np.float32)
-                    dense[owner[part], column[part] - at] = 1
-                    common += dense[: len(a)] @ dense[len(a) :].T
-                union = sizes[: len(a), None] + sizes[None, len(a) :] - common
-                x, y = np.nonzero(100 * common >= percent * union)
-                nodes, index = np.unique(ids, return_inverse=True)
-                root = forest(len(nodes), index[x], index[len(a) + y])
-                far = np.flatnonzero(root != np.arange(len(nodes)))
-                out_a.append(nodes[root[far]])
-                out_b.append(nodes[far])
-            a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return small.unionByName(pairs).mapInArrow(compare, "a long, b long")
+            blocks = [_unpacked(x.as_py()) for x in batch.column(0)]
+            yield from _pairs_table([_token_links(x, x, percent) for x in blocks]).to_batches()
+
+    def compare(table: pa.Table) -> pa.Table:
+        blocks = [_unpacked(x.as_py()) for x in table["members"]]
+        return _pairs_table([_token_links(blocks[i], blocks[j], percent) for i, j in block_pairs(table["side"].to_pylist())])
+
+    schema = "a long, b long"
+    return small.mapInArrow(alone, schema).unionByName(pairs.groupBy("unit").applyInArrow(compare, schema))
+
+
+def _unpacked(members: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.array([m["doc_id"] for m in members], np.int64), [np.frombuffer(m["tokens"], np.uint64) for m in members]
+
+
+def _token_links(one: tuple[np.ndarray, list[np.ndarray]], two: tuple[np.ndarray, list[np.ndarray]], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs of two blocks that reach the threshold, as ids; overlaps by products of 0-1 matrices."""
+    (ids_a, a), (ids_b, b) = one, two
+    ids = np.concatenate([ids_a, ids_b])
+    sizes = np.array([len(x) for x in a + b])
+    tokens = np.concatenate(a + b)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    cuts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    runs = np.diff(np.r_[cuts, len(tokens)])
+    shared = np.repeat(runs > 1, runs)
+    column = np.repeat(np.cumsum(runs > 1) - 1, runs)[shared]
+    common = np.zeros((len(a), len(b)), np.float32)
+    owner = owner[shared]
+    width = max(64, DENSE // max(len(ids), 1))
+    for at in range(0, int((runs > 1).sum()), width):
+        x, y = np.searchsorted(column, (at, at + width))
+        dense = np.zeros((len(ids), width), np.float32)
+        dense[owner[x:y], column[x:y] - at] = 1
+        common += dense[: len(a)] @ dense[len(a) :].T
+    union = sizes[: len(a), None] + sizes[None, len(a) :] - common
+    x, y = np.nonzero(100 * common >= percent * union)
+    nodes, index = np.unique(ids, return_inverse=True)
+    root = forest(len(nodes), index[x], index[len(a) + y])
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[far]], nodes[far]
 
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -39,10 +39,13 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """log2 of the number of hash buckets: at least four a shuffle partition, so that buckets even out over tasks."""
+BUCKET_BYTES = 8 << 20
+
+
+def bucket_bits(spark: SparkSession, size: int) -> int:
+    """log2 of the number of hash buckets for ``size`` bytes: about BUCKET_BYTES each, and at least four a shuffle partition, so that buckets even out over tasks."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(5, min(16, math.ceil(math.log2(4 * parts))))
+    return max(5, min(26, math.ceil(math.log2(max(4 * parts, size / BUCKET_BYTES)))))
 
 
 def hashed_sample(df: DataFrame, key: Column, limit: int, rows: int | None = None) -> DataFrame:
