@@ -26,33 +26,25 @@ def ellipse(a: Column, b: Column, d: Column, deviations: float = 2.0) -> list[Co
     return [(2 * deviations * F.sqrt(big)).alias("width"), (2 * deviations * F.sqrt(F.greatest(small, F.lit(0.0)))).alias("height"), angle.alias("angle")]
 
 
-def turn(normal: np.ndarray) -> np.ndarray:
-    """The rotation that takes the z axis to the unit vector ``normal``, about their common perpendicular."""
-    axis = np.array([-normal[1], normal[0], 0.0])
-    s, c = float(np.hypot(*axis[:2])), float(normal[2])
-    if s == 0:
-        return np.eye(3) if c > 0 else np.diag([1.0, -1.0, -1.0])
-    u = axis / s
-    cross = np.array([[0, -u[2], u[1]], [u[2], 0, -u[0]], [-u[1], u[0], 0]])
-    return np.eye(3) + s * cross + (1 - c) * cross @ cross
-
-
 def ellipse_3d(covariance: np.ndarray, deviations: float = 2.0) -> tuple[float, float, float, np.ndarray]:
-    """width, height, angle in its plane (degrees, 0 to 180) and upward unit normal of the ellipse of the two largest axes."""
+    """width, height, angle in its plane (degrees, 0 to 180) and upward unit normal of the ellipse of the two largest axes.
+
+    The plane's own axes are what the x and y axes become when the z axis is turned
+    into the normal the short way.
+    """
     values, vectors = np.linalg.eigh(covariance)
     width, height = 2 * deviations * np.sqrt(np.maximum(values[::-1][:2], 0))
     normal, long = vectors[:, 0], vectors[:, 2]
-    normal = normal if normal[2] > 0 else -normal
-    x = turn(normal) @ np.array([1.0, 0, 0])
-    return float(width), float(height), float(np.degrees(np.arccos(np.clip(long @ x, -1, 1)))), normal
+    normal = normal if normal[2] >= 0 else -normal
+    right, ahead = plane_axes(normal)
+    return float(width), float(height), float(np.degrees(np.arctan2(long @ ahead, long @ right)) % 180), normal
 
 
-def outline_3d(width: float, height: float, angle: float, normal: np.ndarray, centre: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Points on the ellipse in space."""
-    t, a = np.linspace(0, 2 * np.pi, steps), np.radians(angle)
-    x, y = width / 2 * np.cos(t), height / 2 * np.sin(t)
-    flat = np.stack([x * np.cos(a) - y * np.sin(a), x * np.sin(a) + y * np.cos(a), np.zeros(steps)])
-    return (turn(normal) @ flat).T + centre
+def plane_axes(normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the x and y axes go when the z axis is turned into an upward unit normal."""
+    a, b, c = (float(x) for x in normal)
+    k = 1 / (1 + c)
+    return np.array([1 - a * a * k, -a * b * k, -a]), np.array([-a * b * k, 1 - b * b * k, -b])
 
 
 def ellipse_3d_of(covariance: Column | str) -> Column:

@@ -102,6 +102,13 @@ def censor(edges: DataFrame, radius: float) -> DataFrame:
     return edges.where((F.col("d") <= radius) & (F.col("d") > 0))
 
 
+def systematic_sample(points: DataFrame, step: int, first: int = 0) -> DataFrame:
+    """Every ``step``-th id, from ``first`` on."""
+    if step < 1:
+        raise InvalidInput("the step must be 1 at least")
+    return points.where(F.pmod(F.col("id") - first, F.lit(step)) == 0)
+
+
 def rows_of(matrix: DataFrame, sample: DataFrame, row: str = "i") -> DataFrame:
     """Rows of a sample of ids."""
     return matrix.join(sample.select(F.col("id").alias(row)), row, "left_semi").select(matrix.columns)

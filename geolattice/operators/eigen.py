@@ -1,30 +1,33 @@
-"""Eigenpairs of symmetric long-form matrices.
+"""Eigenpairs of long-form matrices, symmetric ones above all.
 
 Small problems are solved densely on the driver. Larger ones iterate on a block
 of k vectors: up to LOCAL_ENTRIES entries the driver multiplies by itself; beyond,
 each product is one job over the cached matrix (the block, n x k numbers, is the
-only thing sent around). The k x k Rayleigh-Ritz problems are the driver's. Signs are fixed: the entry of largest
-size of each vector is positive.
+only thing sent around). The k x k Rayleigh-Ritz problems are the driver's. Signs
+are fixed: the entry of largest size of each vector is positive.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checks import is_symmetric
+
 SOLVERS = ("auto", "dense", "arpack", "lobpcg", "amg")
-DENSE_LIMIT = 3_000
+DENSE_LIMIT, DENSE_MOST = 3_000, 20_000
 BLOCK_LIMIT = 100_000_000
 LOCAL_ENTRIES = 2_000_000
 
 
 def choose_solver(solver: str, n: int, vectors: int) -> str:
-    """The solver to run: dense for small problems, else a block iteration. ``amg`` is LOBPCG with a Jacobi preconditioner."""
+    """The solver to run: dense for small problems, else a block iteration. ``amg`` is LOBPCG with a multigrid preconditioner."""
     if solver not in SOLVERS:
         raise ValueError(f"unknown eigen solver {solver!r}; there are {', '.join(SOLVERS)}")
     if solver == "auto":
@@ -44,25 +47,41 @@ class Eigenpairs:
     matrix: np.ndarray
 
 
+def list_array(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as an Arrow column of lists, from its buffer."""
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+
+
+def vector_frame(spark: SparkSession, ids: np.ndarray, rows: np.ndarray) -> DataFrame:
+    """(id, v) of ids and rows of a matrix."""
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "v": list_array(rows)}))
+
+
 class Operator:
-    """Products of a symmetric matrix (i, j, value) over given ids with blocks of vectors."""
+    """Products of a matrix (i, j, value) over given ids with blocks of vectors."""
 
     def __init__(self, matrix: DataFrame, value: str, ids: DataFrame):
         self.spark = matrix.sparkSession
-        self.ids = np.sort(np.asarray(ids.select("id").distinct().toArrow().column(0), np.int64))
-        self.n = len(self.ids)
+        own = ids.select("id").distinct()
+        self.n = own.count()
+        if self.n > BLOCK_LIMIT:
+            raise ValueError(f"a vector of {self.n} numbers is too large for the driver")
+        self.ids = np.sort(np.asarray(own.toArrow().column(0), np.int64))  # n numbers, checked
         self.rows = matrix.select("i", "j", F.col(value).cast("double").alias("x"))
         self._cached: DataFrame | None = None
         self._rows: tuple | None = None
 
     def dense(self) -> np.ndarray:
-        t = self.rows.toArrow()
+        if self.n > DENSE_MOST:
+            raise ValueError(f"a dense matrix of {self.n} rows is too large for the driver")
+        t = self.rows.groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()  # n x n numbers at most
         out = np.zeros((self.n, self.n))
-        np.add.at(out, (np.searchsorted(self.ids, t.column(0)), np.searchsorted(self.ids, t.column(1))), np.asarray(t.column(2)))
+        out[np.searchsorted(self.ids, t.column(0)), np.searchsorted(self.ids, t.column(1))] = np.asarray(t.column(2))
         return out
 
     def diagonal(self) -> np.ndarray:
-        t = self.rows.where("i = j").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        t = self.rows.where("i = j").groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # n numbers
         out = np.zeros(self.n)
         out[np.searchsorted(self.ids, t.column(0))] = np.asarray(t.column(1))
         return out
@@ -71,8 +90,8 @@ class Operator:
         """At least the largest size of an eigenvalue: the largest row sum of sizes."""
         return self.rows.groupBy("i").agg(F.sum(F.abs("x")).alias("s")).agg(F.max("s")).first()[0] or 0.0
 
-    def _local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Row starts, columns and values, of a matrix small enough for the driver."""
+    def local(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Rows, columns and values, by rows, of a matrix small enough for the driver."""
         if self._rows is None:
             own = self.rows.limit(LOCAL_ENTRIES + 1).toArrow()
             self._rows = ()
@@ -83,14 +102,9 @@ class Operator:
         return self._rows or None
 
     def apply(self, block: np.ndarray) -> np.ndarray:
-        local = self._local()
+        local = self.local()
         if local is not None:
-            i, j, x = local
-            out = np.zeros_like(block)
-            if len(i):
-                cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-                out[i[cuts]] = np.add.reduceat(x[:, None] * block[j], cuts, axis=0)
-            return out
+            return _times(local, block)
         if self._cached is None:
             parts = max(self.spark.sparkContext.defaultParallelism, 1)
             self._cached = self.rows.repartitionByRange(parts, "i").persist()
@@ -103,7 +117,7 @@ class Operator:
                 rows, index = np.unique(i, return_inverse=True)
                 part = np.zeros((len(rows), x.shape[1]))
                 np.add.at(part, index, np.asarray(batch.column(2))[:, None] * x[j])
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(part.tolist(), pa.list_(pa.float64()))], ["row", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), list_array(part)], ["row", "y"])
 
         t = self._cached.mapInArrow(run, "row long, y array<double>").toArrow()
         out = np.zeros_like(block)
@@ -118,8 +132,79 @@ class Operator:
             self._cached = None
 
     def frame(self, vectors: np.ndarray) -> DataFrame:
-        table = pa.table({"id": pa.array(self.ids), "v": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
-        return self.spark.createDataFrame(table)
+        return vector_frame(self.spark, self.ids, vectors)
+
+
+def _times(matrix: tuple[np.ndarray, np.ndarray, np.ndarray], block: np.ndarray) -> np.ndarray:
+    """A sparse matrix, by rows, times a block."""
+    i, j, x = matrix
+    out = np.zeros_like(block)
+    if len(i):
+        cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        out[i[cuts]] = np.add.reduceat(x[:, None] * block[j], cuts, axis=0)
+    return out
+
+
+class Multigrid:
+    """An approximate inverse of a symmetric positive matrix: one V-cycle over aggregates of strongly connected rows.
+
+    Rows pick their strongest neighbour and join it where the choice is mutual;
+    three rounds make the aggregates of a level. Jacobi steps smooth before and
+    after; the coarsest level is solved.
+    """
+
+    def __init__(self, matrix: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, coarsest: int = 400, damping: float = 0.6):
+        self.damping, self.levels = damping, []
+        while n > coarsest:
+            i, j, x = matrix
+            diagonal = np.bincount(i[i == j], x[i == j], n)
+            group = np.arange(n)
+            small = matrix
+            for _ in range(3):
+                pairs = self._pairs(small, group.max() + 1)
+                group = pairs[group]
+                small = self._merged(small, pairs)
+            if group.max() + 1 > 0.9 * n:
+                break
+            self.levels.append((matrix, np.where(diagonal > 0, diagonal, 1.0), group))
+            matrix, n = small, int(group.max()) + 1
+        if n > DENSE_MOST:
+            raise ValueError("the matrix has too few strong connections for multigrid")
+        dense = np.zeros((n, n))
+        np.add.at(dense, matrix[:2], matrix[2])
+        self.coarse = np.linalg.pinv(dense, hermitian=True)
+
+    @staticmethod
+    def _pairs(matrix: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        """New numbers of rows; two that are each other's strongest share one. Equal weights are told apart by a hash of the edge, so that choices meet."""
+        i, j, x = matrix
+        off = i != j
+        i, j, x = i[off], j[off], np.abs(x[off])
+        edge = (np.minimum(i, j) * n + np.maximum(i, j)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = x * (1 + 1e-3 * (edge >> np.uint64(40)).astype(np.float64) / (1 << 24))
+        order = np.lexsort((j, -x, i))
+        first = order[np.flatnonzero(np.r_[True, i[order][1:] != i[order][:-1]])] if len(i) else order
+        best = np.arange(n)
+        best[i[first]] = j[first]
+        mutual = best[best] == np.arange(n)
+        return np.unique(np.where(mutual, np.minimum(best, np.arange(n)), np.arange(n)), return_inverse=True)[1]
+
+    @staticmethod
+    def _merged(matrix: tuple[np.ndarray, np.ndarray, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = int(group.max()) + 1
+        code, index = np.unique(group[matrix[0]].astype(np.int64) * m + group[matrix[1]], return_inverse=True)
+        return code // m, code % m, np.bincount(index, matrix[2], len(code))
+
+    def __call__(self, r: np.ndarray, level: int = 0) -> np.ndarray:
+        if level == len(self.levels):
+            return self.coarse @ r
+        matrix, diagonal, group = self.levels[level]
+        x = self.damping * r / diagonal[:, None]
+        rest = r - _times(matrix, x)
+        below = np.zeros((int(group.max()) + 1, r.shape[1]))
+        np.add.at(below, group, rest)
+        x += self(below, level + 1)[group]
+        return x + self.damping * (r - _times(matrix, x)) / diagonal[:, None]
 
 
 def fix_signs(v: np.ndarray) -> np.ndarray:
@@ -208,15 +293,72 @@ def lanczos(apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, k: int
     return values[:k], x[:, :k]
 
 
-def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "auto", largest: bool = True, tolerance: float = 1e-8, rounds: int = 300, seed: int = 0) -> Eigenpairs:
-    """The k largest (descending) or smallest (ascending) eigenpairs of a symmetric matrix; ids without entries are rows of zeros."""
+def arnoldi(apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, k: int, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k eigenpairs of largest real part of a matrix that need not be symmetric, by restarted block Krylov spaces; real parts."""
+    x, _ = np.linalg.qr(start)
+    for _ in range(max(1, rounds // 5)):
+        basis, image = [x], [apply(x)]
+        for _ in range(4):
+            have, block = np.concatenate(basis, 1), image[-1]
+            for _ in range(2):
+                block = block - have @ (have.T @ block)
+            q, t = np.linalg.qr(block)
+            q = q[:, np.abs(np.diag(t)) > 1e-10]
+            if not q.shape[1]:
+                break
+            basis.append(q)
+            image.append(apply(q))
+        b, a = np.concatenate(basis, 1), np.concatenate(image, 1)
+        values, small = _real_order(*np.linalg.eig(b.T @ a))
+        vectors, images = b @ small[:, :k], a @ small[:, :k]
+        if np.sqrt((np.abs(images - vectors * values[:k]) ** 2).sum(0)).max() <= tolerance * max(1.0, np.abs(values[:k]).max()):
+            break
+        wide = small[:, : x.shape[1]]
+        x, _ = np.linalg.qr(b @ np.concatenate([wide.real, wide.imag], 1)[:, : 2 * x.shape[1]])
+        x = x[:, : start.shape[1] * 2]
+    return _real(values[:k], vectors)
+
+
+def _real_order(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenpairs by falling real part."""
+    order = np.argsort(-values.real, kind="stable")
+    return values[order], vectors[:, order]
+
+
+def _real(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Real parts, vectors of length one."""
+    if np.abs(values.imag).max(initial=0) > 1e-9 * max(1.0, np.abs(values).max(initial=0)):
+        warnings.warn("some eigenvalues are complex; real parts are kept", stacklevel=3)
+    v = vectors.real
+    length = np.sqrt((v * v).sum(0))
+    return values.real, v / np.where(length > 0, length, 1)
+
+
+def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "auto", largest: bool = True, tolerance: float = 1e-8, rounds: int = 300, seed: int = 0, symmetric: bool | None = None) -> Eigenpairs:
+    """The k largest (descending) or smallest (ascending) eigenpairs of a matrix; ids without entries are rows of zeros.
+
+    A matrix that is not symmetric (found out unless ``symmetric`` says so) is
+    solved by ``dense`` or ``arpack``, by real parts; the other solvers refuse it.
+    """
     op = Operator(matrix, value, ids)
     k = min(k, op.n)
     name = choose_solver(solver, op.n, k)
+    if symmetric is None:
+        symmetric = is_symmetric(op.rows, "x", 1e-10 * max(1.0, op.bound()))
+    if not symmetric and name not in ("dense", "arpack"):
+        if solver != "auto":
+            raise ValueError(f"{name} needs a symmetric matrix")
+        name = "arpack"
     if name == "dense":
-        values, vectors = np.linalg.eigh(_symmetric(op.dense()))
-        order = np.argsort(-values if largest else values, kind="stable")[:k]
-        values, vectors = values[order], vectors[:, order]
+        full = op.dense()
+        if symmetric:
+            values, vectors = np.linalg.eigh((full + full.T) / 2)
+            values, vectors = values[::-1], vectors[:, ::-1]
+        else:
+            values, vectors = _real(*_real_order(*np.linalg.eig(full)))
+        if not largest:
+            values, vectors = values[::-1], vectors[:, ::-1]
+        values, vectors = values[:k], vectors[:, :k]
     else:
         width = min(op.n, k + 5)
         if op.n * width > BLOCK_LIMIT:
@@ -225,13 +367,9 @@ def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "
         apply = op.apply if largest else (lambda x: shift * x - op.apply(x))
         start = np.random.default_rng(seed).standard_normal((op.n, width))
         if name == "arpack":
-            values, vectors = lanczos(apply, start, k, tolerance, rounds)
+            values, vectors = (lanczos if symmetric else arnoldi)(apply, start, k, tolerance, rounds)
         else:
-            precondition = None
-            if name == "amg":
-                gap = op.bound() + 1e-9 - (op.diagonal() if largest else shift - op.diagonal())
-                precondition = lambda r: r / np.maximum(gap, 1e-9)[:, None]
-            values, vectors = lobpcg(apply, start, k, tolerance, rounds, precondition)
+            values, vectors = lobpcg(apply, start, k, tolerance, rounds, _multigrid(op, largest) if name == "amg" else None)
         if not largest:
             values = shift - values
         op.release()
@@ -239,17 +377,26 @@ def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "
     return Eigenpairs(values, op.frame(vectors), op.ids, vectors)
 
 
-def _symmetric(a: np.ndarray) -> np.ndarray:
-    return (a + a.T) / 2
+def _multigrid(op: Operator, largest: bool) -> Callable[[np.ndarray], np.ndarray]:
+    """A preconditioner for the wanted end of the spectrum: multigrid on bound - A or on A, or its diagonal where the matrix is too large for the driver."""
+    ridge = 1e-3 * op.bound() / max(op.n, 1) + 1e-12
+    local = op.local()
+    shift = op.bound() if largest else 0.0
+    if local is None:
+        warnings.warn("the matrix is too large for multigrid on the driver; its diagonal is used", stacklevel=3)
+        gap = np.maximum(shift - op.diagonal() if largest else op.diagonal(), ridge) + ridge
+        return lambda r: r / gap[:, None]
+    own = np.arange(op.n)
+    i, j, x = np.r_[local[0], own], np.r_[local[1], own], np.r_[-local[2] if largest else local[2], np.full(op.n, shift + ridge)]
+    code, index = np.unique(i.astype(np.int64) * op.n + j, return_inverse=True)
+    return Multigrid((code // op.n, code % op.n, np.bincount(index, x, len(code))), op.n)
 
 
 def null_space(matrix: DataFrame, value: str, ids: DataFrame, k: int, k_skip: int = 1, solver: str = "auto", **parameters) -> tuple[Eigenpairs, float]:
     """The k eigenpairs of smallest eigenvalue after the first ``k_skip``, of a positive semidefinite matrix, and the sum of these eigenvalues."""
-    found = solve(matrix, value, ids, k + k_skip, solver, largest=False, **parameters)
+    found = solve(matrix, value, ids, k + k_skip, solver, largest=False, symmetric=True, **parameters)
     values, vectors = found.values[k_skip:], found.matrix[:, k_skip:]
-    spark = matrix.sparkSession
-    table = pa.table({"id": pa.array(found.ids), "v": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
-    return Eigenpairs(values, spark.createDataFrame(table), found.ids, vectors), float(values.sum())
+    return Eigenpairs(values, vector_frame(matrix.sparkSession, found.ids, vectors), found.ids, vectors), float(values.sum())
 
 
 def residuals(matrix: DataFrame, value: str, pairs: Eigenpairs) -> np.ndarray:

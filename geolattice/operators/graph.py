@@ -42,12 +42,11 @@ def connected_components(edges: DataFrame, ids: DataFrame | None = None) -> Data
     renamed, until no edge joins two names; the rounds grow with the logarithm
     of the largest component.
     """
-    if ids is None:
-        nodes = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
-    else:
-        nodes = ids.select("id").union(edges.select(F.explode(F.array("i", "j")).alias("id"))).distinct()
     with Scratch(edges.sparkSession, "components") as scratch:
-        links = scratch.cut(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
+        every = scratch.cut(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())  # the edges are made once
+        ends = every.select(F.explode(F.array("a", "b")).alias("id"))
+        nodes = (ends if ids is None else ids.select("id").union(ends)).distinct()
+        links = every.where("a < b")
         names = scratch.cut(nodes.select("id", F.col("id").alias("component")))
         while count := links.count():
             if count <= FINISH:

@@ -110,12 +110,12 @@ def sparse_round_trip(spark, d):
     return storage.load_sparse(spark, path).select("i", "j", r6("d").alias("d"))
 
 
-@query(with_sql(f"SELECT id, {rd('v[1]', 'x1')}, {rd('v[64]', 'x64')} FROM pts", PTS))
+@query(with_sql(f"SELECT id, CAST(k AS INTEGER) AS k, {rd('x', 'x')} FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS k FROM pts)", PTS))
 def dense_round_trip(spark, d):
     """A dense array written in row blocks and read back."""
     path = f"{storage.shared_folder(spark)}/dense-{uuid.uuid4().hex}"
     storage.save_dense(points(spark, d), path, 3)
-    return storage.load_dense(spark, path).select("id", r6(F.col("v")[0]).alias("x1"), r6(F.col("v")[63]).alias("x64"))
+    return storage.load_dense(spark, path).select("id", F.posexplode("v").alias("k", "x")).select("id", "k", r6("x").alias("x"))
 
 
 # --- checks and projections --------------------------------------------------------------------------------------------
@@ -192,11 +192,28 @@ def grid_join(spark, d):
     return neighbors.adjacency(part_points(spark, d), "grid", radius=0.03).select("i", "j", r6("d").alias("d"))
 
 
-@query(with_sql("SELECT count(*) AS pairs, true AS found FROM edges", PTS, edges_sql(NEAR)))
+@query(with_sql("SELECT count(*) AS pairs, true AS found, count(*) AS right_pairs FROM edges", PTS, edges_sql(NEAR)))
 def lsh_join(spark, d):
-    """The approximate search, measured: pairs of the exact join, and whether most of them are found."""
+    """The approximate search, measured: pairs of the exact join, whether most are found, and how many there are with what was missed (fewer if a pair is wrong)."""
     found = neighbors.adjacency(points(spark, d), "lsh", radius=NEAR, tables=8)
-    return neighbors.recall(found, edges(spark, d, NEAR)).select("pairs", (F.col("recall") > 0.9).alias("found"))
+    exact = edges(spark, d, NEAR)
+    wrong = found.join(exact, ["i", "j"], "left_anti").count()
+    return neighbors.recall(found, exact).select("pairs", (F.col("recall") > 0.9).alias("found"), (F.col("pairs") - wrong).alias("right_pairs"))
+
+
+@query(with_sql(f"SELECT i, j, {rd('d', 'd')} FROM edges", PTS, edges_sql(NEAR)))
+def cell_index_radius(spark, d):
+    """An index of cells, saved, loaded and searched by radius in all of its cells, which is exact."""
+    path = f"{storage.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    neighbors.CellIndex.build(points(spark, d), 12).save(path)
+    return neighbors.CellIndex.load(spark, path).search(radius=NEAR, probes=12).select("i", "j", r6("d").alias("d"))
+
+
+@query(with_sql(f"SELECT i, j, {rd('d', 'd')} FROM nn", PTS, KNN))
+def cell_index_nearest(spark, d):
+    """Nearest neighbours by the index of cells; with all cells as the search budget it is exact."""
+    found = neighbors.adjacency(points(spark, d), "cells", n_neighbors=10, cells=12, probes=12)
+    return found.select("i", "j", r6("d").alias("d"))
 
 
 SPLIT = "tr AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label <> 7 OR label IS NULL), te AS (SELECT vec_id + 100000 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label = 7), pts AS (SELECT * FROM tr UNION ALL SELECT * FROM te)"
@@ -283,11 +300,10 @@ def centered_paths(spark, d):
     return isomap.centered_paths(graph.shortest_paths(edges(spark, d), p)).select("i", "j", r6("k").alias("k"))
 
 
-@query(f"SELECT {rd('sqrt(sum(CAST(embedding[1] AS DOUBLE) * CAST(embedding[1] AS DOUBLE)))', 'x1')}, {rd('sqrt(sum(CAST(embedding[2] AS DOUBLE) * CAST(embedding[2] AS DOUBLE)))', 'x2')} FROM embeddings")
+@query(with_sql(f"SELECT CAST(k AS INTEGER) AS k, {rd('sqrt(sum(x * x))', 'norm')} FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS k FROM pts) GROUP BY k", PTS))
 def column_norms(spark, d):
     """D8, columns."""
-    p = points(spark, d).select(F.col("v")[0].alias("x1"), F.col("v")[1].alias("x2"))
-    return sparse.column_norms(p, ["x1", "x2"]).select(r6("x1").alias("x1"), r6("x2").alias("x2"))
+    return sparse.column_norms(points(spark, d)).select("k", r6("norm").alias("norm"))
 
 
 @query(with_sql(f"SELECT id, {rd('sqrt(list_dot_product(v, v))', 'length')} FROM pts", PTS))
@@ -324,12 +340,12 @@ _laplacian("symmetricnormalized", with_sql(_TAIL, *_BASE, _SYMN.format("1")))
 _laplacian("symmetricnormalized", with_sql(_TAIL, *_BASE, _SYMN.format("CAST(4 AS DOUBLE) / (CAST(1.25 AS DOUBLE) * CAST(1.25 AS DOUBLE))")), scale=WIDTH)
 
 
-@query(with_sql("SELECT count(*) AS rows, true AS holds FROM lap", *_BASE, renormalized_sql()))
+@query(with_sql(f"SELECT k.i, k.j, {rd('k.w', 's')} FROM k", *_BASE, renormalized_sql()))
 def laplacian_identity(spark, d):
-    """w (L + I) = S, entry by entry."""
+    """w (L + I), from the Laplacian and its weights, gives the twice normalised kernel."""
     out, w = laplacian.laplacian(kernel(spark, d), "geometric")
-    error = F.abs(F.col("w") * (F.col("l") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)) - F.col("s"))
-    return out.join(w, "i").agg(F.count("*").alias("rows"), (F.max(error) < 1e-12).alias("holds"))
+    back = F.col("w") * (F.col("l") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
+    return out.join(w, "i").select("i", "j", r6(back).alias("s"))
 
 
 @query(with_sql(f"SELECT i, {rd('w', 'w')} FROM kw", *_BASE, renormalized_sql()))
@@ -379,71 +395,147 @@ def component_of(spark, d):
     return graph.component_of(edges(spark, d, NEAR), p.agg(F.min("id")).first()[0], p)
 
 
-# --- eigenproblems and embeddings (invariants) --------------------------------------------------------------------------------
-def _pairs(spark, found: eigen.Eigenpairs, error: np.ndarray) -> DataFrame:
-    inner = found.matrix.T @ found.matrix
-    rows = [(k, round(float(v), 5) + 0.0, bool(e < 1e-5), bool(abs(inner[k, k] - 1) < 1e-6)) for k, (v, e) in enumerate(zip(found.values, error))]
-    return spark.createDataFrame(rows, "k int, eigenvalue double, residual_ok boolean, unit boolean")
+# --- eigenproblems and embeddings ---------------------------------------------------------------------------------------------
+# The matrix a a^T + b b^T of two columns of the table has two eigenpairs, which follow from the 2 x 2 Gram matrix of a and b.
+_GRAM = "g AS (SELECT sum(a * a) AS h11, sum(a * b) AS h12, sum(b * b) AS h22 FROM pl)"
+_BIG, _SMALL = ("((h11 + h22) / 2 + sqrt((h11 - h22) * (h11 - h22) / 4 + h12 * h12))", "((h11 + h22) / 2 - sqrt((h11 - h22) * (h11 - h22) / 4 + h12 * h12))")
+_TWO = f"ev AS (SELECT 0 AS k, {_BIG} AS e, h11, h12 FROM g UNION ALL SELECT 1, {_SMALL}, h11, h12 FROM g)"
+_ENTRIES = "en AS (SELECT k, e, id, (a * h12 + b * (e - h11)) AS x FROM ev, pl), un AS (SELECT k, e, id, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM en)"
+_PAIRS_SQL = with_sql(
+    f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, round(x * sign(arg_max(x, abs(x)) OVER (PARTITION BY k)), 5) + 0.0 AS entry FROM un", PLANE, _GRAM, _TWO, _ENTRIES
+)
 
 
-@query()
-def eigen_dense(spark, d):
-    """H1, H5: leading eigenpairs of the symmetric normalised Laplacian, solved densely."""
-    lap, _ = laplacian.laplacian(kernel(spark, d), "symmetricnormalized")
-    found = eigen.solve(lap, "l", points(spark, d), 5, "dense")
-    return _pairs(spark, found, eigen.residuals(lap, "l", found))
+def _product_matrix(spark, d) -> DataFrame:
+    p = points(spark, d).select("id", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    q = p.select(F.col("id").alias("j"), F.col("a").alias("x"), F.col("b").alias("y"))
+    return p.withColumnRenamed("id", "i").join(q).select("i", "j", (F.col("a") * F.col("x") + F.col("b") * F.col("y")).alias("m"))
 
 
-@query()
-def eigen_lobpcg(spark, d):
-    """H4: the same by block iteration."""
-    lap, _ = laplacian.laplacian(kernel(spark, d), "symmetricnormalized")
-    lap = lap.persist()
-    found = eigen.solve(lap, "l", points(spark, d), 5, "lobpcg")
-    return _pairs(spark, found, eigen.residuals(lap, "l", found))
+def _entries(found: eigen.Eigenpairs) -> DataFrame:
+    values = F.array(*[F.lit(float(v)) for v in found.values])
+    out = found.vectors.select("id", F.posexplode("v").alias("k", "x"))
+    return out.select("k", "id", r6(F.get(values, F.col("k"))).alias("eigenvalue"), (F.round("x", 5) + F.lit(0.0)).alias("entry"))
 
 
-@query()
-def eigen_arpack(spark, d):
-    """H2: the same by Krylov spaces."""
-    lap, _ = laplacian.laplacian(kernel(spark, d), "symmetricnormalized")
-    lap = lap.persist()
-    found = eigen.solve(lap, "l", points(spark, d), 5, "arpack")
-    return _pairs(spark, found, eigen.residuals(lap, "l", found))
+def _solved_by(solver: str, rows: str):
+    def run(spark, d):
+        return _entries(eigen.solve(_product_matrix(spark, d), "m", points(spark, d), 2, solver))
 
+    run.__name__, run.__doc__ = f"eigen_{solver}", f"{rows}: both eigenpairs of a matrix of rank two, all entries."
+    query(_PAIRS_SQL)(run)
 
-@query()
+
+_solved_by("dense", "H1, H5")
+_solved_by("lobpcg", "H4")
+_solved_by("arpack", "H2")
+_solved_by("amg", "H3")
+
+
+_SKEW = "sk AS (SELECT k, e, id, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM (SELECT k, e, en.id, x * (2 + a) AS x FROM en JOIN pl USING (id)))"
+
+
+@query(with_sql(f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, round(x * sign(arg_max(x, abs(x)) OVER (PARTITION BY k)), 5) + 0.0 AS entry FROM sk", PLANE, _GRAM, _TWO, _ENTRIES, _SKEW))
+def eigen_nonsymmetric(spark, d):
+    """H2, H5: the same matrix between diagonal ones, D M D^-1, which is not symmetric: eigenvalues stay, vectors become D v."""
+    w = points(spark, d).select("id", (F.col("v")[0] + 2).alias("w"))
+    wi, wj = w.select(F.col("id").alias("i"), F.col("w").alias("wi")), w.select(F.col("id").alias("j"), F.col("w").alias("wj"))
+    skew = _product_matrix(spark, d).join(wi, "i").join(wj, "j").select("i", "j", (F.col("m") * F.col("wi") / F.col("wj")).alias("m"))
+    return _entries(eigen.solve(skew, "m", points(spark, d), 2, "dense", symmetric=False))
+
+
+# Points at even steps on a circle, as many as there are embeddings: every neighbourhood is the same, so that eigenvectors are waves.
+_N = "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)"
+_IDS = "ids AS (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS id)"
+
+
+def _circle(spark, d) -> tuple[DataFrame, int, float]:
+    """Points, their number, and a radius that reaches two steps each way."""
+    n = ship(spark).read.parquet(f"{d}/embeddings.parquet").count()
+    return generators.circle(spark, n), n, 2 * np.sin(2.5 * np.pi / n)
+
+
+def _chord(step: str, n: str = "n") -> str:
+    return f"(2 * sin(pi() * {step} / {n}))"
+
+
+_REACH2 = f"r AS (SELECT n, {_chord('2.5')} AS r FROM n)"
+
+
+def _lags(y: DataFrame, n: int) -> DataFrame:
+    """Inner products of an embedding with itself moved by some ids."""
+    lags = F.array(*[F.lit(k) for k in range(0, 60, 6)])
+    ahead = y.select(F.explode(lags).alias("lag"), F.col("y").alias("z"), F.col("id").alias("own"))
+    ahead = ahead.select(F.pmod(F.col("own") + F.col("lag"), F.lit(n)).alias("id"), F.col("lag").cast("long").alias("lag"), "z")
+    dot = F.aggregate(F.zip_with("y", "z", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return y.join(ahead, "id").groupBy("lag").agg((F.round(F.sum(dot), 5) + F.lit(0.0)).alias("product"))
+
+
+def _lags_sql(total: str) -> str:
+    return with_sql(f"SELECT CAST(lag AS BIGINT) AS lag, round({total}, 5) + 0.0 AS product FROM n, (SELECT unnest(range(0, 60, 6)) AS lag)", _N)
+
+
+@query(with_sql(f"SELECT CAST(k AS INTEGER) AS k, id, round(sqrt(2 / n) * cos(pi() * (k + 1) * (id + 0.5) / n), 5) + 0.0 AS entry, round(1e3 * (2 - 2 * cos(pi() * (k + 1) / n)), 6) + 0.0 AS eigenvalue FROM n, ids, (SELECT unnest(range(3)) AS k)", _N, _IDS))
 def null_space(spark, d):
-    """H7: smallest eigenpairs of the negative Laplacian behind the constant one."""
-    lap, _ = laplacian.laplacian(kernel(spark, d), "unnormalized")
-    negative = lap.select("i", "j", (-F.col("l")).alias("m")).persist()
-    found, _ = eigen.null_space(negative, "m", points(spark, d), 3)
-    return _pairs(spark, found, eigen.residuals(negative, "m", found))
+    """H7: the smallest eigenpairs of a path's Laplacian, behind the constant one."""
+    n = _circle(spark, d)[1]
+    link = spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    both = link.unionByName(link.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    matrix = both.select("i", "j", F.lit(-1.0).alias("m")).unionByName(both.select("i", F.col("i").alias("j"), F.lit(1.0).alias("m")))
+    found, _ = eigen.null_space(matrix, "m", spark.range(n), 3)
+    ends = found.vectors.where("id = 0").select(F.col("v").alias("v0"))
+    each = found.vectors.join(F.broadcast(ends)).select("id", F.posexplode(F.zip_with("v", "v0", lambda x, y: x * F.signum(y))).alias("k", "x"))  # one row: the start of each wave is above zero
+    values = F.array(*[F.lit(float(v) * 1e3) for v in found.values])
+    return each.select("k", "id", (F.round("x", 5) + F.lit(0.0)).alias("entry"), r6(F.get(values, F.col("k"))).alias("eigenvalue"))
 
 
 @query()
 def spectral_embedding(spark, d):
-    """Eigenvalues and norms of the embedding's columns."""
+    """I10, I11, I14 over the embeddings: eigenvalues and norms of the columns. See spectral_circle for a result that SQL knows."""
     model = spectral.SpectralEmbedding(3, geom={"adjacency_radius": RADIUS, "affinity_radius": WIDTH}).fit(points(spark, d))
     y = model.embedding_.select(F.posexplode("y").alias("k", "y")).groupBy("k").agg(r6(F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("length"))
     values = spark.createDataFrame([(k - 1, round(float(v), 5)) for k, v in enumerate(model.eigenvalues_) if k], "k int, eigenvalue double")
     return y.join(values, "k")
 
 
-@query()
+_WAVE = f"wv AS (SELECT n, (1 + 2 * sum(w * cos(2 * pi() * s / n))) / (1 + 2 * sum(w)) AS mu FROM (SELECT n, s, exp(-pow({_chord('s')} / r, 2)) AS w FROM r, (SELECT unnest(range(1, 3)) AS s)) GROUP BY n)"
+
+
+@query(with_sql("SELECT id, round(2 / n, 8) + 0.0 AS square, round(1e3 * (mu - 1), 5) + 0.0 AS eigenvalue FROM wv, ids", _N, _IDS, _REACH2, _WAVE))
+def spectral_circle(spark, d):
+    """On a circle both coordinates are waves of one eigenvalue, and every point is as far from the centre."""
+    p, _, reach = _circle(spark, d)
+    model = spectral.SpectralEmbedding(2, radius=reach).fit(p)
+    value = round(1e3 * float(model.eigenvalues_[1:].mean()), 5) + 0.0
+    square = F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x)
+    return model.embedding_.select("id", (F.round(square, 8) + F.lit(0.0)).alias("square"), F.lit(value).alias("eigenvalue"))
+
+
+@query(with_sql("SELECT id, round(2 * pow(1 - mu, 2) * 1e6, 5) + 0.0 AS square FROM wv, ids", _N, _IDS, _REACH2, _WAVE))
 def diffusion_maps(spark, d):
-    """Diffusion coordinates' spread at time 1."""
-    model = spectral.SpectralEmbedding(2, geom={"adjacency_radius": RADIUS, "affinity_radius": WIDTH}, diffusion_maps=True, diffusion_time=1).fit(points(spark, d))
-    return model.embedding_.select(F.posexplode("y").alias("k", "y")).groupBy("k").agg(F.count("*").alias("n"), F.round(F.stddev_pop("y"), 4).alias("spread"))
+    """Diffusion coordinates at time 1 on a circle."""
+    p, _, reach = _circle(spark, d)
+    model = spectral.SpectralEmbedding(2, radius=reach, diffusion_maps=True, diffusion_time=1).fit(p)
+    square = F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x)
+    return model.embedding_.select("id", (F.round(square * 1e6, 5) + F.lit(0.0)).alias("square"))
 
 
-@query()
+# Every other point of a circle is new: the Laplacian over all reaches two steps, that of the known ones one of theirs.
+_HALF = "hf AS (SELECT floor(n / 2) AS l FROM n), rr AS (SELECT l, 2 * sin(2.5 * pi() / (2 * l)) AS r FROM hf)"
+_PREDICT = """st AS (SELECT l, s, exp(-pow(2 * sin(pi() * s / (2 * l)) / r, 2)) AS w FROM rr, (SELECT unnest(range(1, 3)) AS s)),
+    tr AS (SELECT l, (1 + 2 * sum(w) FILTER (s = 2) * cos(2 * pi() / l)) / (1 + 2 * sum(w) FILTER (s = 2)) - 1 AS e FROM (SELECT l, s, w, l AS m FROM st) GROUP BY l, m),
+    nw AS (SELECT st.l, 2 * sum(w) FILTER (s = 1) / (1 + 2 * sum(w)) * cos(pi() / st.l) AS new_, (1 + 2 * sum(w) FILTER (s = 2) * cos(2 * pi() / st.l)) / (1 + 2 * sum(w)) - 1 AS old FROM st GROUP BY st.l)"""
+
+
+@query(with_sql("SELECT CAST(id AS BIGINT) AS id, round(sqrt(1 / tr.l) * abs(CASE WHEN id < tr.l THEN old ELSE new_ END / e), 5) + 0.0 AS length FROM tr JOIN nw USING (l), LATERAL (SELECT unnest(range(CAST(2 * tr.l AS BIGINT))) AS id)", _N, _HALF, _PREDICT))
 def spectral_predict(spark, d):
-    """New points placed by the training points' eigenvectors."""
-    train, test = train_test(spark, d)
-    model = spectral.SpectralEmbedding(2, geom={"adjacency_radius": RADIUS, "affinity_radius": WIDTH}).fit(train)
-    new, every = model.predict(test)
-    return new.agg(F.count("*").alias("new")).crossJoin(every.agg(F.count("*").alias("every")))
+    """New points between the old ones of a circle, placed by the training points' eigenvectors."""
+    half = _circle(spark, d)[1] // 2
+    every = generators.circle(spark, 2 * half)
+    train, test = (every.where(F.col("id") % 2 == k).select(F.floor(F.col("id") / 2).alias("id"), "v") for k in (0, 1))
+    model = spectral.SpectralEmbedding(2, radius=2 * np.sin(2.5 * np.pi / (2 * half))).fit(train)
+    length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, x: s + x * x))
+    return model.predict(test)[1].select("id", (F.round(length, 5) + F.lit(0.0)).alias("length"))
 
 
 @query(with_sql(f"SELECT a.i AS id, {rd('sum(a.w * p.a) / 2', 'y1')}, {rd('sum(a.w * p.b) / 4', 'y2')} FROM aff a JOIN pl p ON p.id = a.j GROUP BY a.i", PTS, edges_sql(), AFF, PLANE))
@@ -455,46 +547,73 @@ def nystrom(spark, d):
     return y.select("id", r6(F.col("v")[0]).alias("y1"), r6(F.col("v")[1]).alias("y2"))
 
 
+@query(with_sql("SELECT id, round(abs(a - avg(a) OVER ()), 6) + 0.0 AS y, round(sum((a - avg_) * (a - avg_)) OVER (), 4) + 0.0 AS eigenvalue FROM (SELECT *, avg(a) OVER () AS avg_ FROM pl)", PLANE))
+def isomap_line(spark, d):
+    """Points on a line (the first coordinates) come back, up to the sign: paths along a graph of short edges are their distances."""
+    line = points(spark, d).select("id", F.slice("v", 1, 1).alias("v"))
+    model = isomap.Isomap(1, radius=0.15).fit(line)
+    return model.embedding_.select("id", r6(F.abs(F.col("y")[0])).alias("y"), F.lit(round(float(model.eigenvalues_[0]), 4)).alias("eigenvalue"))
+
+
 @query()
 def isomap_embedding(spark, d):
-    """Leading eigenvalues of the centred paths."""
+    """I3, I4 over the embeddings: leading eigenvalues of the centred paths. See isomap_line for a result that SQL knows."""
     model = isomap.Isomap(3, radius=RADIUS).fit(points(spark, d))
     return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(model.eigenvalues_)], "k int, eigenvalue double")
 
 
-@query(with_sql("SELECT i, count(*) AS n, CAST(1 AS DOUBLE) AS total FROM edges WHERE d > 0 GROUP BY i", PTS, edges_sql()))
+# Local fits in the plane of the first two coordinates, over ten nearest neighbours there: all inverses are of 2 x 2 matrices.
+_PLANE_NN = """near AS (SELECT * FROM (SELECT p.id AS i, q.id AS j, q.a - p.a AS a, q.b - p.b AS b,
+    row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), q.id) AS n FROM pl p, pl q) WHERE n <= 10)"""
+# (e I + C C^T)^-1 1 = (1 - C (e I + C^T C)^-1 C^T 1) / e, with e = reg * trace.
+_BARY = """fit AS (SELECT i, sum(a) AS sa, sum(b) AS sb, sum(a * b) AS ab, sum(a * a) + 0.001 * sum(a * a + b * b) AS aa, sum(b * b) + 0.001 * sum(a * a + b * b) AS bb FROM near WHERE i <> j GROUP BY i),
+    raw AS (SELECT near.i, j, 1 - (a * (bb * sa - ab * sb) + b * (aa * sb - ab * sa)) / (aa * bb - ab * ab) AS w FROM near JOIN fit ON fit.i = near.i WHERE near.i <> j),
+    bary AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM raw)"""
+
+
+def _flat(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, d).select("id", F.slice("v", 1, 2).alias("v"))
+    return p, neighbors.adjacency(p, n_neighbors=10)
+
+
+@query(with_sql(f"SELECT i, j, {rd('w', 'w')} FROM bary", PLANE, _PLANE_NN, _BARY))
 def barycenter_weights(spark, d):
-    """Weights of each point; their sum is one."""
-    w = local.barycenter_weights(points(spark, d), edges(spark, d))
-    return w.groupBy("i").agg(F.count("*").alias("n"), r6(F.sum("w")).alias("total"))
+    """The weights that rebuild each point from its neighbours, one by one."""
+    p, e = _flat(spark, d)
+    return local.barycenter_weights(p, e).select("i", "j", r6("w").alias("w"))
 
 
-@query(with_sql("SELECT id AS i, CAST(0 AS DOUBLE) AS total FROM pts", PTS))
+@query(with_sql(f"SELECT x.j AS i, y.j AS j, {rd('sum(x.w * y.w)', 'm')} FROM iw x JOIN iw y ON x.i = y.i GROUP BY x.j, y.j", PLANE, _PLANE_NN, _BARY, "iw AS (SELECT i, j, -w AS w FROM bary UNION ALL SELECT id, id, 1 FROM pl)"))
 def lle_matrix(spark, d):
-    """Rows of (I - W)^T (I - W) sum to zero."""
-    p = points(spark, d)
-    m = local.reconstruction_matrix(local.barycenter_weights(p, edges(spark, d)), p)
-    return m.groupBy("i").agg(r6(F.sum("m")).alias("total"))
+    """(I - W)^T (I - W), entry by entry."""
+    p, e = _flat(spark, d)
+    return local.reconstruction_matrix(local.barycenter_weights(p, e), p).select("i", "j", r6("m").alias("m"))
 
 
-@query()
-def lle_embedding(spark, d):
-    """I16: unit columns, and the error's size."""
-    model = local.LocallyLinearEmbedding(2, radius=RADIUS).fit(points(spark, d))
-    return model.embedding_.select(F.posexplode("y").alias("k", "y")).groupBy("k").agg(F.count("*").alias("n"), r6(F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("length"))
+_MIDDLE = "mid AS (SELECT i, j, a - avg(a) OVER (PARTITION BY i) AS a, b - avg(b) OVER (PARTITION BY i) AS b FROM near)"
+_SPREAD = "cv AS (SELECT i, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, count(*) AS k FROM mid GROUP BY i)"
 
 
-@query(with_sql("SELECT id AS i, CAST(0 AS DOUBLE) AS total FROM pts", PTS))
+@query(with_sql(f"SELECT x.j AS i, y.j AS j, {rd('sum(CASE WHEN x.j = y.j THEN 1 ELSE 0 END - 1 / CAST(k AS DOUBLE) - (x.a * (bb * y.a - ab * y.b) + x.b * (aa * y.b - ab * y.a)) / (aa * bb - ab * ab))', 'm')} FROM mid x JOIN mid y ON x.i = y.i JOIN cv ON cv.i = x.i GROUP BY x.j, y.j", PLANE, _PLANE_NN, _MIDDLE, _SPREAD))
 def ltsa_matrix(spark, d):
-    """I8: rows of the alignment matrix sum to zero."""
-    return local.alignment_matrix(points(spark, d), edges(spark, d), 2).groupBy("i").agg(r6(F.sum("m")).alias("total"))
+    """I8: the alignment matrix with two local directions, entry by entry."""
+    p, e = _flat(spark, d)
+    return local.alignment_matrix(p, e, 2).select("i", "j", r6("m").alias("m"))
 
 
-@query()
+@query(_lags_sql("2 * cos(2 * pi() * lag / n)"))
+def lle_embedding(spark, d):
+    """On a circle with its two next points each weight is a half, and the embedding is a pair of waves."""
+    p, n, _ = _circle(spark, d)
+    model = local.LocallyLinearEmbedding(2, radius=2 * np.sin(1.5 * np.pi / n)).fit(p)
+    return _lags(model.embedding_, n)
+
+
+@query(_lags_sql("cos(2 * pi() * lag / n)"))
 def ltsa_embedding(spark, d):
-    """Unit columns."""
-    model = local.LTSA(2, radius=RADIUS).fit(points(spark, d))
-    return model.embedding_.select(F.posexplode("y").alias("k", "y")).groupBy("k").agg(F.count("*").alias("n"), r6(F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("length"))
+    """One local direction on a circle gives a wave."""
+    p, n, reach = _circle(spark, d)
+    return _lags(local.LTSA(1, radius=reach).fit(p).embedding_, n)
 
 
 # --- Riemannian metric ---------------------------------------------------------------------------------------------------------
@@ -545,78 +664,106 @@ def anisotropy(spark, d):
 
 
 # --- radius and dimension ---------------------------------------------------------------------------------------------------------
-@query()
+# On a circle the direction of the largest spread is the tangent, on which neighbours fall at the sines of their angles.
+_DISTORTION = f"""steps AS (SELECT n, f, s, {_chord('abs(s)')} AS c, sin(2 * pi() * s / n) AS y, {_chord('(f + 0.5)')} AS r FROM n, (SELECT unnest(range(2, 5)) AS f), (SELECT unnest(range(-4, 5)) AS s) WHERE abs(s) <= f),
+    ws AS (SELECT f, r, r / 3 AS h, y, exp(-pow(c / (r / 3), 2)) AS w FROM steps)"""
+
+
+@query(with_sql("SELECT round(r * 1e3, 6) + 0.0 AS radius, round(abs(2 / (any_value(h) * any_value(h)) * sum(w * y * y) / sum(w) - 1), 4) + 0.0 AS distortion, CAST(any_value(n) AS BIGINT) AS used FROM ws, n GROUP BY r", _N, _DISTORTION))
 def radius_search(spark, d):
-    """Distortion by radius over all points, in one job."""
-    p = points(spark, d)
-    out = radius.radius_distortion(p, edges(spark, d), p.select("id"), 2, [1.15, 1.2, 1.25])
-    return out.select(r6("radius").alias("radius"), F.round("distortion", 4).alias("distortion"), "used")
+    """Distortion by radius over all points of a circle, in one job."""
+    p, n, _ = _circle(spark, d)
+    radii = [float(2 * np.sin((f + 0.5) * np.pi / n)) for f in (2, 3, 4)]
+    out = radius.radius_distortion(p, neighbors.adjacency(p, radius=max(radii)), p.select("id"), 1, radii)
+    return out.select(r6(F.col("radius") * 1e3).alias("radius"), (F.round("distortion", 4) + F.lit(0.0)).alias("distortion"), "used")
 
 
-@query()
+_SPREADS = """near AS (SELECT n, s, sin(2 * pi() * s / n) AS t, cos(2 * pi() * s / n) AS c FROM n, (SELECT unnest(range(-2, 3)) AS s)),
+    sv AS (SELECT any_value(n) AS n, sqrt(avg(t * t)) AS s0, sqrt(greatest(avg(c * c) - avg(c) * avg(c), 0)) AS s1 FROM near)"""
+
+
+@query(with_sql("SELECT id, CAST(CASE WHEN s0 - s1 >= s1 THEN 1 ELSE 2 END AS INTEGER) AS dimension FROM sv, ids", _N, _IDS, _SPREADS))
 def local_dimension(spark, d):
-    """Points by local dimension, from the gaps of local singular values."""
-    values = radius.local_singular_values(points(spark, d), edges(spark, d), [RADIUS])
-    return radius.local_dimension(values).groupBy("radius", "dimension").agg(F.count("*").alias("n"))
+    """The dimension at each point of a circle, from the gaps of local singular values."""
+    p, _, reach = _circle(spark, d)
+    return radius.local_dimension(radius.local_singular_values(p, neighbors.adjacency(p, radius=reach), [reach])).select("id", "dimension")
 
 
-@query()
+@query(with_sql("SELECT CAST(place AS INTEGER) AS place, round(1e3 * CASE WHEN place = 0 THEN s0 ELSE s1 END, 5) + 0.0 AS s FROM sv, (SELECT unnest(range(2)) AS place)", _N, _SPREADS))
 def mean_singular_values(spark, d):
-    """The mean singular values by place."""
-    values = radius.local_singular_values(points(spark, d), edges(spark, d), [1.2, RADIUS])
-    return radius.mean_singular_values(values).select(r6("radius").alias("radius"), "place", r6("s").alias("s"))
+    """The mean singular values by place, on a circle."""
+    p, _, reach = _circle(spark, d)
+    values = radius.local_singular_values(p, neighbors.adjacency(p, radius=reach), [reach])
+    return radius.mean_singular_values(values).select("place", (F.round(F.col("s") * 1e3, 5) + F.lit(0.0)).alias("s"))
 
 
 # --- k-means and clustering ----------------------------------------------------------------------------------------------------------
-_CENTRES = "cen AS (SELECT label AS k, [avg(CAST(embedding[1] AS DOUBLE)), avg(CAST(embedding[2] AS DOUBLE))] AS c FROM embeddings WHERE label IS NOT NULL GROUP BY label), lab AS (SELECT p.id, p.a, p.b, (SELECT k FROM cen ORDER BY (p.a - c[1]) * (p.a - c[1]) + (p.b - c[2]) * (p.b - c[2]), k LIMIT 1) AS label FROM pl p)"
+_LONG = "lng AS (SELECT vec_id AS id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS k FROM embeddings)"
+_CENTRES = """cen AS (SELECT label AS c, list(x ORDER BY k) AS v FROM (SELECT label, k, avg(x) AS x FROM lng WHERE label IS NOT NULL GROUP BY label, k) GROUP BY label),
+    lab AS (SELECT id, arg_min(c, struct_pack(d := d, c := c)) AS label FROM (SELECT p.id, c, list_distance(p.v, cen.v) AS d FROM pts p, cen) GROUP BY id)"""
 
 
 def _label_centres(spark, d) -> tuple[DataFrame, list[list[float]]]:
-    p = ship(spark).read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("v"), "label")
-    c = p.where("label is not null").groupBy("label").agg(F.avg(F.col("v")[0]).alias("a"), F.avg(F.col("v")[1]).alias("b")).orderBy("label").collect()  # one row a label
-    return p.select("id", "v"), [[r["a"], r["b"]] for r in c]
+    p = ship(spark).read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    each = p.where("label is not null").select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"))
+    c = each.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("label").collect()  # one row a label
+    return p.select("id", "v"), [[x["x"] for x in r["v"]] for r in c]
 
 
-@query(with_sql("SELECT id, CAST(label AS INTEGER) AS label FROM lab", PLANE, _CENTRES))
+@query(with_sql("SELECT id, CAST(label AS INTEGER) AS label FROM lab", PTS, _LONG, _CENTRES))
 def kmeans_labels(spark, d):
     """The nearest of given centres."""
     p, c = _label_centres(spark, d)
     return kmeans.assign(p, c).select("id", "label")
 
 
-@query(with_sql(f"SELECT CAST(label AS INTEGER) AS label, {rd('avg(a)', 'x')}, {rd('avg(b)', 'y')} FROM lab GROUP BY label", PLANE, _CENTRES))
+@query(with_sql(f"SELECT CAST(lab.label AS INTEGER) AS label, CAST(k AS INTEGER) AS k, {rd('avg(x)', 'x')} FROM lab JOIN lng ON lng.id = lab.id GROUP BY lab.label, k", PTS, _LONG, _CENTRES))
 def kmeans_step(spark, d):
     """One pass from given centres."""
     p, c = _label_centres(spark, d)
-    out = kmeans.centroids(kmeans.assign(p, c), 2)
-    return out.select("label", r6(F.col("c")[0]).alias("x"), r6(F.col("c")[1]).alias("y"))
+    out = kmeans.centroids(kmeans.assign(p, c), len(c[0]))
+    return out.select("label", F.posexplode("c").alias("k", "x")).select("label", "k", r6("x").alias("x"))
 
 
-@query()
+_SAME = "SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings WHERE label IS NOT NULL"
+
+
+def _labelled(spark, d) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/embeddings.parquet").where("label is not null").select(F.col("vec_id").alias("id"), "label")
+
+
+def _first_of_cluster(labels: DataFrame) -> DataFrame:
+    first = labels.groupBy("label").agg(F.min("id").alias("first"))
+    return labels.join(first, "label").select("id", "first")
+
+
+@query(_SAME)
 def kmeans_clusters(spark, d):
-    """Whole k-means from orthogonal centres."""
-    return kmeans.KMeans(4, max_iter=20).fit(plane(spark, d).withColumnRenamed("y", "v")).labels_.groupBy("label").agg(F.count("*").alias("n"))
+    """Whole k-means, to convergence, from orthogonal centres; points are unit vectors of their labels."""
+    p = _labelled(spark, d)
+    names = [r["label"] for r in p.select("label").distinct().orderBy("label").collect()]  # ten labels
+    v = F.array(*[F.when(F.col("label") == x, 1.0).otherwise(0.0) for x in names])
+    return _first_of_cluster(kmeans.KMeans(len(names)).fit(p.select("id", v.alias("v"))).labels_)
 
 
-_FIRST = "c0 AS (SELECT id, a, b FROM pl ORDER BY id LIMIT 1)"
+_FIRST = "c0 AS (SELECT id, v FROM pts ORDER BY id LIMIT 1)"
 
 
-@query(with_sql(f"SELECT id, {rd('a', 'x')}, {rd('b', 'y')} FROM (SELECT p.* FROM pl p, c0 ORDER BY abs((p.a * c0.a + p.b * c0.b) / (sqrt(p.a * p.a + p.b * p.b) * sqrt(c0.a * c0.a + c0.b * c0.b))), p.id LIMIT 1)", PLANE, _FIRST))
+@query(with_sql(f"SELECT id, {rd('list_sum(v)', 'total')} FROM (SELECT p.* FROM pts p, c0 ORDER BY abs(list_dot_product(p.v, c0.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(c0.v, c0.v)))), p.id LIMIT 1)", PTS, _FIRST))
 def orthogonal_centre(spark, d):
     """The second starting centre."""
-    p = plane(spark, d).withColumnRenamed("y", "v")
+    p = points(spark, d)
     c = kmeans.orthogonal_centres(p, 2)[1]
-    return p.where((F.col("v")[0] == c[0]) & (F.col("v")[1] == c[1])).select("id", r6(F.col("v")[0]).alias("x"), r6(F.col("v")[1]).alias("y"))
+    return p.where(F.col("v") == F.array(*[F.lit(x) for x in c])).select("id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 
-@query()
+@query(_SAME)
 def spectral_clustering(spark, d):
-    """Clusters of three separate clouds; purity is one."""
-    cloud = generators.blobs(ship(spark), 150, 3, 3, spread=0.5, seed=4)
-    model = kmeans.SpectralClustering(3, geom={"adjacency_radius": 60.0, "affinity_radius": 3.0}).fit(cloud.select("id", "v"), "data")
-    both = model.labels_.withColumnRenamed("label", "cluster").join(cloud.select("id", "label"), "id")
-    most = both.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max("count").alias("n"), F.sum("count").alias("all"))
-    return most.agg(F.count("*").alias("clusters"), (F.sum("n") == F.sum("all")).alias("pure"))
+    """Clusters of a graph of all embeddings whose edges are strong within labels and weak across."""
+    p = _labelled(spark, d)
+    q = p.select(F.col("id").alias("j"), F.col("label").alias("other"))
+    graph = p.withColumnRenamed("id", "i").join(q).select("i", "j", F.when(F.col("label") == F.col("other"), 1.0).otherwise(0.01).alias("w"))
+    return _first_of_cluster(kmeans.SpectralClustering(p.select("label").distinct().count()).fit(graph).labels_)
 
 
 # --- relaxation -----------------------------------------------------------------------------------------------------------------------
@@ -628,12 +775,57 @@ def relaxation_loss(spark, d):
     return spark.createDataFrame([(round(model.loss(), 5),)], "loss double")
 
 
-@query()
+_PULL = f"""dv AS (SELECT id, h12, h22, CASE WHEN abs({_EIG.format('+')} - 1) > abs({_EIG.format('-')} - 1) THEN {_EIG.format('+')} ELSE {_EIG.format('-')} END AS e FROM h),
+    dir AS (SELECT id, e - 1 AS dev, (e - h22) / sqrt((e - h22) * (e - h22) + h12 * h12) AS v1, h12 / sqrt((e - h22) * (e - h22) + h12 * h12) AS v2 FROM dv),
+    push AS (SELECT l.i, l.j, l.l * 2 * dev / (SELECT count(*) FROM pl) * ((q.a - p.a) * v1 + (q.b - p.b) * v2) AS f, v1, v2 FROM lap l JOIN dir ON dir.id = l.i JOIN pl p ON p.id = l.i JOIN pl q ON q.id = l.j),
+    gr AS (SELECT id, sum(f * v1) AS g1, sum(f * v2) AS g2 FROM (SELECT j AS id, f, v1, v2 FROM push UNION ALL SELECT i, -f, v1, v2 FROM push) GROUP BY id)"""
+
+
+@query(with_sql("SELECT id, round(g1 * 1e3, 4) + 0.0 AS g_1, round(g2 * 1e3, 4) + 0.0 AS g_2 FROM gr", *_H, _PULL))
+def relaxation_gradient(spark, d):
+    """The gradient of the squared distortion at every point."""
+    lap, _ = laplacian.laplacian(kernel(spark, d), "geometric")
+    model = relaxation.RiemannianRelaxation(lap, plane(spark, d), 2)
+    g = spark.createDataFrame([(int(i), *(float(x) for x in row)) for i, row in zip(model.ids, model.compute_gradient())], "id long, g1 double, g2 double")
+    return g.select("id", *[(F.round(F.col(c) * 1e3, 4) + F.lit(0.0)).alias(f"g_{c[1]}") for c in ("g1", "g2")])
+
+
+_MOVED = "mv AS (SELECT pl.id, a - avg(a) OVER () - 2 * g1 AS a, b - avg(b) OVER () - 2 * g2 AS b FROM pl JOIN gr USING (id))"
+_AGAIN = DUAL.replace("h AS", "h2 AS").replace("JOIN pl", "JOIN mv")
+_LOSS = f"avg(greatest(abs({_EIG.format('+')} - 1), abs({_EIG.format('-')} - 1)))"
+
+
+@query(with_sql(f"SELECT 0 AS iter, round({_LOSS}, 5) + 0.0 AS loss, CAST(2 AS DOUBLE) AS eta FROM h UNION ALL SELECT 1, round({_LOSS}, 5) + 0.0, NULL FROM h2", *_H, _PULL, _MOVED, _AGAIN))
 def relaxation_run(spark, d):
-    """Three iterations with line search; the loss never rises."""
+    """One iteration with a fixed step of 2, without line search; losses before and after."""
+    lap, _ = laplacian.laplacian(kernel(spark, d), "geometric")
+    model = relaxation.RiemannianRelaxation(lap, plane(spark, d), 2, niter=1, linesearch=False, eta=2.0).relax()
+    return model.trace.frame(spark).select("iter", (F.round("loss", 5) + F.lit(0.0)).alias("loss"), "eta")
+
+
+_LINE = f"""ep AS (SELECT id, {_EIG.format('+')} AS e1, {_EIG.format('-')} AS e2, h12, h22 FROM h),
+    ed AS (SELECT *, (e1 - 1) / 1.1 AS x1, e2 / 0.1 AS x2 FROM ep)"""
+
+
+@query(with_sql("SELECT round(avg(greatest(abs(x1), abs(x2))), 5) + 0.0 AS loss FROM ed", *_H, _LINE))
+def relaxation_epsilon(spark, d):
+    """K6: the loss of a plane around its own leading directions, for one intrinsic dimension."""
+    lap, _ = laplacian.laplacian(kernel(spark, d), "geometric")
+    return spark.createDataFrame([(round(relaxation.RiemannianRelaxation(lap, plane(spark, d), 1).loss(), 5),)], "loss double")
+
+
+@query(with_sql(f"SELECT 0 AS iter, round({_LOSS}, 5) + 0.0 AS loss FROM h", *_H))
+def relaxation_variants(spark, d):
+    """Projected relaxation and momentum start from the same loss and lower it (the query fails if they don't)."""
     lap, _ = laplacian.laplacian(kernel(spark, d), "geometric")
-    t = relaxation.RiemannianRelaxation(lap, plane(spark, d), 2, niter=3).relax().trace
-    return spark.createDataFrame([(len(t.loss), all(b <= a for a, b, r in zip(t.loss, t.loss[1:], t.rose) if not r))], "losses int, falling boolean")
+    lap = lap.persist()
+    starts = set()
+    for settings in ({"projected": True}, {"step_method": "momentum"}):
+        loss = relaxation.RiemannianRelaxation(lap, plane(spark, d), 2, niter=2, **settings).relax().trace.loss
+        if not loss[-1] < loss[0]:
+            raise AssertionError(f"{settings}: the loss went from {loss[0]} to {loss[-1]}")
+        starts.add(round(loss[0], 5))
+    return spark.createDataFrame([(0, x) for x in sorted(starts)], "iter int, loss double")
 
 
 @query(with_sql("SELECT row_number() OVER (ORDER BY i, j) - 1 AS pid, i, j FROM edges WHERE i < j", PTS, edges_sql(NEAR)))
@@ -643,20 +835,38 @@ def neighbour_pairs(spark, d):
 
 
 # --- generators and ellipses ------------------------------------------------------------------------------------------------------------
-@query()
+@query("SELECT CAST(unnest(range(20000)) AS BIGINT) AS id, CAST(0 AS DOUBLE) AS off, 20000 AS n")
 def hourglass(spark, d):
-    """L3: size and extent of a noise-free hourglass."""
-    h = generators.hourglass(ship(spark), 2000, seed=1)
-    return h.agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("v")[2])), 3).alias("top"))
+    """L3: every point of a noise-free hourglass lies on the surface: off is the difference of its radius from -4 z^4 + 4 z^2 + 1."""
+    h = generators.hourglass(ship(spark), 20000, scale=2.0, seed=1).select("id", *[(F.col("v")[k] / 2).alias(c) for k, c in enumerate("xyz")])
+    z2 = F.col("z") * F.col("z")
+    off = F.sqrt(4 * (F.col("x") * F.col("x") + F.col("y") * F.col("y")) + z2) - (-4 * z2 * z2 + 4 * z2 + 1)
+    return h.select("id", r6(off).alias("off"), F.lit(h.select("x", "y", "z").distinct().count()).alias("n"))
 
 
-@query()
+_BENT = "(CASE WHEN {0} < 0 THEN -1 WHEN {0} > 0 THEN 1 ELSE 0 END * (1 - cos({0})) / (3 * pi()))"
+_AXIS = "3 * pi() * ({0} / CAST(29 AS DOUBLE) - 0.5)"
+
+
+@query(f"SELECT CAST(id AS BIGINT) AS id, {rd(_BENT.format('t'), 'x1')}, {rd('sin(t) / (3 * pi())', 'x2')}, {rd(_BENT.format('u'), 'x3')}, {rd('sin(u) / (3 * pi())', 'x4')} FROM (SELECT id, {_AXIS.format('(id % 30)')} AS t, {_AXIS.format('(id // 30)')} AS u FROM (SELECT unnest(range(900)) AS id))")
+def folded_sheet(spark, d):
+    """L2: a sheet with both axes folded once, before it is turned."""
+    out = generators.folded_sheet(ship(spark), 30, folds=1, rotate=False)
+    return out.select("id", *[r6(F.col("v")[k]).alias(f"x{k + 1}") for k in range(4)])
+
+
+@query("SELECT name, CAST(unnest(range(5000)) AS BIGINT) AS id, CAST(0 AS DOUBLE) AS off FROM (SELECT unnest(['s_curve', 'swiss_roll', 'turned_sheet']) AS name)")
 def sheets(spark, d):
-    """L2, L4: extents of the S-curve, the folded sheet and the swiss roll."""
+    """L2, L4: points lie on their surfaces: S-curve, swiss roll (at the place of their own angle), and a turned sheet, whose points keep their lengths."""
     ship(spark)
-    made = {"s_curve": generators.s_curve(spark, 1000), "folded_sheet": generators.folded_sheet(spark, 30), "swiss_roll": generators.swiss_roll(spark, 1000)}
-    parts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.round(F.max(F.col("v")[0]), 4).alias("most")) for n, df in made.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    x, z = F.col("v")[0], F.col("v")[2]
+    s = generators.s_curve(spark, 5000).select(F.lit("s_curve").alias("name"), "id", (x * x + F.pow(1 - F.abs(z), 2) - 1).alias("off"))
+    t = F.sqrt(x * x + z * z)
+    roll = generators.swiss_roll(spark, 5000).select(F.lit("swiss_roll").alias("name"), "id", (F.abs(x - t * F.cos(t)) + F.abs(z - t * F.sin(t))).alias("off"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
+    flat, turned = (generators.folded_sheet(spark, 71, rotate=k).select("id", length.alias(f"l{int(k)}")) for k in (False, True))
+    sheet = flat.join(turned, "id").where("id < 5000").select(F.lit("turned_sheet").alias("name"), "id", (F.col("l0") - F.col("l1")).alias("off"))
+    return s.unionByName(roll).unionByName(sheet).select("name", "id", r6("off").alias("off"))
 
 
 _COV = "cov AS (SELECT label, avg(a) AS x, avg(b) AS y, var_samp(a) AS h11, covar_samp(a, b) AS h12, var_samp(b) AS h22 FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) GROUP BY label)"
@@ -670,15 +880,27 @@ def covariance_ellipse(spark, d):
     return out.select("label", *[r6(c).alias(c) for c in ("x", "y", "width", "height")], (F.round("angle", 4) + F.lit(0.0)).alias("angle"))
 
 
-@query()
+# Eigenvalues of a symmetric 3 x 3 matrix by angles of a cosine, eigenvectors as products of two rows.
+_SPACE = """c AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, covar_samp(x, z) AS c, var_samp(y) AS d, covar_samp(y, z) AS e, var_samp(z) AS f
+    FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)),
+    q AS (SELECT *, (a + d + f) / 3 AS m, sqrt((pow(a - (a + d + f) / 3, 2) + pow(d - (a + d + f) / 3, 2) + pow(f - (a + d + f) / 3, 2) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM c),
+    t AS (SELECT *, acos(((a - m) * ((d - m) * (f - m) - e * e) - b * (b * (f - m) - e * c) + c * (b * e - (d - m) * c)) / (2 * p * p * p)) / 3 AS phi FROM q),
+    w AS (SELECT *, m + 2 * p * cos(phi) AS big, m + 2 * p * cos(phi + 2 * pi() / 3) AS small FROM t),
+    v AS (SELECT big, 3 * m - big - small AS mid, b * e - c * (d - big) AS l1, c * b - (a - big) * e AS l2, (a - big) * (d - big) - b * b AS l3,
+          b * e - c * (d - small) AS n1, c * b - (a - small) * e AS n2, (a - small) * (d - small) - b * b AS n3 FROM w),
+    u AS (SELECT big, mid, l1, l2, l3, n1 / s AS n1, n2 / s AS n2, n3 / s AS n3 FROM (SELECT *, sign(n3) * sqrt(n1 * n1 + n2 * n2 + n3 * n3) AS s FROM v)),
+    g AS (SELECT big, mid, degrees(atan2(-l1 * n1 * n2 / (1 + n3) + l2 * (1 - n2 * n2 / (1 + n3)) - l3 * n2, l1 * (1 - n1 * n1 / (1 + n3)) - l2 * n1 * n2 / (1 + n3) - l3 * n1)) AS g FROM u)"""
+
+
+@query(with_sql(f"SELECT {rd('4 * sqrt(big)', 'width')}, {rd('4 * sqrt(mid)', 'height')}, round(g - 180 * floor(g / 180), 3) + 0.0 AS angle FROM g", _SPACE))
 def ellipse_in_space(spark, d):
     """The ellipse of all points' first three coordinates, in space."""
     v = points(spark, d).select(*[F.col("v")[k].alias(f"x{k}") for k in range(3)])
     c = F.array(*[F.array(*[F.covar_samp(f"x{a}", f"x{b}") for b in range(3)]) for a in range(3)])
-    return v.agg(c.alias("c")).select(ellipse_3d_of("c").alias("e")).select(r6("e.width").alias("width"), r6("e.height").alias("height"), F.round("e.angle", 4).alias("angle"))
+    return v.agg(c.alias("c")).select(ellipse_3d_of("c").alias("e")).select(r6("e.width").alias("width"), r6("e.height").alias("height"), F.round("e.angle", 3).alias("angle"))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0")
 def systematic_sample(spark, d):
     """Every seventh id (the operator is a sample)."""
-    return points(spark, d).where("id % 7 = 0").select("id")
+    return checks.systematic_sample(points(spark, d), 7).select("id")

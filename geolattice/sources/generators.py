@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +46,37 @@ def s_curve(spark: SparkSession, n: int, noise: float = 0.0, seed: int = 0) -> D
     return _ids(spark, n).select("id", F.array(*_noisy(v, noise, seed)).alias("v"))
 
 
-def folded_sheet(spark: SparkSession, side: int, folds: int = 2, rotate: bool = True) -> DataFrame:
-    """A plane grid bent into ``folds`` S-curves along its first axis, in three dimensions; ``rotate`` turns it by fixed angles."""
-    x = (F.pmod(F.col("id"), F.lit(side)) + 0.5) / side
-    y = (F.floor(F.col("id") / side) + 0.5) / side
-    t = (x * folds - F.floor(x * folds) - 0.5) * 1.5 * math.pi
-    v: list[Column] = [F.sin(t) + 2 * F.floor(x * folds), 2.0 * y, F.signum(t) * (F.cos(t) - 1)]
+def circle(spark: SparkSession, n: int, radius: float = 1.0) -> DataFrame:
+    """n points at even steps on a circle, in order of their ids."""
+    at = F.col("id") * (2 * math.pi / n)
+    return _ids(spark, n).select("id", F.array(radius * F.cos(at), radius * F.sin(at)).alias("v"))
+
+
+def _folded(x: np.ndarray) -> list[np.ndarray]:
+    """An axis bent into an S: its values run over three half circles of equal curvature."""
+    length = x.max() - x.min()
+    t = 3 * math.pi * ((x - x.min()) / (length or 1.0) - 0.5)
+    size = (length or 1.0) / (3 * math.pi)
+    return [size * np.sign(t) * (1 - np.cos(t)), size * np.sin(t)]
+
+
+def folded_sheet(spark: SparkSession, side: int, folds: int = 2, rotate: bool = True, seed: int = 0) -> DataFrame:
+    """A square grid of side * side points; each fold bends every axis into an S-curve, which doubles the dimension. ``rotate`` turns all by a random orthogonal matrix.
+
+    A folded axis depends on one coordinate of the grid, so that only tables of ``side`` values are needed.
+    """
+    axes = [(k, np.arange(side) / max(1, side - 1)) for k in range(2)]
+    for _ in range(folds):
+        axes = [(k, y) for k, x in axes for y in _folded(x)]
+    turn = np.eye(len(axes))
     if rotate:
-        a, b = 0.6, 0.4
-        v = [v[0] * math.cos(a) - v[1] * math.sin(a), v[0] * math.sin(a) + v[1] * math.cos(a), v[2]]
-        v = [v[0], v[1] * math.cos(b) - v[2] * math.sin(b), v[1] * math.sin(b) + v[2] * math.cos(b)]
-    return _ids(spark, side * side).select("id", F.array(*v).alias("v"))
+        turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal(turn.shape))
+    # Rows of both grid coordinates' parts, already turned; a point is the sum of two of them.
+    parts = [np.stack([x if k == own else np.zeros(side) for own, x in axes], 1) @ turn for k in range(2)]
+    tables = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(part)], f"g{k} long, t{k} array<double>") for k, part in enumerate(parts)]
+    ids = _ids(spark, side * side).select("id", F.pmod(F.col("id"), F.lit(side)).alias("g0"), F.floor(F.col("id") / side).alias("g1"))
+    both = ids.join(F.broadcast(tables[0]), "g0").join(F.broadcast(tables[1]), "g1")  # ``side`` rows each
+    return both.select("id", F.zip_with("t0", "t1", lambda a, b: a + b).alias("v"))
 
 
 def hourglass(spark: SparkSession, n: int, noise: float | Sequence[float] = 0.0, extra_dims: int = 0, extra_noise: float | Sequence[float] = 0.1, scale: float = 1.75, seed: int = 0) -> DataFrame:

@@ -41,6 +41,47 @@ def test_solvers_agree(spark, solver, largest, local_entries, monkeypatch):
         assert np.allclose(rows(found.vectors, "v"), found.matrix)
 
 
+@pytest.mark.parametrize("solver", ["dense", "arpack"])
+@pytest.mark.parametrize("largest", [True, False])
+def test_matrices_that_are_not_symmetric(spark, solver, largest):
+    r = np.random.RandomState(3)
+    a = np.diag(np.arange(40.0)) + 0.1 * np.triu(r.randn(40, 40), 1)
+    frame = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(40) for j in range(40) if a[i, j]], "i long, j long, x double")
+    found = eigen.solve(frame, "x", spark.range(40), 3, solver, largest=largest)
+    assert np.allclose(found.values, [39, 38, 37] if largest else [0, 1, 2], atol=1e-6)
+    assert np.allclose(a @ found.matrix, found.matrix * found.values, atol=1e-5)
+    for other in ("lobpcg", "amg"):
+        with pytest.raises(ValueError, match="symmetric"):
+            eigen.solve(frame, "x", spark.range(40), 3, other)
+
+
+def test_multigrid_needs_fewer_rounds():
+    """A grid's Laplacian: the preconditioned iteration gets there while the plain one is still far off."""
+    side = 50
+    n = side * side
+    at = np.arange(n).reshape(side, side)
+    links = np.concatenate([np.stack([at[:, :-1].ravel(), at[:, 1:].ravel()]), np.stack([at[:-1].ravel(), at[1:].ravel()])], 1)
+    i, j = np.r_[links[0], links[1], np.arange(n)], np.r_[links[1], links[0], np.arange(n)]
+    x = np.r_[-np.ones(2 * links.shape[1]), np.bincount(np.r_[links[0], links[1]], minlength=n) + 1e-6]
+    order = np.argsort(i, kind="stable")
+    matrix = (i[order], j[order], x[order])
+    grid = eigen.Multigrid(matrix, n)
+    assert len(grid.levels) >= 1
+    start = np.random.RandomState(1).standard_normal((n, 8))
+    apply = lambda v: -eigen._times(matrix, v)
+    exact = np.sort([2 - 2 * np.cos(np.pi * a / side) + 2 - 2 * np.cos(np.pi * b / side) for a in range(4) for b in range(4)])[:3]
+    plain, _ = eigen.lobpcg(apply, start, 3, 1e-9, 12)
+    fast, _ = eigen.lobpcg(apply, start, 3, 1e-9, 12, grid)
+    assert np.abs(-fast - exact).max() < 0.05 * np.abs(-plain - exact).max()
+
+
+def test_too_large_problems_are_refused_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(eigen, "DENSE_MOST", 5)
+    frame = spark.createDataFrame([(i, i, 1.0) for i in range(8)], "i long, j long, x double")
+    with pytest.raises(ValueError, match="too large"):
+        eigen.solve(frame, "x", spark.range(8), 2, "dense")
+
+
 def test_solver_names(spark):
     m, ids = long_form(spark, np.eye(4))
     with pytest.raises(ValueError):
@@ -329,6 +370,24 @@ def test_settings(toy):
         relaxation.RiemannianRelaxation(lap, y2, 2, step_method="x")
 
 
+def test_trace_is_saved_and_runs_resume(spark, toy, tmp_path):
+    lap, y2, _ = toy
+    folder = f"file://{tmp_path}"
+    settings = {"niter": 4, "niter_trace": 2, "step_method": "momentum", "save_every": 2, "folder": folder}
+    whole = relaxation.RiemannianRelaxation(lap, y2, 2, name="whole", save_init=True, **settings).relax()
+    assert len(whole.trace.loss) == 5 and len(whole.trace.first_metric) == len(whole.trace.last_metric) == 2
+    trace, _ = relaxation.Trace.load(spark, f"{folder}/whole/trace")
+    assert trace.loss == whole.trace.loss and trace.eta == whole.trace.eta and trace.rose == whole.trace.rose
+    assert all(np.array_equal(a, b) for n in relaxation._KEPT for a, b in zip(getattr(trace, n), getattr(whole.trace, n)))
+    assert np.array_equal(trace.best, whole.trace.best)
+    again = relaxation.RiemannianRelaxation.from_init(spark, f"{folder}/whole/init", 2, name="again", **settings).resume(f"{folder}/whole/backup-2")
+    assert np.allclose(again.trace.loss, whole.trace.loss) and np.allclose(again.y, whole.y)
+    with pytest.warns(UserWarning, match="rounded"):
+        relaxation.Settings(niter=2.6).check(2, 2)
+    with pytest.raises(InvalidInput):
+        relaxation.Settings(save_init=True).check(2, 2)
+
+
 def test_pairs(spark, toy):
     got = [tuple(r) for r in relaxation.neighbour_pairs(toy[0]).orderBy("pid").collect()]
     assert [g[0] for g in got] == list(range(len(got))) and got == sorted(got, key=lambda g: g[1:])
@@ -344,7 +403,7 @@ def test_generators_do_not_depend_on_partitions(spark):
     r = -4 * z**4 + 4 * z**2 + 1
     assert np.allclose(4 * (clean[:, 0] ** 2 + clean[:, 1] ** 2) + z**2, r**2)
     assert rows(generators.swiss_roll(spark, 10), "v").shape == (10, 20)
-    assert rows(generators.folded_sheet(spark, 6), "v").shape == (36, 3) and rows(generators.s_curve(spark, 9, 0.1), "v").shape == (9, 3)
+    assert rows(generators.folded_sheet(spark, 6), "v").shape == (36, 8) and rows(generators.s_curve(spark, 9, 0.1), "v").shape == (9, 3)
     with pytest.raises(ValueError):
         generators.hourglass(spark, 5, extra_dims=2, extra_noise=[1.0])
 
@@ -361,10 +420,13 @@ def test_ellipses(spark):
     c = np.diag([4.0, 1.0, 0.1])
     width, height, angle, normal = ellipses.ellipse_3d(c)
     assert np.allclose([width, height, angle % 180], [8, 4, 0]) and np.allclose(normal, [0, 0, 1])
-    points = ellipses.outline_3d(width, height, angle, normal, np.array([1.0, 2, 3]))
-    assert np.allclose(points[:, 2], 3) and np.isclose(points[:, 0].max(), 5)
-    turned = ellipses.turn(np.array([0.6, 0, 0.8]))
-    assert np.allclose(turned @ [0, 0, 1], [0.6, 0, 0.8]) and np.allclose(turned @ turned.T, np.eye(3))
+    q, _ = np.linalg.qr(r.randn(3, 3))
+    width, height, angle, normal = ellipses.ellipse_3d(q @ c @ q.T)
+    right, ahead = ellipses.plane_axes(normal)
+    frame = np.stack([right, ahead, normal])
+    assert np.allclose(frame @ frame.T, np.eye(3)) and np.isclose(np.linalg.det(frame), 1) and normal[2] >= 0
+    long = np.cos(np.radians(angle)) * right + np.sin(np.radians(angle)) * ahead
+    assert np.isclose(abs(long @ q[:, 0]), 1) and np.isclose(abs(normal @ q[:, 2]), 1) and np.allclose([width, height], [8, 4])
 
 
 def test_geometry_settings_win(spark):
