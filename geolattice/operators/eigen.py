@@ -18,39 +18,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blockwise import fixed_signs, largest_pairs, list_array
 from .checks import is_symmetric
 
-SOLVERS = ("auto", "dense", "arpack", "lobpcg", "amg")
+SOLVERS = ("auto", "dense", "arpack", "lobpcg", "amg", "distributed")
 DENSE_LIMIT, DENSE_MOST = 3_000, 20_000
-BLOCK_LIMIT = 100_000_000
+BLOCK_LIMIT = 40_000_000
 LOCAL_ENTRIES = 2_000_000
 
 
 def choose_solver(solver: str, n: int, vectors: int) -> str:
-    """The solver to run: dense for small problems, else a block iteration. ``amg`` is LOBPCG with a multigrid preconditioner."""
+    """The solver to run: dense for small problems, a block iteration for larger ones, over tables where the block is too large for the driver. ``amg`` is LOBPCG with a multigrid preconditioner."""
     if solver not in SOLVERS:
         raise ValueError(f"unknown eigen solver {solver!r}; there are {', '.join(SOLVERS)}")
     if solver == "auto":
-        return "dense" if n <= DENSE_LIMIT else "lobpcg"
-    if solver != "dense" and n < 5 * vectors + 1:
+        return "dense" if n <= DENSE_LIMIT else "lobpcg" if n * (vectors + 5) <= BLOCK_LIMIT else "distributed"
+    if solver not in ("dense", "distributed") and n < 5 * vectors + 1:
         return "dense"
     return solver
 
 
 @dataclass
 class Eigenpairs:
-    """Eigenvalues and, as (id, v), the vectors' entries by id in the eigenvalues' order."""
+    """Eigenvalues and, as (id, v), the vectors' entries by id in the eigenvalues' order; ids and entries as arrays, too, unless they were found over tables."""
 
     values: np.ndarray
     vectors: DataFrame
-    ids: np.ndarray
-    matrix: np.ndarray
-
-
-def list_array(rows: np.ndarray) -> pa.ListArray:
-    """Rows of a matrix as an Arrow column of lists, from its buffer."""
-    n, k = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+    ids: np.ndarray | None = None
+    matrix: np.ndarray | None = None
 
 
 def vector_frame(spark: SparkSession, ids: np.ndarray, rows: np.ndarray) -> DataFrame:
@@ -61,10 +56,10 @@ def vector_frame(spark: SparkSession, ids: np.ndarray, rows: np.ndarray) -> Data
 class Operator:
     """Products of a matrix (i, j, value) over given ids with blocks of vectors."""
 
-    def __init__(self, matrix: DataFrame, value: str, ids: DataFrame):
+    def __init__(self, matrix: DataFrame, value: str, ids: DataFrame, n: int | None = None):
         self.spark = matrix.sparkSession
         own = ids.select("id").distinct()
-        self.n = own.count()
+        self.n = own.count() if n is None else n
         if self.n > BLOCK_LIMIT:
             raise ValueError(f"a vector of {self.n} numbers is too large for the driver")
         self.ids = np.sort(np.asarray(own.toArrow().column(0), np.int64))  # n numbers, checked
@@ -340,9 +335,16 @@ def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "
     A matrix that is not symmetric (found out unless ``symmetric`` says so) is
     solved by ``dense`` or ``arpack``, by real parts; the other solvers refuse it.
     """
-    op = Operator(matrix, value, ids)
-    k = min(k, op.n)
-    name = choose_solver(solver, op.n, k)
+    n = ids.select("id").distinct().count()
+    k = min(k, n)
+    name = choose_solver(solver, n, k)
+    if name == "distributed":
+        if not (is_symmetric(matrix, value, 1e-9) if symmetric is None else symmetric):
+            raise ValueError("distributed needs a symmetric matrix")
+        shift = 0.0 if largest else matrix.groupBy("i").agg(F.sum(F.abs(value)).alias("s")).agg(F.max("s")).first()[0] or 1.0
+        values, vectors = largest_pairs(matrix, value, ids, k, shift, max(tolerance, 1e-7), rounds, seed)
+        return Eigenpairs(values if largest else shift - values, fixed_signs(vectors, k))
+    op = Operator(matrix, value, ids, n)
     if symmetric is None:
         symmetric = is_symmetric(op.rows, "x", 1e-10 * max(1.0, op.bound()))
     if not symmetric and name not in ("dense", "arpack"):
@@ -395,12 +397,12 @@ def _multigrid(op: Operator, largest: bool) -> Callable[[np.ndarray], np.ndarray
 def null_space(matrix: DataFrame, value: str, ids: DataFrame, k: int, k_skip: int = 1, solver: str = "auto", **parameters) -> tuple[Eigenpairs, float]:
     """The k eigenpairs of smallest eigenvalue after the first ``k_skip``, of a positive semidefinite matrix, and the sum of these eigenvalues."""
     found = solve(matrix, value, ids, k + k_skip, solver, largest=False, symmetric=True, **parameters)
-    values, vectors = found.values[k_skip:], found.matrix[:, k_skip:]
-    return Eigenpairs(values, vector_frame(matrix.sparkSession, found.ids, vectors), found.ids, vectors), float(values.sum())
+    values, vectors = found.values[k_skip:], found.vectors.select("id", F.slice("v", k_skip + 1, k).alias("v"))
+    return Eigenpairs(values, vectors, found.ids, found.matrix[:, k_skip:] if found.matrix is not None else None), float(values.sum())
 
 
 def residuals(matrix: DataFrame, value: str, pairs: Eigenpairs) -> np.ndarray:
-    """|A v - lambda v| of each pair."""
+    """|A v - lambda v| of each pair found on the driver."""
     ids = pairs.vectors.select("id")
     op = Operator(matrix, value, ids)
     out = np.sqrt(((op.apply(pairs.matrix) - pairs.matrix * pairs.values) ** 2).sum(0))

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import Scratch, cut
+from .checks import InvalidInput
 
-MOST_DENSE = 20_000
+PATH_METHODS = ("auto", "D", "BF", "FW", "J")
+MOST_DENSE, MOST_EDGES = 20_000, 10_000_000
+ROUNDS, BATCH_NUMBERS = 100, 1 << 22
 FINISH = 50_000
 
 
@@ -101,30 +104,82 @@ def _distances(start: np.ndarray, neighbour: np.ndarray, length: np.ndarray, sou
     return out
 
 
-def shortest_paths(edges: DataFrame, ids: DataFrame, sources: DataFrame | None = None, most: int = MOST_DENSE) -> DataFrame:
+def _relaxed(out: np.ndarray, start: np.ndarray, neighbour: np.ndarray, length: np.ndarray, rounds: int) -> bool:
+    """Bellman-Ford from several sources at once, in place; whether it came to rest within ``rounds``. The graph is undirected, so rows list the edges into a node, too."""
+    node = np.flatnonzero(np.diff(start))
+    cuts = start[node]
+    for _ in range(rounds):
+        better = np.minimum(out[:, node], np.minimum.reduceat(out[:, neighbour] + length, cuts, axis=1)) if len(node) else out[:, node]
+        if np.array_equal(better, out[:, node]):
+            return True
+        out[:, node] = better
+    return False
+
+
+def _floyd_warshall(out: np.ndarray) -> np.ndarray:
+    """All paths of a dense matrix of edges."""
+    for k in range(len(out)):
+        np.minimum(out, out[:, k, None] + out[None, k], out=out)
+    return out
+
+
+def shortest_paths(edges: DataFrame, ids: DataFrame, sources: DataFrame | None = None, most: int = MOST_DENSE, method: str = "auto") -> DataFrame:
     """(src, dst, d) of all ids reachable from the sources (all ids by default), edges taken both ways; stored zeros off the diagonal are edges of length 0.
 
-    The graph, of at most ``most`` ids, goes to every task, and each task runs
-    Dijkstra from its sources. The result has a row for each reachable pair.
+    The graph goes to every task, and each task finds the paths from its sources:
+    by Dijkstra's method (``D``; ``J``, Johnson's, is the same where no length is
+    negative), by Bellman and Ford's from many sources at once (``BF``), or, with
+    ``auto``, by the latter for graphs of small diameter. ``FW``, Floyd and
+    Warshall's, takes all pairs in one task. The result has a row for each reachable
+    pair; over all pairs at most ``most`` ids are taken, and MOST_EDGES edges.
     """
+    if method not in PATH_METHODS:
+        raise InvalidInput(f"unknown path method {method!r}; there are {', '.join(PATH_METHODS)}")
     spark = edges.sparkSession
-    names = np.sort(np.array([r["id"] for r in ids.select("id").distinct().limit(most + 1).collect()], np.int64))
-    if len(names) > most:
-        raise ValueError(f"more than {most} ids: paths between all pairs would not fit; give fewer ids, or raise the limit")
-    rows = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("d").alias("d")).toArrow()
+    every = ids.select("id").distinct()
+    bound = most if sources is None else MOST_EDGES
+    n, links = every.count(), edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("d").alias("d"))
+    if n > bound:
+        raise ValueError(f"more than {bound} ids: paths between all pairs would not fit; give fewer ids or sources, or raise the limit")
+    rows = links.limit(MOST_EDGES + 1).toArrow()  # a bounded graph
+    if rows.num_rows > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges: the graph would not fit a task")
+    names = np.sort(np.asarray(every.toArrow().column(0), np.int64))  # checked
     a, b, d = (np.asarray(rows.column(i)) for i in range(3))
     x, y = np.searchsorted(names, np.r_[a, b]), np.searchsorted(names, np.r_[b, a])
     order = np.argsort(x, kind="stable")
     start = np.searchsorted(x[order], np.arange(len(names) + 1))
-    graph = spark.sparkContext.broadcast((names, start, y[order], np.r_[d, d][order]))  # a graph of ``most`` ids
+    graph = spark.sparkContext.broadcast((names, start, y[order], np.r_[d, d][order]))  # checked
+    block = max(1, BATCH_NUMBERS // max(1, 2 * len(d) + len(names)))
+
+    def paths(index: np.ndarray) -> np.ndarray:
+        _, begin, near, length = graph.value
+        out = np.full((len(index), len(begin) - 1), np.inf)
+        out[np.arange(len(index)), index] = 0
+        if method == "FW":
+            full = np.full((len(begin) - 1, len(begin) - 1), np.inf)
+            np.fill_diagonal(full, 0)
+            np.minimum.at(full, (np.repeat(np.arange(len(begin) - 1), np.diff(begin)), near), length)
+            return _floyd_warshall(full)[index]
+        if method == "BF":
+            _relaxed(out, begin, near, length, len(begin))
+        elif method != "auto" or not _relaxed(out, begin, near, length, ROUNDS):
+            for row, k in enumerate(index):
+                out[row] = _distances(begin, near, length, int(k))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, begin, near, length = graph.value
+        own = graph.value[0]
         for batch in batches:
-            for source in np.asarray(batch.column(0)):
-                out = _distances(begin, near, length, int(np.searchsorted(own, source)))
-                some = np.flatnonzero(np.isfinite(out))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), source), pa.int64()), pa.array(own[some]), pa.array(out[some])], ["src", "dst", "d"])
+            source = np.asarray(batch.column(0))
+            step = len(source) if method == "FW" else block
+            for at in range(0, len(source), step):
+                part = source[at : at + step]
+                out = paths(np.searchsorted(own, part))
+                row, far = np.nonzero(np.isfinite(out))
+                for cut_ in range(0, len(row), 1 << 20):
+                    r, f = row[cut_ : cut_ + (1 << 20)], far[cut_ : cut_ + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[r], pa.int64()), pa.array(own[f], pa.int64()), pa.array(out[r, f])], ["src", "dst", "d"])
 
     chosen = (sources if sources is not None else ids).select("id").distinct()
-    return chosen.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(run, "src long, dst long, d double")
+    return chosen.repartition(1 if method == "FW" else spark.sparkContext.defaultParallelism * 2).mapInArrow(run, "src long, dst long, d double")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm, squared_distance
 from ..plans.geometry import Geometry
 from .checks import InvalidInput
-from .spectral import _frame, bind_geometry, spectrum
+from .spectral import bind_geometry, spectrum
 
 
 def _centres(centres: Sequence[Sequence[float]]):
@@ -78,6 +78,7 @@ class KMeans:
                 break
         self.centres_ = centres
         self.labels_ = assign(points, centres).select("id", "label")
+        points.unpersist()
         return self
 
 
@@ -101,11 +102,11 @@ class SpectralClustering:
         geom.compute_laplacian_matrix()
         k = self.n_clusters + self.additional_vectors
         found = spectrum(geom.laplacian, geom.weights, geom.ids(), self.laplacian_method, k, None, self.eigen_solver, seed=self.random_state or 0)
-        v = found.matrix[:, 1:]
-        length = np.sqrt((v * v).sum(1, keepdims=True))
-        v = v / np.where(length > 0, length, 1)
+        v = found.vectors.select("id", F.slice("v", 2, k - 1).alias("v"))
+        length = norm(F.col("v"))
+        v = v.select("id", F.transform("v", lambda x: x / F.when(length > 0, length).otherwise(1.0)).alias("v"))
         self.eigenvalues_ = found.values + 1
-        model = KMeans(self.n_clusters, self.max_iter).fit(_frame(data, found.ids, v))
+        model = KMeans(self.n_clusters, self.max_iter).fit(v)
         self.labels_ = self.embedding_ = model.labels_
         return self
 

@@ -117,7 +117,7 @@ def laplacian(affinity_: DataFrame, method: str = "auto", symmetric: bool = Fals
     if scale is not None and not scale > 0:
         raise InvalidInput("the scale must be above 0")
     a = symmetrize(affinity_, "w") if symmetric else affinity_
-    out, weights = laplacians.get(name)(_complete(a).persist(), exponent)  # read for the entries and for each sum of rows
+    out, weights = laplacians.get(name)(_complete(a), exponent)
     if scale is not None:
         factor = 4.0 / scale**2
         out = out.withColumn("l", F.col("l") * factor)

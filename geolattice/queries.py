@@ -430,6 +430,7 @@ _solved_by("dense", "H1, H5")
 _solved_by("lobpcg", "H4")
 _solved_by("arpack", "H2")
 _solved_by("amg", "H3")
+_solved_by("distributed", "H1, H4")
 
 
 _SKEW = "sk AS (SELECT k, e, id, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM (SELECT k, e, en.id, x * (2 + a) AS x FROM en JOIN pl USING (id)))"
@@ -541,9 +542,9 @@ def spectral_predict(spark, d):
 @query(with_sql(f"SELECT a.i AS id, {rd('sum(a.w * p.a) / 2', 'y1')}, {rd('sum(a.w * p.b) / 4', 'y2')} FROM aff a JOIN pl p ON p.id = a.j GROUP BY a.i", PTS, edges_sql(), AFF, PLANE))
 def nystrom(spark, d):
     """Extension with given vectors and eigenvalues 2 and 4, from all points to all points."""
-    rows = plane(spark, d).orderBy("id").collect()
-    ids, v = np.array([r["id"] for r in rows]), np.array([r["y"] for r in rows])
-    _, y = nystrom_extension(kernel(spark, d), "w", ids, v, np.array([2.0, 4.0]), len(ids))
+    own = plane(spark, d).withColumnRenamed("y", "v")
+    n = own.count()
+    _, y = nystrom_extension(kernel(spark, d), "w", own, np.array([2.0, 4.0]), n, n)
     return y.select("id", r6(F.col("v")[0]).alias("y1"), r6(F.col("v")[1]).alias("y2"))
 
 
@@ -555,6 +556,27 @@ def isomap_line(spark, d):
     return model.embedding_.select("id", r6(F.abs(F.col("y")[0])).alias("y"), F.lit(round(float(model.eigenvalues_[0]), 4)).alias("eigenvalue"))
 
 
+@query(with_sql("SELECT id, round(abs(a - (SELECT min(a) FROM pl)), 6) + 0.0 AS y FROM pl", PLANE))
+def isomap_landmarks(spark, d):
+    """The same line by paths from forty landmarks, seen from its lower end."""
+    line = points(spark, d).select("id", F.slice("v", 1, 1).alias("v"))
+    y = isomap.Isomap(1, radius=0.15, landmarks=40, path_method="BF").fit(line).embedding_
+    low = y.join(line.withColumnRenamed("v", "x"), "id").agg(F.min_by(F.col("y")[0], F.col("x")[0]).alias("low"))
+    return y.join(F.broadcast(low)).select("id", r6(F.abs(F.col("y")[0] - F.col("low"))).alias("y"))  # one row
+
+
+_FOUR = [f"SELECT src, dst, '{m}' AS method, {rd('d', 'd')} FROM p10" for m in ("D", "BF", "FW", "J")]
+
+
+@query(with_sql(" UNION ALL ".join(_FOUR), PTS, edges_sql(), _paths_sql("SELECT id FROM pts WHERE id % 50 = 0")))
+def path_methods(spark, d):
+    """Shortest paths from every fiftieth id by each of the methods."""
+    p, e = points(spark, d), edges(spark, d)
+    some = checks.systematic_sample(p, 50)
+    found = [graph.shortest_paths(e, p, some, method=m).select("src", "dst", F.lit(m).alias("method"), r6("d").alias("d")) for m in ("D", "BF", "FW", "J")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query()
 def isomap_embedding(spark, d):
     """I3, I4 over the embeddings: leading eigenvalues of the centred paths. See isomap_line for a result that SQL knows."""

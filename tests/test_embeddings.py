@@ -5,7 +5,7 @@ import pytest
 from test_graphs_and_kernels import cloud, dense, distances
 
 from geolattice.functions import ellipses, small_matrices
-from geolattice.operators import eigen, isomap, kmeans, laplacian, local, neighbors, radius, relaxation, rmetric, spectral
+from geolattice.operators import eigen, graph, isomap, kmeans, laplacian, local, neighbors, radius, relaxation, rmetric, spectral
 from geolattice.operators.checks import InvalidInput
 from geolattice.operators.nystrom import nystrom_extension
 from geolattice.plans.geometry import Geometry
@@ -129,14 +129,40 @@ def test_two_blocks_separate(spark):
         spectral.SpectralEmbedding(1).fit(m.where("(i < 20) = (j < 20)"), "affinity")
 
 
-def test_diffusion_times():
-    v, lam = np.ones((3, 2)), np.array([0.0, -0.5])
-    assert np.allclose(spectral.diffusion_coordinates(v, lam, 0)[:, 1], 1.0)
-    assert np.allclose(spectral.diffusion_coordinates(v, lam, 2)[:, 1], 0.25)
+def test_diffusion_times(spark):
+    v, lam = eigen.vector_frame(spark, np.arange(3), 2 * np.ones((3, 2))), np.array([0.0, -0.5])
+    assert np.allclose(rows(spectral.diffusion_coordinates(v, lam, 0), "v")[:, 1], 1.0)
+    assert np.allclose(rows(spectral.diffusion_coordinates(v, lam, 2), "v")[:, 1], 0.25)
     with pytest.warns(UserWarning):
         spectral.diffusion_coordinates(v, lam, 1, "randomwalk")
 
 
+@pytest.mark.parametrize("largest", [True, False])
+def test_pairs_over_tables_equal_those_on_the_driver(spark, largest, monkeypatch):
+    r = np.random.RandomState(9)
+    x = r.rand(60, 2)
+    a = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) * 20)
+    a[a < 0.05] = 0
+    m, ids = long_form(spark, a)
+    near = eigen.solve(m, "x", ids, 3, "dense", largest=largest)
+    far = eigen.solve(m, "x", ids, 3, "distributed", largest=largest, rounds=60)
+    assert far.matrix is None and np.allclose(far.values, near.values, atol=1e-5)
+    assert np.allclose(np.abs(rows(far.vectors, "v")), np.abs(near.matrix), atol=1e-2 if not largest else 1e-3)
+    monkeypatch.setattr(eigen, "DENSE_LIMIT", 10)
+    monkeypatch.setattr(eigen, "BLOCK_LIMIT", 10)
+    assert eigen.choose_solver("auto", 60, 3) == "distributed"
+    with pytest.raises(ValueError, match="symmetric"):
+        eigen.solve(m.where("i <= j"), "x", ids, 3, "distributed")
+
+
+def test_an_embedding_over_tables(spark):
+    """The same embedding, up to signs, when no array of the driver is used."""
+    p = generators.blobs(spark, 60, 3, 1, seed=5).select("id", "v")
+    geom = {"adjacency_radius": 4.0, "affinity_radius": 2.0}
+    one, two = (rows(spectral.SpectralEmbedding(2, geom=geom, eigen_solver=s).fit(p).embedding_, "y") for s in ("dense", "distributed"))
+    assert np.allclose(np.abs(one), np.abs(two), atol=1e-3)
+
+
 def test_predict(spark):
     p = generators.blobs(spark, 120, 5, 1, seed=42)
     train, test = p.where("id < 100").select("id", "v"), p.where("id >= 100").selectExpr("id - 100 as id", "v")
@@ -162,7 +188,7 @@ def test_nystrom_rebuilds_low_rank(spark):
     values, vectors = np.linalg.eigh(g[:l, :l])
     values, vectors = values[::-1][:2], vectors[:, ::-1][:, :2]
     m, _ = long_form(spark, g)
-    lam, v = nystrom_extension(m, "x", np.arange(l), vectors, values, 10)
+    lam, v = nystrom_extension(m, "x", eigen.vector_frame(spark, np.arange(l), vectors), values, l, 10)
     v = rows(v, "v")
     assert np.allclose(v * lam @ v.T, g)
 
@@ -175,6 +201,29 @@ def test_isomap_keeps_a_grid(spark):
         isomap.Isomap(2, radius=0.5).fit(p)
 
 
+def test_landmarks_place_every_point(spark):
+    """In a graph of all pairs paths are distances, and both forms give the points back, up to a rigid motion."""
+    x = np.random.RandomState(8).rand(40, 2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    for landmarks in (None, 9):
+        y = rows(isomap.Isomap(2, radius=2.0, landmarks=landmarks).fit(table).embedding_, "y")
+        assert np.allclose(np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)), d, atol=1e-6)
+
+
+@pytest.mark.parametrize("method", ["auto", "D", "BF", "FW", "J"])
+def test_path_methods_on_chains_and_parts(spark, method, monkeypatch):
+    """A long chain (more rounds than auto waits for), a ring with a shortcut, and an id alone."""
+    monkeypatch.setattr(graph, "ROUNDS", 5)
+    edges = [(k, k + 1, 1.0) for k in range(30)] + [(100 + k, 100 + (k + 1) % 8, 1.0) for k in range(8)] + [(100, 104, 0.5), (7, 7, 0.0)]
+    ids = spark.createDataFrame([(k,) for k in [*range(31), *range(100, 108), 500]], "id long")
+    got = {(r["src"], r["dst"]): r["d"] for r in graph.shortest_paths(spark.createDataFrame(edges, "i long, j long, d double"), ids, method=method).collect()}
+    assert len(got) == 31 * 31 + 64 + 1 and all(got[a, b] == abs(a - b) for a in range(31) for b in range(31))
+    assert got[100, 103] == 1.5 and got[101, 105] == 2.5 and got[500, 500] == 0
+    with pytest.raises(InvalidInput):
+        graph.shortest_paths(spark.createDataFrame(edges, "i long, j long, d double"), ids, method="X")
+
+
 def test_barycenter_and_lle(spark):
     x = np.array([[0, 1], [1.01, 1], [2, 0]])
     p = cloud(spark, x)
@@ -380,7 +429,7 @@ def test_trace_is_saved_and_runs_resume(spark, toy, tmp_path):
     assert trace.loss == whole.trace.loss and trace.eta == whole.trace.eta and trace.rose == whole.trace.rose
     assert all(np.array_equal(a, b) for n in relaxation._KEPT for a, b in zip(getattr(trace, n), getattr(whole.trace, n)))
     assert np.array_equal(trace.best, whole.trace.best)
-    again = relaxation.RiemannianRelaxation.from_init(spark, f"{folder}/whole/init", 2, name="again", **settings).resume(f"{folder}/whole/backup-2")
+    again = relaxation.RiemannianRelaxation.from_init(spark, f"{folder}/whole", 2, name="again", **settings).resume(f"{folder}/whole/backup-2")
     assert np.allclose(again.trace.loss, whole.trace.loss) and np.allclose(again.y, whole.y)
     with pytest.warns(UserWarning, match="rounded"):
         relaxation.Settings(niter=2.6).check(2, 2)
