@@ -9,9 +9,11 @@
    the groups' prefix tokens are dealt out by token, packed in binary rows.
 4. Short lists of a token give group pairs that pass the size and position
    filters; a parity-bitmap bound on the overlap then drops most that fail.
-5. The groups of a long list are chained; a large chained cluster is divided
-   by the same bound, and each cluster compared block by block, as matrix
-   products, so that no task holds a whole cluster and no pair becomes a row.
+5. Groups of a long list that may have a partner there by the position filter
+   are chained; a large chained cluster is divided by the same bound, and each
+   cluster compared block by block, as matrix products. Pairs of blocks are dealt
+   out over all tasks, so that no task holds a whole cluster, and no pair of sets
+   becomes a row.
 6. Groups are expanded, and all remaining pairs verified on the whole sets.
 """
 
@@ -220,10 +222,14 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
         near = np.minimum(n[x] - place[x], n[y] - place[y]) >= _need(n[x], n[y], percent)  # of the first common token, an upper bound
         x, y = x[near], y[near]
         pair = np.unique(np.stack([np.minimum(p[x], p[y]), np.maximum(p[x], p[y])], 1), axis=0)
-        inside = np.repeat(long_ > SHORT_LIST, long_)
-        chain = np.flatnonzero(inside[1:] & (t[1:] == t[:-1]) & (100 * n[:-1] >= percent * n[1:]))
-        ids, index = np.unique(p[np.r_[chain, chain + 1]], return_inverse=True)
-        root = forest(len(ids), index[: len(chain)], index[len(chain) :])
+        # In a long list, groups chain that may have a partner in it by the same bound, with the smallest size that can be one.
+        smallest = np.maximum(-(-percent * n // 100), np.repeat(n[cuts], long_))
+        open_ = np.flatnonzero(np.repeat(long_ > SHORT_LIST, long_) & (n - place >= _need(n, smallest, percent)))
+        one, two = open_[:-1], open_[1:]
+        chained = (t[one] == t[two]) & (100 * n[one] >= percent * n[two])
+        one, two = one[chained], two[chained]
+        ids, index = np.unique(p[np.r_[one, two]], return_inverse=True)
+        root = forest(len(ids), index[: len(one)], index[len(one) :])
         far = np.flatnonzero(root != np.arange(len(ids)))
         a = np.r_[pair[:, 0], ids[root[far]]]
         b = np.r_[pair[:, 1], ids[far]]
