@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import prepare
+from ..sources.storage import remove
+from .session import materialize, prepare
 from .urlfilter import Rule
 
 #: The production rules of the URL filter.
@@ -25,6 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents like items of the benchmark: the best window of each pair.
+
+    Null, empty and blank texts match nothing; rows equal in id and text are one; of equal
+    windows the first counts. Only doc_id and text are read.
+    """
     from .decontaminate import contaminated
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +39,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. ``und`` and 0 for a null text, one without letters, or if nothing could be learned.
+
+    Repeated rows are judged alike. lang, source and doc_id are no inputs of a prediction.
+    """
     from .langid import HELD_OUT, fit, predict_languages
 
     docs = _table(spark, sf_dir, "documents")
@@ -42,6 +52,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; 0 for all if labels of both kinds are lacking.
+
+    Null and empty texts are judged as texts without words, repeated rows alike.
+    """
     from .toxicity import fit, score_documents
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +65,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, encoded and decoded. A null text is empty and has none; repeated rows are encoded alike."""
     import public_tokenizers
 
     from .bytebpe import encode_documents
@@ -61,18 +76,31 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within labels. Vectors or labels that can't be compared link with nothing.
+
+    Rows repeated in id, label and vector count as one vector and are all returned; of a
+    group the smallest id is kept.
+    """
     from .vectordedup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies. Null, empty and blank texts have no shingles and are alone.
+
+    Rows repeated in id and text are returned as often; texts of one id are joined.
+    """
     from .jaccard import similar_documents
 
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that start anywhere else, too. A null text has no words.
+
+    A repeated row is another document: all of its windows repeat.
+    """
     from .substring import remove_repeats
 
     out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -80,14 +108,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back. A null html is an empty payload, a null url an empty target.
+
+    Of repeated rows with the largest page_id of a payload one is the response.
+    """
     from .warc import fresh_folder, read_archives, write_archives
 
     folder = fresh_folder(spark)
-    write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    try:
+        write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
+        return materialize(read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    finally:
+        remove(spark, folder)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document; 0 for a null or empty text, repeated rows alike."""
     import public_tokenizers
 
     from .tokencount import count_tokens, read_vocabulary
@@ -97,6 +133,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every url: that of the longest rule that fits, else of trees learned from the rules' own verdicts.
+
+    A null url or one without ``://`` has an empty host and path. Repeated rows are judged alike.
+    """
     from .urlfilter import filter_urls
 
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Booster
-from .session import hashed_sample, materialize
+from .session import hashed_sample, materialize, unused
 
 SAMPLE = 5000
 LEVELS = 3
@@ -186,6 +186,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | N
                 out[free] = 1 / (1 + np.exp(-own.booster.log_odds(x)))
             yield pd.Series(out)
 
-    joined = judged.join(hosts, "host", "left").select(*judged.columns, _COUNTS)
-    out = joined.withColumn("score", F.nanvl(score("url", "host", "path", "rule", _COUNTS), F.lit(None))).drop(_COUNTS)
+    held = unused(judged, _COUNTS)
+    joined = judged.join(hosts.withColumnRenamed(_COUNTS, held), "host", "left").select(*judged.columns, held)
+    asked = [F.when(F.col("rule").isNull(), F.col(c)) for c in ("url", "host", "path", held)]  # what a rule decides does not travel
+    out = joined.withColumn("score", F.nanvl(score(*asked[:3], "rule", asked[3]), F.lit(None))).drop(held)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")))

@@ -240,14 +240,24 @@ def brute(vocabulary, text):
             for score, k in options:
                 if best[s] + score > best[e]:
                     best[e], n[e] = best[s] + score, n[s] + k
-    return n[-1]
+    return n[-1], best[-1]
 
 
 @settings(max_examples=200, deadline=None)
 @given(text=st.text("ab▁cé", max_size=14))
 def test_counts_with_ties_equal_brute_force(text):
     v = UnigramVocabulary((("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aba", -3.0), ("ba", -2.0), (SPACE, -1.0), (SPACE + "a", -2.0), (SPACE + "ab", -2.5)))
-    assert Counter(v).solve(text)[1] == brute(v, text)
+    score, number = Counter(v).solve(text)
+    assert (number, score) == brute(v, text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(text=st.text("ab cé", max_size=14))
+def test_scores_that_are_no_whole_numbers(text):
+    """Whole texts are solved then, and counts and scores are those of one running sum."""
+    v = UnigramVocabulary((("a", -0.1), ("b", -0.2), ("ab", -0.3), (SPACE, -0.7), (SPACE + "a", -0.8), ("c", -1.1)))
+    assert Counter(v).words is None
+    assert Counter(v).count(text) == (brute(v, SPACE + text.replace(" ", SPACE)) if text else (0, 0.0))
 
 
 def test_counts_equal_library():

@@ -1,5 +1,7 @@
 """Vector near-dedup against brute force, components, the pipeline's stages, and skew."""
 
+import base64
+import hashlib
 import random
 from collections import Counter
 
@@ -128,7 +130,18 @@ def test_stages(spark, folder):
     assert Counter(read(out)) == Counter((i, t if not r else k) for (i, t), (_, r, k) in zip(before, cut([t for _, t in before])))
     before, out = step["decontamination"]
     assert {i for i, _ in before} - {i for i, _ in read(out)} == {7000}
-    assert step["byte_bpe"][1].count() == len(step["byte_bpe"][0])
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {i: np.array(library.encode_ordinary(t or ""), "<u4") for i, t in step["byte_bpe"][0] if i is not None}
+    got = [r for r in step["byte_bpe"][1].collect() if r["doc_id"] is not None]
+    assert len(got) == sum(i is not None for i, _ in step["byte_bpe"][0])
+    texts = dict(step["byte_bpe"][0])
+    for r in got:
+        if Counter(i for i, _ in step["byte_bpe"][0])[r["doc_id"]] == 1:
+            own = ids[r["doc_id"]]
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(own), hashlib.sha256(own.tobytes()).hexdigest())
+            assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
     assert sorted(map(str, pipeline.run(spark, folder).collect())) == sorted(map(str, step["byte_bpe"][1].collect()))
 
 
