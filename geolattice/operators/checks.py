@@ -109,6 +109,11 @@ def systematic_sample(points: DataFrame, step: int, first: int = 0) -> DataFrame
     return points.where(F.pmod(F.col("id") - first, F.lit(step)) == 0)
 
 
+def max_distance(edges: DataFrame) -> DataFrame:
+    """One row with the largest distance; null without edges."""
+    return edges.agg(F.max("d").alias("d"))
+
+
 def rows_of(matrix: DataFrame, sample: DataFrame, row: str = "i") -> DataFrame:
     """Rows of a sample of ids."""
     return matrix.join(sample.select(F.col("id").alias(row)), row, "left_semi").select(matrix.columns)

@@ -25,6 +25,7 @@ SOLVERS = ("auto", "dense", "arpack", "lobpcg", "amg", "distributed")
 DENSE_LIMIT, DENSE_MOST = 3_000, 20_000
 BLOCK_LIMIT = 40_000_000
 LOCAL_ENTRIES = 2_000_000
+Product = Callable[[np.ndarray], np.ndarray]
 
 
 def choose_solver(solver: str, n: int, vectors: int) -> str:
@@ -218,7 +219,7 @@ def _ritz(basis: np.ndarray, image: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return values[::-1][:k], vectors[:, ::-1][:, :k]
 
 
-def lobpcg(apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, k: int, tolerance: float, rounds: int, precondition: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def lobpcg(apply: Product, start: np.ndarray, k: int, tolerance: float, rounds: int, precondition: Product | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The k largest eigenpairs: Rayleigh-Ritz on the block, its residuals and the last step, re-orthonormalised each round."""
     x, _ = np.linalg.qr(start)
     ax = apply(x)
@@ -329,7 +330,10 @@ def _real(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values.real, v / np.where(length > 0, length, 1)
 
 
-def solve(matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "auto", largest: bool = True, tolerance: float = 1e-8, rounds: int = 300, seed: int = 0, symmetric: bool | None = None) -> Eigenpairs:
+def solve(
+    matrix: DataFrame, value: str, ids: DataFrame, k: int, solver: str = "auto", largest: bool = True,
+    tolerance: float = 1e-8, rounds: int = 300, seed: int = 0, symmetric: bool | None = None,
+) -> Eigenpairs:
     """The k largest (descending) or smallest (ascending) eigenpairs of a matrix; ids without entries are rows of zeros.
 
     A matrix that is not symmetric (found out unless ``symmetric`` says so) is

@@ -138,7 +138,9 @@ def _tile_units(a: _Cells, b: _Cells, limit: np.ndarray, folded: bool, scratch:
         meets = np.triu(meets | meets.T)
     spark = a.points.sparkSession
     # A row a group, with the groups it meets: bounded by the number of cells.
-    table = spark.createDataFrame(pa.table({"g": pa.array(np.arange(groups)), "n": pa.array(a.parts), "other": pa.array([np.flatnonzero(x) for x in meets], pa.list_(pa.int64())), "parts": pa.array([b.parts[np.flatnonzero(x)] for x in meets], pa.list_(pa.int64()))}))
+    others = [np.flatnonzero(x) for x in meets]
+    lists = {c: pa.array(x, pa.list_(pa.int64())) for c, x in (("other", others), ("parts", [b.parts[x] for x in others]))}
+    table = spark.createDataFrame(pa.table({"g": pa.array(np.arange(groups)), "n": pa.array(a.parts)} | lists))
     each = table.repartition(min(groups, 200)).select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1).cast("array<bigint>")).alias("p"), F.arrays_zip("other", "parts").alias("z"))
     each = each.select("g", "p", F.explode("z").alias("z")).select("g", "p", F.col("z.other").alias("h"), F.explode(F.sequence(F.lit(0), F.col("z.parts") - 1).cast("array<bigint>")).alias("q"))
     if folded:

@@ -261,7 +261,7 @@ def doubling_dimension(spark, d):
 @query(with_sql(f"SELECT {rd('max(d)', 'd')} FROM edges", PTS, edges_sql()))
 def max_distance(spark, d):
     """D5."""
-    return edges(spark, d).agg(r6(F.max("d")).alias("d"))
+    return checks.max_distance(edges(spark, d)).select(r6("d").alias("d"))
 
 
 @query(with_sql(f"SELECT a.i, a.j, {rd('a.w / deg.d', 'p')} FROM aff a JOIN deg ON deg.i = a.i", PTS, edges_sql(), AFF, DEG))
@@ -396,20 +396,18 @@ def component_of(spark, d):
 
 
 # --- eigenproblems and embeddings ---------------------------------------------------------------------------------------------
-# The matrix a a^T + b b^T of two columns of the table has two eigenpairs, which follow from the 2 x 2 Gram matrix of a and b.
-_GRAM = "g AS (SELECT sum(a * a) AS h11, sum(a * b) AS h12, sum(b * b) AS h22 FROM pl)"
-_BIG, _SMALL = ("((h11 + h22) / 2 + sqrt((h11 - h22) * (h11 - h22) / 4 + h12 * h12))", "((h11 + h22) / 2 - sqrt((h11 - h22) * (h11 - h22) / 4 + h12 * h12))")
-_TWO = f"ev AS (SELECT 0 AS k, {_BIG} AS e, h11, h12 FROM g UNION ALL SELECT 1, {_SMALL}, h11, h12 FROM g)"
-_ENTRIES = "en AS (SELECT k, e, id, (a * h12 + b * (e - h11)) AS x FROM ev, pl), un AS (SELECT k, e, id, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM en)"
-_PAIRS_SQL = with_sql(
-    f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, round(x * sign(arg_max(x, abs(x)) OVER (PARTITION BY k)), 5) + 0.0 AS entry FROM un", PLANE, _GRAM, _TWO, _ENTRIES
-)
+# The matrix that holds a a^T within each label, a being the first coordinate, has an eigenpair for each: a there, and the sum of its squares.
+_LABELLED = "pl AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS a FROM embeddings)"
+_TOP = """ev AS (SELECT label, e, row_number() OVER (ORDER BY e DESC) - 1 AS k FROM (SELECT label, sum(a * a) AS e FROM pl WHERE label IS NOT NULL GROUP BY label)),
+    en AS (SELECT k, e, id, a, CASE WHEN pl.label = ev.label THEN a / sqrt(e) ELSE 0 END AS x FROM ev, pl WHERE k < 2)"""
+_ENTRY = "round(x * sign(arg_max(x, abs(x)) OVER (PARTITION BY k)), 5) + 0.0 AS entry"
+_PAIRS_SQL = with_sql(f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, {_ENTRY} FROM en", _LABELLED, _TOP)
 
 
-def _product_matrix(spark, d) -> DataFrame:
-    p = points(spark, d).select("id", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
-    q = p.select(F.col("id").alias("j"), F.col("a").alias("x"), F.col("b").alias("y"))
-    return p.withColumnRenamed("id", "i").join(q).select("i", "j", (F.col("a") * F.col("x") + F.col("b") * F.col("y")).alias("m"))
+def _label_matrix(spark, d) -> DataFrame:
+    p = ship(spark).read.parquet(f"{d}/embeddings.parquet").select("label", F.col("vec_id").alias("i"), F.col("embedding")[0].cast("double").alias("a"))
+    q = p.select("label", F.col("i").alias("j"), F.col("a").alias("b"))
+    return p.join(q, "label").select("i", "j", (F.col("a") * F.col("b")).alias("m"))
 
 
 def _entries(found: eigen.Eigenpairs) -> DataFrame:
@@ -420,9 +418,9 @@ def _entries(found: eigen.Eigenpairs) -> DataFrame:
 
 def _solved_by(solver: str, rows: str):
     def run(spark, d):
-        return _entries(eigen.solve(_product_matrix(spark, d), "m", points(spark, d), 2, solver))
+        return _entries(eigen.solve(_label_matrix(spark, d), "m", points(spark, d), 2, solver))
 
-    run.__name__, run.__doc__ = f"eigen_{solver}", f"{rows}: both eigenpairs of a matrix of rank two, all entries."
+    run.__name__, run.__doc__ = f"eigen_{solver}", f"{rows}: the two largest eigenpairs of a matrix of blocks by label, all entries."
     query(_PAIRS_SQL)(run)
 
 
@@ -433,15 +431,15 @@ _solved_by("amg", "H3")
 _solved_by("distributed", "H1, H4")
 
 
-_SKEW = "sk AS (SELECT k, e, id, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM (SELECT k, e, en.id, x * (2 + a) AS x FROM en JOIN pl USING (id)))"
+_SKEW = "sk AS (SELECT k, e, id, x * (2 + a) / sqrt(sum(x * x * (2 + a) * (2 + a)) OVER (PARTITION BY k)) AS x FROM en)"
 
 
-@query(with_sql(f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, round(x * sign(arg_max(x, abs(x)) OVER (PARTITION BY k)), 5) + 0.0 AS entry FROM sk", PLANE, _GRAM, _TWO, _ENTRIES, _SKEW))
+@query(with_sql(f"SELECT CAST(k AS INTEGER) AS k, id, {rd('e', 'eigenvalue')}, {_ENTRY} FROM sk", _LABELLED, _TOP, _SKEW))
 def eigen_nonsymmetric(spark, d):
     """H2, H5: the same matrix between diagonal ones, D M D^-1, which is not symmetric: eigenvalues stay, vectors become D v."""
     w = points(spark, d).select("id", (F.col("v")[0] + 2).alias("w"))
     wi, wj = w.select(F.col("id").alias("i"), F.col("w").alias("wi")), w.select(F.col("id").alias("j"), F.col("w").alias("wj"))
-    skew = _product_matrix(spark, d).join(wi, "i").join(wj, "j").select("i", "j", (F.col("m") * F.col("wi") / F.col("wj")).alias("m"))
+    skew = _label_matrix(spark, d).join(wi, "i").join(wj, "j").select("i", "j", (F.col("m") * F.col("wi") / F.col("wj")).alias("m"))
     return _entries(eigen.solve(skew, "m", points(spark, d), 2, "dense", symmetric=False))
 
 
@@ -781,10 +779,12 @@ def orthogonal_centre(spark, d):
 
 @query(_SAME)
 def spectral_clustering(spark, d):
-    """Clusters of a graph of all embeddings whose edges are strong within labels and weak across."""
+    """Clusters of a graph of all embeddings whose edges are strong within labels and weak from one id to the next."""
     p = _labelled(spark, d)
-    q = p.select(F.col("id").alias("j"), F.col("label").alias("other"))
-    graph = p.withColumnRenamed("id", "i").join(q).select("i", "j", F.when(F.col("label") == F.col("other"), 1.0).otherwise(0.01).alias("w"))
+    within = p.withColumnRenamed("id", "i").join(p.withColumnRenamed("id", "j"), "label").select("i", "j", F.lit(1.0).alias("w"))
+    ahead = p.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j")).join(p.select(F.col("id").alias("j")), "j").select("i", "j", F.lit(0.01).alias("w"))
+    turned = ahead.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
+    graph = within.unionByName(ahead).unionByName(turned).groupBy("i", "j").agg(F.max("w").alias("w"))
     return _first_of_cluster(kmeans.SpectralClustering(p.select("label").distinct().count()).fit(graph).labels_)
 
 
