@@ -99,7 +99,9 @@ def _part(docs: DataFrame, items: DataFrame, kinds: list[int], threshold: float)
     once = F.monotonically_increasing_id() >= 0
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.when(once, words(F.col("text"))).alias("word"))
     short = [k for k in kinds if k < SHINGLE]
-    rows = rows.select("doc_id", "row_key", F.greatest(F.size("word") - (SHINGLE - 1), F.lit(0)).alias("n"), F.size("word").alias("n_words"), F.when(once, F.concat(shingles(F.col("word")), *[shingles(F.col("word"), k) for k in short])).alias("all"))
+    every = F.concat(shingles(F.col("word")), *[shingles(F.col("word"), k) for k in short])
+    n = F.greatest(F.size("word") - (SHINGLE - 1), F.lit(0))
+    rows = rows.select("doc_id", "row_key", n.alias("n"), F.size("word").alias("n_words"), F.when(once, every).alias("all"))
     # Exploding and joining run in one generated stage, so that an array is only copied where a lead stands.
     hits = rows.select("*", F.posexplode("all").alias("at", "shingle")).join(F.broadcast(lead), "shingle").join(F.broadcast(table), "item")
     first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))

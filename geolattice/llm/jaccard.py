@@ -89,7 +89,8 @@ def shingle_sets(docs: DataFrame, often, k: int = SHINGLE, percent: int = PERCEN
         for batch in slices(batches):
             got = [(len(x), _print(x), _head(x, tokens, ranks, percent)[1], _bitmap(x)) if len(x) else (0, 0, 0, b"") for _, words in chunks(batch.column(1), True) for x in _sets(words, k)]
             n, prints, heads, bitmap = zip(*got) if got else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.int64()), pa.array(heads, pa.int64()), pa.array(bitmap, pa.binary())], ["doc_id", "n_shingles", "print", "head", "bitmap"])
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, prints, heads)), pa.array(bitmap, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "head", "bitmap"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(size, "doc_id long, n_shingles long, print long, head long, bitmap binary")
 
@@ -158,7 +159,8 @@ def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFra
     order = np.argsort(token)
     often = spark.sparkContext.broadcast((token[order], order))  # at most MOST_FREQUENT tokens
     sets = materialize(shingle_sets(docs, often, k, percent), "sets", scratch)
-    distinct = sets.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap"))
+    own = [F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"), F.first("bitmap").alias("bitmap")]
+    distinct = sets.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(*own)
     distinct = materialize(distinct, "distinct", scratch)
     links = _set_links(docs, distinct, often, k, percent, scratch)
     # An id of several texts joins their sets.
@@ -200,7 +202,8 @@ def _set_links(docs: DataFrame, distinct: DataFrame, often, k: int, percent: int
             group, size = np.array(list(own), np.int64)[which], np.array(list(own.values()), np.uint32)[which]
             # In a bucket, 32 further bits stand for the token; the rare false match is verified away.
             rows = list(bucket_rows((t >> shift).astype(np.int64), t.astype(np.uint32), group, size, np.minimum(place, 65535).astype(np.uint16)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][i] for r in rows], pa.binary()) for i in range(4))], ["bucket", "token", "head", "size", "place"])
+            columns = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][i] for r in rows], pa.binary()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "token", "head", "size", "place"])
 
     def meet(table: pa.Table) -> pa.Table:
         t, p, n, place = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("token", np.uint32), ("head", np.int64), ("size", np.uint32), ("place", np.uint16)))
@@ -316,7 +319,8 @@ def _bitmap_links(one: list[dict], two: list[dict], percent: int) -> tuple[np.nd
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """``members`` with ``class`` and ``block``: a large cluster is cut by size classes and then by hash; ``class`` is null for one that stays whole."""
-    parts = members.join(_large(members), "cluster", "left_semi").withColumn("class", _size_class(percent)).groupBy("cluster", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_ROWS)).alias("parts"))
+    inside = members.join(_large(members), "cluster", "left_semi").withColumn("class", _size_class(percent))
+    parts = inside.groupBy("cluster", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_ROWS)).alias("parts"))
     out = members.withColumn("class", _size_class(percent)).join(parts, ["cluster", "class"], "left")
     return out.withColumn("block", F.pmod(F.xxhash64("doc_id"), "parts")).withColumn("class", F.when(F.col("parts").isNotNull(), F.col("class"))).drop("parts")
 

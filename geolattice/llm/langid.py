@@ -181,7 +181,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
         for batch in batches:
             got = [ngram_counts(t.as_py()) for t in batch.column(2)]
             where = [np.flatnonzero(c) for c in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.astype(np.int32).tobytes() for w in where], pa.binary()), pa.array([c[w].astype(np.int32).tobytes() for c, w in zip(got, where)], pa.binary())], ["at", "lang", "buckets", "counts"])
+            packed = ([w.astype(np.int32).tobytes() for w in where], [c[w].astype(np.int32).tobytes() for c, w in zip(got, where)])
+            columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in packed)]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "lang", "buckets", "counts"])
 
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()  # a bounded list
     wanted = shares({r["lang"]: r["n"] for r in sizes}, sample)

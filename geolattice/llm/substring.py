@@ -112,7 +112,10 @@ class Stretches:
         return self.words.spans(self.first, self.count + self.window - 1)
 
     def pieces(self, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the stretches ``which``, the windows whose anchor is ``low`` to ``high`` words after their start: those stretches that have any, their ranges, first window, number, and the group's key."""
+        """Of the stretches ``which``, the windows whose anchor is ``low`` to ``high`` words after their start.
+
+        Those stretches that have any, their ranges, first window, number, and the group's key.
+        """
         some = self.any(which, low, high)
         which, low, high = which[some], low[some], high[some]
         a, s = self.anchor[which], self.first[which]
@@ -219,7 +222,8 @@ def _count(docs: DataFrame, window: int, prefix: int, sizes: Sizes, group_words:
             for x in _places(value[chosen], each):
                 slice_[x] = True
             out.append(np.packbits(slice_).tobytes() if chosen.any() else b"")
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "twice": pa.array(out[:1], pa.binary()), "large": pa.array(out[1:], pa.binary()), "n": pa.array([int(large.sum())], pa.int64())})
+        bucket = pa.array([table["bucket"][0].as_py()], pa.int32())
+        return pa.table({"bucket": bucket, "twice": pa.array(out[:1], pa.binary()), "large": pa.array(out[1:], pa.binary()), "n": pa.array([int(large.sum())], pa.int64())})
 
     rows = docs.select("text").mapInArrow(gather, "bucket int, value binary, many binary, size binary")
     out, n = np.zeros((2, 1 << bits, 1 << each >> 3), np.uint8), 0
@@ -280,11 +284,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 keep = np.ones(len(which), bool)
                 keep[np.delete(one, first)] = False
                 which, start, n, key, known, single = (x[keep] for x in (which, start, n, key, known, single))
-                yield _packed(words, sizes, window, owner[which], start - words.first[doc[which]], start, n, key, known, single, [np.concatenate(x) for x in zip(*settled)])
+                sent_ = (owner[which], start - words.first[doc[which]], start, n, key, known, single)
+                yield _packed(words, sizes, window, sent_, [np.concatenate(x) for x in zip(*settled)])
 
     def tree(table: pa.Table) -> pa.Table:
         read = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-        key, row, place, n, known, text = read("key", np.uint64), read("row", np.int64), read("place", np.uint32).astype(np.int64), read("n", np.uint32).astype(np.int64), read("known", np.uint8), read("words", np.uint64)
+        key, row, known, text = read("key", np.uint64), read("row", np.int64), read("known", np.uint8), read("words", np.uint64)
+        place, n = (read(c, np.uint32).astype(np.int64) for c in ("place", "n"))
         done, single, known = known == 2, known >= 4, known & 1 > 0  # settled windows only pass
         found = [(row[done], place[done], n[done])]
         _, inverse, count = np.unique(key[single], return_inverse=True, return_counts=True)
@@ -325,8 +331,9 @@ def _deep_nodes(text: np.ndarray, start: np.ndarray, group: np.ndarray, depth: i
     return out
 
 
-def _packed(words: Words, sizes: Sizes, window: int, row: np.ndarray, place: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray, known: np.ndarray, single: np.ndarray, settled: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(words: Words, sizes: Sizes, window: int, sent: tuple[np.ndarray, ...], settled: list[np.ndarray]) -> pa.RecordBatch:
     """A row for each bucket: stretches with their words (none for single windows), and windows that are settled."""
+    row, place, start, n, key, known, single = sent
     kind = np.r_[known + 4 * single, np.full(len(settled[0]), 2)].astype(np.uint8)
     key = np.r_[key, mix(settled[0].view(np.uint64))]  # anywhere
     row, place, n = np.r_[row, settled[0]], np.r_[place, settled[1]].astype(np.uint32), np.r_[n, settled[2]].astype(np.uint32)
@@ -401,7 +408,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 data = data[chosen].tobytes()
                 kept += [data[x:y].decode() for x, y in zip(size[:-1], size[1:])]
             out = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
-            out |= {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "n_removed": pa.array(np.concatenate(n_removed) if n_removed else [], pa.int64()), "kept": pa.array(kept, pa.string())}
+            out |= {c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in (("n_words", n_words), ("n_removed", n_removed))}
+            out["kept"] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return joined.mapInArrow(cut, schema_of(docs, names, "n_words long, n_removed long, kept string"))

@@ -43,7 +43,10 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 for _a, _b in LOOKALIKES.items():
     _FOLD[ord(_a)] = ord(_b)
-NAMES = ("lexicon share", "lexicon hits", "distinct hits", "weak share", "near share", "near hits", "capitals", "shouted", "exclamations", "questions", "punctuation", "mixed", "stretched", "spelled", "digits", "length")
+NAMES = (
+    "lexicon share", "lexicon hits", "distinct hits", "weak share", "near share", "near hits", "capitals", "shouted",
+    "exclamations", "questions", "punctuation", "mixed", "stretched", "spelled", "digits", "length",
+)
 
 
 @dataclass

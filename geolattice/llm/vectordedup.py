@@ -151,7 +151,8 @@ def _classes(vectors: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
 
 
 def _read(rows: list[dict]) -> tuple:
-    return np.array([r["vec_id"] for r in rows], np.int64), np.array([r["copies"] for r in rows], np.int64), np.stack([np.frombuffer(r["unit"]) for r in rows]), [np.frombuffer(r["cells"], np.int32) for r in rows]
+    ids, copies = (np.array([r[c] for r in rows], np.int64) for c in ("vec_id", "copies"))
+    return ids, copies, np.stack([np.frombuffer(r["unit"]) for r in rows]), [np.frombuffer(r["cells"], np.int32) for r in rows]
 
 
 def _compare(cell: int, same: bool, one: tuple, two: tuple, cosine: float) -> pa.Table:

@@ -134,7 +134,10 @@ def shard_bounds(ids: DataFrame, shards: int) -> list[int]:
         # Differences may pass the largest long, so they are taken as decimals.
         part = F.floor((F.col("id").cast("decimal(20,0)") - first.cast("decimal(20,0)")) / F.get(F.lit(steps), F.col("at")).cast("decimal(20,0)")).cast("int")
         counts = own.select("at", part.alias("part")).groupBy("at", "part").agg(F.count("*").alias("n")).collect()
-        ranges = [r for r in ranges if r not in large] + [(starts[r["at"]] + r["part"] * steps[r["at"]], min(large[r["at"]][1], starts[r["at"]] + (r["part"] + 1) * steps[r["at"]] - 1), r["n"]) for r in counts]
+        ranges = [r for r in ranges if not (r[2] > most and r[1] > r[0])]
+        for r in counts:
+            a, b, step = *large[r["at"]][:2], steps[r["at"]]
+            ranges.append((a + r["part"] * step, min(b, a + (r["part"] + 1) * step - 1), r["n"]))
     bounds, before = [], 0
     for a, _, n in sorted(ranges):
         if before * shards >= total * (len(bounds) + 1):
@@ -169,7 +172,8 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
     fs.create_dir(path, recursive=True)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    prints = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size")).where(F.col("size") >= min_revisit)
+    prints = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("sha"), F.octet_length(html).alias("size"))
+    prints = prints.where(F.col("size") >= min_revisit)
     kept = prints.groupBy("sha").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("sha", "kept")
     # An order to revisit travels with the page's row through one shuffle, sorted before it.
     orders = prints.join(kept, "sha").groupBy("page_id", "sha").agg(F.max("kept").alias("kept"))
@@ -204,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
                 more = ("" if page_id is not None else f"/{url}") + (f"/{again}" if again else "")
                 done.append(roll.add(_zipped(record(page_id, url, payload, refers_to, date, more)), page_id))
         done.append(roll.close())
-        yield pa.RecordBatch.from_pylist([d for d in done if d], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([d for d in done if d], pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _MANIFEST.split(", ")]))
 
     sorted_.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
     for left in fs.get_file_info(pafs.FileSelector(path)):
