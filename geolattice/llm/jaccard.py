@@ -35,7 +35,7 @@ from .session import bucket_bits, materialize
 from .wordhash import U, Words, bucket_rows, chunks, mix, slices
 
 SHINGLE, PERCENT = 5, 75
-FREQUENT, MOST_FREQUENT = 1 << 16, 1 << 20
+FREQUENT, MOST_FREQUENT = 1 << 16, 1 << 22
 SHORT_LIST = 6
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 16, 512
 LEAST_FILTER, MOST_FILTER = 16, 28
@@ -98,10 +98,10 @@ def shingle_sets(docs: DataFrame, often, k: int = SHINGLE, percent: int = PERCEN
 def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int | None = None) -> np.ndarray:
     """At most ``most`` of the tokens that most sets have, rarest first; counted within each slice of rows (what is there once is left out), then over all.
 
-    By default one for every eight rows, FREQUENT at least and MOST_FREQUENT at most.
+    By default two for each row, FREQUENT at least and MOST_FREQUENT at most.
     Any list is right; a longer one keeps more common passages out of prefixes.
     """
-    most = most or min(MOST_FREQUENT, max(FREQUENT, docs.count() // 8))
+    most = most or min(MOST_FREQUENT, max(FREQUENT, 2 * docs.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -116,9 +116,55 @@ def frequent_tokens(docs: DataFrame, k: int = SHINGLE, most: int | None = None)
             many = many[np.argsort(-n[many], kind="stable")[:most]]
             yield pa.RecordBatch.from_arrays([pa.array(x[cuts[many]].view(np.int64)), pa.array(n[many], pa.int64())], ["token", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = rows.where(F.col("n") > SHORT_LIST).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()  # a bounded list
-    return np.asarray(rows.column(0), np.int64)[::-1].view(np.uint64)
+    with Scratch(docs.sparkSession, "frequent") as scratch:
+        rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT_LIST)
+        return _most_frequent(materialize(rows, "tokens", scratch), most)
+
+
+def crowded_tokens(docs: DataFrame, token: np.ndarray, k: int = SHINGLE, percent: int = PERCENT, most: int = MOST_FREQUENT) -> np.ndarray:
+    """``token``, a list of frequent_tokens, led by further tokens, rarest first, that more than SHORT_LIST different prefixes by it hold; at most ``most`` in all.
+
+    A slice of rows seldom holds twice what a few in a hundred thousand have, so that frequent_tokens
+    miss it; prefixes are few enough to count whole. Long lists of such tokens would chain most of a large table.
+    """
+    spark = docs.sparkSession
+    order = np.argsort(token)
+    often = spark.sparkContext.broadcast((token[order], order))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = U(64 - bucket_bits(spark, size))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ranks = often.value
+        for batch in slices(batches):
+            heads = {group: head for _, words in chunks(batch.column(0), True) for x in _sets(words, k) if len(x) for head, group in [_head(x, tokens, ranks, percent)]}
+            if heads:
+                x = np.concatenate(list(heads.values()))
+                rows = list(bucket_rows((mix(x) >> shift).astype(np.int64), x))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.binary())], ["bucket", "token"])
+
+    def count(table: pa.Table) -> pa.Table:
+        x, n = np.unique(np.frombuffer(b"".join(table["token"].to_pylist()), np.uint64), return_counts=True)
+        return pa.table({"token": pa.array(x[n > SHORT_LIST].view(np.int64)), "n": pa.array(n[n > SHORT_LIST], pa.int64())})
+
+    with Scratch(spark, "prefixes") as scratch:
+        rows = docs.select("text").mapInArrow(deal, "bucket int, token binary").groupBy("bucket").applyInArrow(count, "token long, n long")
+        more = _most_frequent(materialize(rows, "tokens", scratch), most - len(token))
+    often.unpersist()
+    more = more[~np.isin(more, token)]
+    return np.concatenate([more, token])
+
+
+def _most_frequent(rows: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` tokens of a stored table (token, n), rarest first. No task sorts them: of the count that would pass the bound, the smallest stay."""
+    steps = rows.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).toArrow()  # a row a count
+    n, total = np.asarray(steps.column(0)), np.cumsum(np.asarray(steps.column(1)))
+    if len(n) and total[-1] > most:
+        at = int(np.argmax(total > most))
+        ties = rows.where(F.col("n") == int(n[at])).orderBy("token").limit(most - int(np.r_[0, total][at]))
+        rows = rows.where(F.col("n") > int(n[at])).unionByName(ties)
+    got = rows.toArrow()  # a bounded list
+    token, n = (np.asarray(got.column(k), np.int64) for k in (0, 1))
+    return token[np.lexsort((-token, n))].view(np.uint64)
 
 
 def _ordered(x: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -155,7 +201,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
 
 def _classes(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    token = frequent_tokens(docs, k)
+    token = crowded_tokens(docs, frequent_tokens(docs, k), k, percent)
     order = np.argsort(token)
     often = spark.sparkContext.broadcast((token[order], order))  # at most MOST_FREQUENT tokens
     sets = materialize(shingle_sets(docs, often, k, percent), "sets", scratch)

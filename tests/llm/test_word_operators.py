@@ -104,6 +104,17 @@ def test_jaccard_equals_brute_force(docs, monkeypatch, short, block_tokens, bloc
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
+def test_jaccard_takes_what_many_prefixes_hold_out_of_them(spark):
+    """Passages of ten texts, which no slice of rows holds twice, must not chain the texts."""
+    rows = [(10 * p + d, " ".join(f"p{p}w{k}" for k in range(5)) + f" a{p}x{d} b{p}x{d} c{p}x{d}") for p in range(30) for d in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(10, F.col("doc_id") % 10)
+    few = jaccard.frequent_tokens(docs)
+    token = jaccard.crowded_tokens(docs, few)
+    assert len(few) == 0 and len(token) > 0
+    assert len(jaccard.crowded_tokens(docs, token)) == len(token) == len(set(token.tolist()))
+    assert len(jaccard.crowded_tokens(docs, few, most=3)) == 3
+
+
 def test_jaccard_stage_keeps_one(docs):
     one = docs.where("doc_id between 0 and 59").dropDuplicates(["doc_id"])
     kept = keep_one_of_each(one)
